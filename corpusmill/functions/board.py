@@ -8,6 +8,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from .losses import let
+
 # Piece order, material, castling corners and plane numbers.
 PIECES = "PNBRQKpnbrqk"
 MATERIAL = {"P": 1, "N": 3, "B": 3, "R": 5, "Q": 9, "K": 0}
@@ -112,7 +114,8 @@ def flip(bits, kind: str) -> Column:
 
 def to_dense(bits, size: int) -> Column:
     """0/1 array of a sparse bit list, for export."""
-    return F.transform(F.sequence(F.lit(0), F.lit(size - 1)), lambda i: F.array_contains(_col(bits).cast("array<int>"), i).cast("int"))
+    cells = F.sequence(F.lit(0), F.lit(size - 1))
+    return let(_col(bits).cast("array<int>"), lambda b: F.transform(cells, lambda i: F.array_contains(b, i).cast("int")))
 
 
 def to_sparse(dense) -> Column:

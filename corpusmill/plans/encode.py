@@ -12,6 +12,7 @@ from ..functions.outcome import outcome_for_mover
 from ..functions.text import header, record_id
 from ..operators.quality import quality_filter, with_moves, with_result
 from ..operators.replay import replay_games
+from ..session import materialize
 from ..sources.records import parse_records, split_errors
 from ..sources.sinks import manifest_row, write_chunks, write_manifest
 
@@ -30,14 +31,19 @@ def select_games(records: DataFrame, rules="encoder") -> DataFrame:
     )
 
 
-def encode_positions(games: DataFrame, cap: int = 512, carry=GAME_COLUMNS) -> tuple[DataFrame, DataFrame]:
-    """(positions, games that could not be replayed).
+def replay_selected(games: DataFrame, carry=GAME_COLUMNS) -> DataFrame:
+    """One row per ply, and one row with an error per game that cannot be played."""
+    return replay_games(games, carry, "moves", "fen", "variant")
 
-    A game is one row until it is replayed, so ply numbers and repetitions need no
-    exchange; every other feature is a native expression over the position string.
+
+def failed_games(plies: DataFrame, carry=GAME_COLUMNS) -> DataFrame:
+    return plies.where(F.col("error").isNotNull()).select(*carry, "error")
+
+
+def encode_positions(plies: DataFrame, cap: int = 512) -> DataFrame:
+    """The position table. Ply numbers and repetitions come from the replay, where a game
+    is still one row, so no exchange is needed; all else is native over the position string.
     """
-    plies = replay_games(games, carry, "moves", "fen", "variant")
-    failed = plies.where(F.col("error").isNotNull()).select(*carry, "error")
     ok = plies.where(F.col("error").isNull())
     white = B.white_to_move("fen")
     balance = B.material_balance(B.fen_field("fen", 1))
@@ -58,7 +64,7 @@ def encode_positions(games: DataFrame, cap: int = 512, carry=GAME_COLUMNS) -> tu
             "rep_count_ge2": F.col("rep_count") >= 2,
         }
     )
-    return conform(featured, POSITION_SCHEMA, ["game_id", "ply", "split"]), failed
+    return conform(featured, POSITION_SCHEMA, ["game_id", "ply", "split"])
 
 
 def encode_corpus(records: DataFrame, out: str, size: int = 8192, seed: int = 2024, shuffle: bool = True, rules="encoder") -> DataFrame:
@@ -66,8 +72,10 @@ def encode_corpus(records: DataFrame, out: str, size: int = 8192, seed: int = 20
     spark = records.sparkSession
     # a gzip file arrives as one task: spread its games before the costly step
     games = select_games(records, rules).repartition("game_id")
-    positions, _ = encode_positions(games)
-    write_chunks(positions, f"{out}/chunks", size, ("game_id", "ply"), seed, shuffle=shuffle)
+    # written once, because chunking reads its input twice: keys to count, rows to place
+    plies = materialize(replay_selected(games), "plies")
+    write_chunks(encode_positions(plies), f"{out}/chunks", size, ("game_id", "ply"), seed, shuffle=shuffle)
+    failed_games(plies).write.mode("overwrite").parquet(f"{out}/quarantine")
     row = manifest_row(
         spark.read.parquet(f"{out}/chunks"),
         params={"chunk_size": size, "seed": seed, "final_shuffle_skipped": not shuffle},

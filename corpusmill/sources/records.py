@@ -63,9 +63,15 @@ def scan_records(
     return _records(_reader(spark.read, newline).text(path), errors, endings)
 
 
-def stream_records(reader: DataStreamReader, path: str, newline: str = "\n", errors: str = "replace") -> DataFrame:
-    """The same rows from files as they arrive."""
-    return _records(_reader(reader, newline).text(path), errors, TEXT_ENDINGS, numbered=False)
+def stream_records(
+    reader: DataStreamReader,
+    path: str,
+    newline: str = "\n",
+    errors: str = "replace",
+    endings: Sequence[str] = TEXT_ENDINGS,
+) -> DataFrame:
+    """The same rows from files as they arrive, without ``record_id``."""
+    return _records(_reader(reader, newline).text(path), errors, endings, numbered=False)
 
 
 def _records(raw: DataFrame, errors: str, endings: Sequence[str], numbered: bool = True) -> DataFrame:

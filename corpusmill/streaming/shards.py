@@ -8,13 +8,15 @@ from pyspark.sql import functions as F
 from ..functions.text import canonical_text
 from ..operators.quality import quality_filter
 from ..operators.split import hash_split
-from ..sources.records import label_source, parse_records, stream_records
+from ..sources.records import TEXT_ENDINGS, label_source, parse_records, stream_records
 from .run import drain
 
 
-def shard_stream(spark: SparkSession, path: str, fraction: float, seed: int = 42, chars: int = 2, rules="strict") -> DataFrame:
+def shard_stream(
+    spark: SparkSession, path: str, fraction: float, seed: int = 42, chars: int = 2, rules="strict", endings=TEXT_ENDINGS
+) -> DataFrame:
     """Labelled, filtered and split records. Every step is stateless."""
-    records = label_source(parse_records(stream_records(spark.readStream, path)))
+    records = label_source(parse_records(stream_records(spark.readStream, path, endings=endings)))
     good = quality_filter(records.where(F.col("error").isNull()), rules)
     shards = good.select("path", "source", canonical_text("text").alias("text"))
     return hash_split(shards, "text", fraction, seed, chars)
