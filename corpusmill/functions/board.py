@@ -42,22 +42,12 @@ def expand_placement(placement) -> Column:
     return text
 
 
-def _piece(char: Column) -> Column:
-    """1-based place in PIECES, 0 for an empty square. Binary comparison keeps the case."""
-    return F.position(char, F.lit(PIECES))
-
-
 def _set_bits(placement: Column) -> Column:
     cells = F.split(expand_placement(placement), "")
-    bits = F.transform(
-        cells,
-        # character i shows square i xor 56: FEN starts at rank 8
-        lambda c, i: F.when(
-            _piece(c) > 0,
-            (_piece(c) - 1) * 64 + i.bitwiseXOR(F.lit(56)),
-        ),
-    )
-    return F.filter(bits, lambda b: b.isNotNull())
+    # Character i shows square i xor 56, as FEN starts at rank 8. An empty cell has
+    # position 0 and so a negative bit.
+    bits = F.transform(cells, lambda c, i: (F.position(c, F.lit(PIECES)) - 1) * 64 + i.bitwiseXOR(F.lit(56)))
+    return F.filter(bits, lambda b: b >= 0)
 
 
 def board_planes(fen) -> Column:
@@ -70,8 +60,9 @@ def board_planes(fen) -> Column:
         ]
     )
     passant = F.array(square_index(fen_field(fen, 4)) + EN_PASSANT_PLANE * 64)
-    every = F.concat(_set_bits(fen_field(fen, 1)), rights, passant)
-    return F.array_sort(F.filter(every, lambda b: b.isNotNull())).cast("array<smallint>")
+    flags = F.array_compact(F.concat(rights, passant))
+    # piece planes come before the flag planes
+    return F.concat(F.sort_array(_set_bits(fen_field(fen, 1))), F.sort_array(flags)).cast("array<smallint>")
 
 
 def white_to_move(fen) -> Column:

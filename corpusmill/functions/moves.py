@@ -20,23 +20,31 @@ def _col(value) -> Column:
 
 
 def _steps(src: Column, dst: Column) -> tuple[Column, Column]:
-    return F.shiftright(dst, 3) - F.shiftright(src, 3), F.pmod(dst, F.lit(8)) - F.pmod(src, F.lit(8))
+    rank = F.shiftright(dst, 3) - F.shiftright(src, 3)
+    return rank, dst.bitwiseAND(F.lit(7)) - src.bitwiseAND(F.lit(7))
+
+
+def _step_table() -> list[int]:
+    """Plane of a step at ``(rank step + 7) * 15 + file step + 7``; −1 where no piece moves so."""
+    table = [-1] * 225
+    for plane, (dr, df) in enumerate(KNIGHT_JUMPS, start=56):
+        table[(dr + 7) * 15 + df + 7] = plane
+    for direction, (dr, df) in enumerate(RAY_DIRECTIONS):
+        for distance in range(1, 8):
+            table[(dr * distance + 7) * 15 + df * distance + 7] = direction * 7 + distance - 1
+    return table
+
+
+def _step_plane(src: Column, dst: Column) -> Column:
+    dr, df = _steps(src, dst)
+    # a foldable text keeps the table one literal in the plan
+    table = F.split(F.lit(" ".join(map(str, _step_table()))), " ").cast("array<int>")
+    return F.get(table, dr * 15 + df + 112)
 
 
 def base_plane(src, dst) -> Column:
     """Ray or knight plane of a pair of squares, NULL when neither."""
-    src, dst = _col(src).cast("int"), _col(dst).cast("int")
-    dr, df = _steps(src, dst)
-    jumps = F.lit([dr * 8 + df for dr, df in KNIGHT_JUMPS])
-    rays = F.lit([dr * 3 + df for dr, df in RAY_DIRECTIONS])
-    reach = F.greatest(F.abs(dr), F.abs(df))
-    straight = (dr == 0) | (df == 0) | (F.abs(dr) == F.abs(df))
-    sign = (F.signum(dr) * 3 + F.signum(df)).cast("int")
-    return (
-        F.when(F.abs(dr * df) == 2, F.array_position(jumps, dr * 8 + df).cast("int") + 55)
-        .when((reach > 0) & straight, (F.array_position(rays, sign).cast("int") - 1) * 7 + reach - 1)
-        .cast("int")
-    )
+    return F.nullif(_step_plane(_col(src).cast("int"), _col(dst).cast("int")), F.lit(-1))
 
 
 def under_promotion_plane(src, dst, promotion) -> Column:
@@ -66,12 +74,16 @@ PACKED_PROMOTIONS = ["", "n", "b", "r", "q"]
 
 
 def packed_policy_index(code: Column) -> Column:
-    src, dst = F.pmod(code, F.lit(64)), F.pmod(F.shiftright(code, 6), F.lit(64))
-    promotion = F.element_at(F.lit(PACKED_PROMOTIONS), F.shiftright(code, 12) + 1)
-    return policy_index(src, dst, promotion)
+    """Policy index of a packed move, negative when it has no plane."""
+    src, dst = code.bitwiseAND(F.lit(63)), F.shiftright(code, 6).bitwiseAND(F.lit(63))
+    piece = F.shiftright(code, 12)
+    df = dst.bitwiseAND(F.lit(7)) - src.bitwiseAND(F.lit(7))
+    # packed promotions 1, 2, 3 are always a pawn's last step
+    under = 64 + 3 * (piece - 1) + df + 1
+    return F.when(piece.between(1, 3), under).otherwise(_step_plane(src, dst)) * 64 + src
 
 
 def legal_mask(codes) -> Column:
-    """Sorted flat indices of the legal moves."""
-    indices = F.transform(_col(codes), packed_policy_index)
-    return F.array_sort(F.array_distinct(F.filter(indices, lambda i: i.isNotNull())))
+    """Sorted flat indices of legal moves packed as above."""
+    indices = F.filter(F.transform(_col(codes), packed_policy_index), lambda i: i >= 0)
+    return F.sort_array(F.array_distinct(indices)).cast("array<smallint>")

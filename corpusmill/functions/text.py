@@ -83,31 +83,39 @@ def record_id(path, headers) -> Column:
     return F.concat_ws("_", *[F.replace(f, F.lit(" "), F.lit("_")) for f in fields])
 
 
+def _without_variations(text: Column) -> Column:
+    for _ in range(VARIATION_DEPTH):
+        text = F.regexp_replace(text, r"\([^()]*\)", " ")
+    return text
+
+
 def strip_movetext(movetext) -> Column:
     """Movetext without comments, annotations, variations and move numbers.
 
     Variations nested deeper than VARIATION_DEPTH leave a parenthesis behind.
     """
-    text = F.regexp_replace(_col(movetext), r"(?s)\{[^}]*\}", " ")
-    text = F.regexp_replace(text, r"(?m);[^\n]*$", " ")
-    text = F.regexp_replace(text, r"(?m)^%[^\n]*$", " ")
-    for _ in range(VARIATION_DEPTH):
-        text = F.regexp_replace(text, r"\([^()]*\)", " ")
-    text = F.regexp_replace(text, r"\$\d+|[!?]+", " ")
-    text = F.regexp_replace(text, r"(?<![^\s])\d+\.+", " ")
-    return F.trim(F.regexp_replace(text, r"\s+", " "))
+    text = F.regexp_replace(_col(movetext), r"(?m)\{[^}]*\}|;[^\n]*$|^%[^\n]*$|\$\d+|[!?]+", " ")
+    text = let(text, lambda t: F.when(t.contains("("), _without_variations(t)).otherwise(t))
+    return F.trim(F.regexp_replace(text, r"(?:\A|\s)(?:\s|\d+\.+)*", " "))
+
+
+def plain_tokens(plain) -> Column:
+    """Mainline move tokens of stripped movetext, the closing result removed."""
+    return F.filter(F.split(_col(plain), " "), lambda t: (t != "") & ~t.isin(*RESULTS, "*"))
+
+
+def plain_result(plain) -> Column:
+    """The result that closes stripped movetext, or NULL."""
+    found = F.filter(F.split(_col(plain), " "), lambda t: t.isin(*RESULTS, "*"))
+    return F.try_element_at(found, F.lit(-1))
 
 
 def movetext_tokens(movetext) -> Column:
-    """Mainline move tokens, the closing result removed."""
-    tokens = F.split(strip_movetext(movetext), " ")
-    return F.filter(tokens, lambda t: (t != "") & ~t.isin(*RESULTS, "*"))
+    return plain_tokens(strip_movetext(movetext))
 
 
 def movetext_result(movetext) -> Column:
-    """The result that closes the movetext, or NULL."""
-    found = F.filter(F.split(strip_movetext(movetext), " "), lambda t: t.isin(*RESULTS, "*"))
-    return F.try_element_at(found, F.lit(-1))
+    return plain_result(strip_movetext(movetext))
 
 
 def canonical_text(text) -> Column:

@@ -12,9 +12,18 @@ from pyspark.sql.pandas.types import to_arrow_type
 
 from ._rules import replay
 
-PLY_FIELDS = T._parse_datatype_string(
-    "ply int, total_plys int, fen string, move_from int, move_to int, promotion string, "
-    "legal array<int>, rep_count int, is_960 boolean, error string"
+PLY_FIELDS = (
+    T.StructType()
+    .add("ply", T.IntegerType())
+    .add("total_plys", T.IntegerType())
+    .add("fen", T.StringType())
+    .add("move_from", T.IntegerType())
+    .add("move_to", T.IntegerType())
+    .add("promotion", T.StringType())
+    .add("legal", T.ArrayType(T.IntegerType()))
+    .add("rep_count", T.IntegerType())
+    .add("is_960", T.BooleanType())
+    .add("error", T.StringType())
 )
 # rows per Arrow batch: bounds a task's memory whatever the games' lengths
 BATCH = 2048

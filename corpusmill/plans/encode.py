@@ -9,7 +9,7 @@ from ..functions import board as B
 from ..functions import moves as M
 from ..functions.conform import POSITION_SCHEMA, conform
 from ..functions.outcome import outcome_for_mover
-from ..functions.text import header, record_id
+from ..functions.text import header, parse_headers, record_id
 from ..operators.quality import quality_filter, with_moves, with_result
 from ..operators.replay import replay_games
 from ..session import materialize
@@ -21,8 +21,10 @@ GAME_COLUMNS = ["game_id", "split", "source", "result"]
 
 def select_games(records: DataFrame, rules="encoder") -> DataFrame:
     """Playable games of labelled records. All filters stand before the replay."""
-    good, _ = split_errors(parse_records(records))
-    games = quality_filter(with_moves(with_result(good)), rules)
+    # header rules first: they are cheap and spare rejected games the movetext work
+    rated = quality_filter(records.withColumn("headers", parse_headers("text")), rules)
+    good, _ = split_errors(parse_records(rated))
+    games = with_moves(with_result(good))
     # a file may repeat a game, so the record number is part of the key
     key = F.concat_ws("#", record_id("path", "headers"), F.col("record_id").cast("string"))
     return games.select(
@@ -31,6 +33,15 @@ def select_games(records: DataFrame, rules="encoder") -> DataFrame:
     )
 
 
+def spread(games: DataFrame, key: str = "game_id") -> DataFrame:
+    """Games over all tasks before the costly step: a gzip file arrives as a single one.
+
+    The explicit number keeps the small rows of games from being merged into few tasks.
+    """
+    partitions = int(games.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return games.repartition(partitions, key)
+
+
 def replay_selected(games: DataFrame, carry=GAME_COLUMNS) -> DataFrame:
     """One row per ply, and one row with an error per game that cannot be played."""
     return replay_games(games, carry, "moves", "fen", "variant")
@@ -70,8 +81,7 @@ def encode_positions(plies: DataFrame, cap: int = 512) -> DataFrame:
 def encode_corpus(records: DataFrame, out: str, size: int = 8192, seed: int = 2024, shuffle: bool = True, rules="encoder") -> DataFrame:
     """Write shuffled chunks and the manifest; returns the manifest row."""
     spark = records.sparkSession
-    # a gzip file arrives as one task: spread its games before the costly step
-    games = select_games(records, rules).repartition("game_id")
+    games = spread(select_games(records, rules))
     # written once, because chunking reads its input twice: keys to count, rows to place
     plies = materialize(replay_selected(games), "plies")
     write_chunks(encode_positions(plies), f"{out}/chunks", size, ("game_id", "ply"), seed, shuffle=shuffle)

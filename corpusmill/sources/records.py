@@ -75,7 +75,7 @@ def stream_records(
 
 
 def _records(raw: DataFrame, errors: str, endings: Sequence[str], numbered: bool = True) -> DataFrame:
-    value = F.regexp_replace(T.decode("value", errors), "^﻿", "")
+    value = F.ltrim(T.decode("value", errors), F.lit("\ufeff"))
     # the separator took the bracket that opens a header block
     value = F.when(value.rlike(r'\A[A-Za-z0-9][^\s"]*\s+"[^\r\n]*"\s*\]'), F.concat(F.lit("["), value)).otherwise(value)
     columns = [
@@ -86,7 +86,7 @@ def _records(raw: DataFrame, errors: str, endings: Sequence[str], numbered: bool
     records = (
         raw.where(F.col("_metadata.file_name").rlike(ending_pattern(endings)))
         .select(*columns, F.explode(F.split(value, r"(?:\r?\n){2,}(?=\[)")).alias("text"))
-        .where(F.length(F.trim(F.regexp_replace("text", r"\s", ""))) > 0)
+        .where(F.col("text").rlike(r"\S"))
     )
     return records.withColumn("record_id", F.monotonically_increasing_id()) if numbered else records
 
@@ -94,16 +94,18 @@ def _records(raw: DataFrame, errors: str, endings: Sequence[str], numbered: bool
 def parse_records(df: DataFrame, text: str = "text") -> DataFrame:
     """Adds ``headers, movetext, moves, result, error``. One bad record never drops another."""
     parsed = df.withColumns({"headers": T.parse_headers(text), "movetext": T.movetext_block(text)})
-    parsed = parsed.withColumns({"moves": T.movetext_tokens("movetext"), "__end": T.movetext_result("movetext")})
+    # Exploded, so that the costly stripping runs once per record: a filter on the error
+    # cannot be pushed below it and evaluate it again.
+    parsed = parsed.withColumn("__plain", F.explode(F.array(T.strip_movetext("movetext"))))
+    parsed = parsed.withColumns({"moves": T.plain_tokens("__plain"), "__end": T.plain_result("__plain")})
     stated = T.header("headers", "Result", "*")
     parsed = parsed.withColumn("result", F.when(stated == "*", F.coalesce("__end", F.lit("*"))).otherwise(stated))
-    left_over = T.strip_movetext("movetext")
     error = (
-        F.when(left_over.rlike(r"[(){}]"), "unbalanced or too deep variation or comment")
+        F.when(F.col("__plain").rlike(r"[(){}]"), "unbalanced or too deep variation or comment")
         .when((F.size("headers") == 0) & (F.size("moves") == 0), "neither headers nor moves")
         .when((F.size("moves") == 0) & (F.col("result") == "*"), "no moves and no result")
     )
-    return parsed.withColumn("error", error).drop("__end")
+    return parsed.withColumn("error", error).drop("__end", "__plain")
 
 
 def split_errors(df: DataFrame, text: str = "text", lines: int = 30) -> tuple[DataFrame, DataFrame]:

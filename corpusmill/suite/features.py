@@ -13,7 +13,7 @@ from ..operators.evaluate import LOSSES, evaluate, row_losses
 from ..operators.graph import distance_bias, shortest_paths
 from ..operators.planes import augment, join_move_planes, plane_moves
 from ..operators.replay import replay_games
-from ..plans.encode import encode_positions
+from ..plans.encode import encode_positions, spread
 from .registry import query, table
 
 RESULT = "CASE o_orderstatus WHEN 'F' THEN '1-0' WHEN 'O' THEN '0-1' ELSE '1/2-1/2' END"
@@ -157,7 +157,8 @@ FROM x GROUP BY l_orderkey HAVING count(coalesce(under, base)) > 0""")
 def legal_masks(spark, folder):
     """Orders stand in for positions, their lines for legal moves. An order has a bounded number of lines."""
     moves = line_moves(spark, folder)
-    promotion = F.coalesce(F.array_position(F.lit(M.PACKED_PROMOTIONS), F.lower("promotion")).cast("int") - 1, F.lit(0))
+    promotes = M.under_promotion_plane("src", "dst", "promotion").isNotNull()
+    promotion = F.when(promotes, F.array_position(F.lit(M.PACKED_PROMOTIONS), F.lower("promotion")).cast("int") - 1).otherwise(0)
     coded = moves.withColumn("code", F.col("src") + 64 * F.col("dst") + 4096 * promotion)
     lists = coded.groupBy("l_orderkey").agg(F.collect_set("code").alias("legal"))
     masks = lists.select("l_orderkey", M.legal_mask("legal").alias("mask")).where(F.size("mask") > 0)
@@ -342,7 +343,7 @@ SELECT game_id, CAST(ply AS BIGINT) AS ply, CAST(s AS BIGINT) AS move_from, CAST
   cells[57:64] || cells[49:56] || cells[41:48] || cells[33:40] || cells[25:32] || cells[17:24] || cells[9:16] || cells[1:8] AS board,
   ply % 2 = 0 AS white FROM rows""")
 def replay_query(spark, folder):
-    plies = replay_games(turn_games(spark, folder), ["game_id"])
+    plies = replay_games(spread(turn_games(spark, folder)), ["game_id"])
     return plies.select(
         "game_id",
         *[F.col(c).cast("bigint").alias(c) for c in ("ply", "move_from", "move_to", "rep_count")],
@@ -358,7 +359,7 @@ SELECT game_id, CAST(ply AS BIGINT) AS ply, CASE WHEN role = 'user' THEN 'liches
   CAST(least(n - ply - 1, 30) AS BIGINT) AS ply_target, CAST(n AS BIGINT) AS total_plys, ply % 2 = 0 AS side_to_move,
   seen >= 1 AS rep_count_ge1, seen >= 2 AS rep_count_ge2, true AS target_is_legal FROM rows""")
 def encode_query(spark, folder):
-    positions = encode_positions(replay_games(turn_games(spark, folder), ["game_id", "split", "source", "result"], "moves", "fen", "variant"), 30)
+    positions = encode_positions(replay_games(spread(turn_games(spark, folder)), ["game_id", "split", "source", "result"], "moves", "fen", "variant"), 30)
     wide = lambda c: F.col(c).cast("bigint").alias(c)
     return positions.select(
         "game_id", wide("ply"), "source",
