@@ -26,6 +26,26 @@ def _open(uri: str):
     return filesystem.open_input_file(path)
 
 
+class _Forward(io.RawIOBase):
+    """``size`` bytes of a handle from where it stands, front to back."""
+
+    def __init__(self, handle, size: int):
+        self.handle, self.left = handle, size
+
+    def readable(self) -> bool:
+        return True
+
+    def readinto(self, buffer) -> int:
+        data = self.handle.read(min(len(buffer), self.left))
+        buffer[: len(data)] = data
+        self.left -= len(data)
+        return len(data)
+
+
+def _forward(handle, size: int) -> io.BufferedReader:
+    return io.BufferedReader(_Forward(handle, size))
+
+
 def _texts(stream, name: str, errors: str) -> Iterator[str]:
     """Records of one member: a header line after a blank line opens the next one."""
     lowered = name.lower()
@@ -68,28 +88,11 @@ def _archive_rows(path: str, errors: str) -> Iterator[tuple]:
                     if plain:
                         yield path, member.name, member.offset_data, member.size, None, None, None
                     else:
-                        yield from _member_rows(path, member.name, tar.extractfile(member), errors)
+                        yield from _member_rows(path, member.name, _forward(tar.extractfile(member), member.size), errors)
     except Exception as problem:
         yield path, None, None, None, None, None, f"{type(problem).__name__}: {problem}"
 
 
-class _Slice(io.RawIOBase):
-    """A member of an uncompressed archive, read in place."""
-
-    def __init__(self, handle, start: int, size: int):
-        self.handle, self.left = handle, size
-        handle.seek(start)
-
-    def readable(self) -> bool:
-        return True
-
-    def readinto(self, buffer) -> int:
-        data = self.handle.read(min(len(buffer), self.left))
-        buffer[: len(data)] = data
-        self.left -= len(data)
-        return len(data)
-
-
 def _frames(rows: Iterator[tuple]) -> Iterator[pd.DataFrame]:
     batch = []
     for row in rows:
@@ -119,7 +122,8 @@ def scan_archives(spark: SparkSession, path: str, errors: str = "replace") -> Da
             for pdf in batches:
                 for p, name, start, size in zip(pdf["path"], pdf["member"], pdf["start"], pdf["size"]):
                     with _open(p) as handle:
-                        yield from _member_rows(p, name, io.BufferedReader(_Slice(handle, int(start), int(size))), errors)
+                        handle.seek(int(start))
+                        yield from _member_rows(p, name, _forward(handle, int(size)), errors)
 
         yield from _frames(rows())
 
