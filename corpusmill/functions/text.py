@@ -96,7 +96,8 @@ def strip_movetext(movetext) -> Column:
     """
     text = F.regexp_replace(_col(movetext), r"(?m)\{[^}]*\}|;[^\n]*$|^%[^\n]*$|\$\d+|[!?]+", " ")
     text = let(text, lambda t: F.when(t.contains("("), _without_variations(t)).otherwise(t))
-    return F.trim(F.regexp_replace(text, r"(?:\A|\s)(?:\s|\d+\.+)*", " "))
+    # two plain passes: a nested repetition would overflow the stack on long number lists
+    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?<!\S)\d+\.+", " "), r"\s+", " "))
 
 
 def plain_tokens(plain) -> Column:

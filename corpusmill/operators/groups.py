@@ -74,16 +74,24 @@ def windowed(
     lead_in: int,
     compute: Callable[[DataFrame, list[str]], DataFrame],
     hot_rows: int = HOT_ROWS,
+    extras: Mapping[str, Column] | None = None,
 ) -> DataFrame:
-    """Apply ``compute(df, partition_columns)`` whose windows look back at most ``lead_in`` rows."""
+    """Apply ``compute(df, partition_columns)`` whose windows look back at most ``lead_in`` rows.
+
+    ``compute`` also finds ``__rn``, the row number within the whole key, and the
+    whole-group aggregates of ``extras``; both are dropped from the result.
+    """
     if lead_in >= hot_rows:
         raise ValueError("a segment must be longer than the rows it looks back on")
-    keys = list(keys)
+    keys, extras = list(keys), dict(extras or {})
     hot, cold = split_hot(df, keys, hot_rows)
-    result = compute(cold, keys)
+    whole = Window.partitionBy(*keys)
+    aggregates = {name: aggregate.over(whole) for name, aggregate in extras.items()}
+    numbered = cold.withColumns({"__rn": F.row_number().over(whole.orderBy(*order)).cast("bigint"), **aggregates})
+    result = compute(numbered, keys).drop("__rn", *extras)
     if hot is None:
         return result
-    numbered = _hot_ranked(hot, keys, order, "__rn", {}).withColumn("__i", F.col("__rn") - 1)
+    numbered = _hot_ranked(hot, keys, order, "__rn", extras).withColumn("__i", F.col("__rn") - 1)
     own = F.floor(F.col("__i") / hot_rows).cast("bigint")
     # the last rows of a segment also open the next one
     copies = F.when(F.pmod("__i", F.lit(hot_rows)) >= hot_rows - lead_in, F.array(own, own + 1)).otherwise(F.array(own))

@@ -82,3 +82,18 @@ def progress(df: DataFrame, step: str, elapsed: str, total) -> DataFrame:
     return df.withColumns(
         {"progress_pct": F.when(end > 0, F.col(step) * 100.0 / end).otherwise(F.lit(0.0)), "eta_seconds": eta}
     )
+
+
+def pace(df: DataFrame, rows: str, seconds: str, workers: str, files: str) -> DataFrame:
+    """Rows per second, per worker-second and per file of finished runs; NULL where nothing elapsed."""
+
+    def rate(divisor):
+        return F.when(divisor > 0, F.col(rows) / divisor)
+
+    return df.withColumns(
+        {
+            "rows_per_second": rate(F.col(seconds)),
+            "rows_per_worker_second": rate(F.col(seconds) * F.col(workers)),
+            "rows_per_file": rate(F.col(files)),
+        }
+    )

@@ -8,7 +8,6 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, seeded_hash
-from ..session import materialize
 from .groups import ranked
 from .index import hash_ranked, running_totals, with_global_index
 
@@ -26,13 +25,13 @@ def two_stage_sample(
     file_hash = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw_id").cast("string"), F.lit("f")))
     row_hash = F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw_id").cast("string"), F.lit("r")))
     if mode == "uniform":
-        # the index is written, so the count comes from the file footers
-        rows = materialize(with_global_index(df, [file, *order], "__pick"), "rows")
+        # the index stands on a written table, so counting it is cheap
+        rows = with_global_index(df, [file, *order], "__pick")
         total = rows.count()
         picks = draws.withColumn("__pick", draw(row_hash, total))
         return rows.join(picks, "__pick").drop("__pick") if total else rows.withColumn("draw_id", F.lit(0)).limit(0)
     counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("__rows"))
-    files = materialize(with_global_index(counts, [file], "__ordinal"), "files")
+    files = with_global_index(counts, [file], "__ordinal")
     total = files.count()
     if not total:
         return df.withColumn("draw_id", F.lit(0).cast("bigint")).limit(0)
@@ -52,7 +51,7 @@ def two_stage_sample(
 def cap_rows(df: DataFrame, file: str, key: Sequence[str], maximum: int, seed: int) -> DataFrame:
     """At most ``maximum`` rows in file order; the file that crosses the limit is sampled without replacement."""
     counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("__rows"))
-    totals = materialize(running_totals(counts, [file], "__rows", "__upto"), "totals")
+    totals = running_totals(counts, [file], "__rows", "__upto")
     whole = totals.where(F.col("__upto") <= maximum).select(file)
     crossing = totals.where((F.col("__upto") > maximum) & (F.col("__upto") - F.col("__rows") < maximum))
     crossing = crossing.select(file, (F.lit(maximum) - (F.col("__upto") - F.col("__rows"))).alias("__left"))

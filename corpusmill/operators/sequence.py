@@ -48,20 +48,19 @@ def step_rates(
     df: DataFrame, keys: Sequence[str], order: Sequence[str], time: str, hot_rows: int = HOT_ROWS
 ) -> DataFrame:
     """Rows per second since the previous row and since the start; no elapsed time gives NULL."""
-    numbered = ranked(df, keys, order, "__rn", {"__start": F.min(time)}, hot_rows)
 
     def compute(rows: DataFrame, partition: list[str]) -> DataFrame:
         w = Window.partitionBy(*partition).orderBy(*order)
-        return rows.withColumn("__gap", _seconds(F.lag(time).over(w), F.col(time)))
-
-    paced = windowed(numbered, keys, order, 1, compute, hot_rows)
-    since = _seconds(F.col("__start"), F.col(time))
-    return paced.withColumns(
-        {
-            "recent_rate": F.when(F.col("__gap") > 0, 1.0 / F.col("__gap")),
-            "average_rate": F.when(since > 0, F.col("__rn") / since),
-        }
-    ).drop("__rn", "__start", "__gap")
+        gap = _seconds(F.lag(time).over(w), F.col(time))
+        since = _seconds(F.col("__start"), F.col(time))
+        return rows.withColumns(
+            {
+                "recent_rate": F.when(gap > 0, 1.0 / gap),
+                "average_rate": F.when(since > 0, F.col("__rn") / since),
+            }
+        )
+
+    return windowed(df, keys, order, 1, compute, hot_rows, {"__start": F.min(time)})
 
 
 def _seconds(start, end):

@@ -69,9 +69,11 @@ def stream_records(
     newline: str = "\n",
     errors: str = "replace",
     endings: Sequence[str] = TEXT_ENDINGS,
+    files_per_batch: int = 1000,
 ) -> DataFrame:
     """The same rows from files as they arrive, without ``record_id``."""
-    return _records(_reader(reader, newline).text(path), errors, endings, numbered=False)
+    raw = _reader(reader, newline).option("maxFilesPerTrigger", files_per_batch).text(path)
+    return _records(raw, errors, endings, numbered=False)
 
 
 def _records(raw: DataFrame, errors: str, endings: Sequence[str], numbered: bool = True) -> DataFrame:

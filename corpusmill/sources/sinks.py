@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..operators.groups import ranked
-from ..operators.index import attach, hash_ranked
+from ..operators.index import hash_ranked
 from ..operators.integrity import assert_same
 from ..session import path_exists
 
@@ -24,15 +24,15 @@ def write_shards(
 ) -> None:
     """Shards of at most ``records_per_shard`` records under ``split=…/source=…``.
 
-    Each group is spread over as many tasks as it needs shards, by a hash of the
-    record id, so neither a large source nor repeated texts fill one task.
+    One pass, no counting: records are salted by their id over all shuffle partitions,
+    so neither a large source nor repeated texts fill one task. Small neighbours are
+    merged by adaptive execution; the last shard of a group in each task may be short.
     """
     by = list(by)
-    # one row per (split, source)
-    sizes = df.groupBy(*by).agg(F.ceil(F.count(F.lit(1)) / records_per_shard).alias("__shards"))
-    spread = attach(df, sizes, by).withColumn("__shard", F.pmod(F.xxhash64(key), F.col("__shards")))
-    columns = [*by, F.col(text).alias("value")] if fmt == "text" else [c for c in df.columns]
-    writer = spread.repartition(*by, "__shard").select(*columns).write.partitionBy(*by)
+    salts = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    spread = df.repartition(*by, F.pmod(F.xxhash64(key), F.lit(salts)))
+    columns = [*by, F.col(text).alias("value")] if fmt == "text" else df.columns
+    writer = spread.select(*columns).write.partitionBy(*by)
     writer.option("maxRecordsPerFile", records_per_shard).format(fmt).save(path)
 
 

@@ -241,12 +241,19 @@ def dense_policy_query(spark, folder):
     )
 
 
+NATION, SUPPLIER, PART = 0, 1, 2
+
+
+def node(key: str, kind: int):
+    """One id space for three tables."""
+    return F.col(key).cast("bigint") * 3 + kind
+
+
 def supply_edges(spark: SparkSession, folder: str) -> DataFrame:
     """Nations, suppliers and parts as nodes; both directions of each link."""
     suppliers, items = table(spark, folder, "supplier"), table(spark, folder, "lineitem")
-    node = lambda letter, key: F.concat(F.lit(letter), F.col(key).cast("string"))
-    homes = suppliers.select(node("n", "s_nationkey").alias("a"), node("s", "s_suppkey").alias("b"), F.lit(1.0).alias("w"))
-    sales = items.select(node("s", "l_suppkey").alias("a"), node("p", "l_partkey").alias("b"), (F.col("l_discount") + 1.0).alias("w"))
+    homes = suppliers.select(node("s_nationkey", NATION).alias("a"), node("s_suppkey", SUPPLIER).alias("b"), F.lit(1.0).alias("w"))
+    sales = items.select(node("l_suppkey", SUPPLIER).alias("a"), node("l_partkey", PART).alias("b"), (F.col("l_discount") + 1.0).alias("w"))
     both = homes.unionByName(sales)
     ends = F.array(F.struct(F.col("a").alias("src"), F.col("b").alias("dst")), F.struct(F.col("b").alias("src"), F.col("a").alias("dst")))
     return both.select("w", F.inline(ends))
@@ -254,10 +261,10 @@ def supply_edges(spark: SparkSession, folder: str) -> DataFrame:
 
 ROUNDS = 7
 PATHS = """
-WITH one AS (SELECT 'n' || s_nationkey AS a, 's' || s_suppkey AS b, 1.0::DOUBLE AS w FROM supplier
-  UNION ALL SELECT 's' || l_suppkey, 'p' || l_partkey, l_discount + 1.0 FROM lineitem),
+WITH one AS (SELECT s_nationkey::BIGINT * 3 AS a, s_suppkey * 3 + 1 AS b, 1.0::DOUBLE AS w FROM supplier
+  UNION ALL SELECT l_suppkey * 3 + 1, l_partkey * 3 + 2, l_discount + 1.0 FROM lineitem),
 e AS MATERIALIZED (SELECT src, dst, min(w) AS w FROM (SELECT a AS src, b AS dst, w FROM one UNION ALL SELECT b, a, w FROM one) GROUP BY ALL),
-d0 AS (SELECT 'n' || n_nationkey AS source, 'n' || n_nationkey AS node, 0.0::DOUBLE AS dist FROM nation)""" + "".join(
+d0 AS (SELECT n_nationkey::BIGINT * 3 AS source, n_nationkey::BIGINT * 3 AS node, 0.0::DOUBLE AS dist FROM nation)""" + "".join(
     f""",
 d{i} AS MATERIALIZED (SELECT source, node, min(dist) AS dist FROM (SELECT * FROM d{i - 1} UNION ALL
   SELECT source, dst, dist + w FROM d{i - 1} JOIN e ON node = src) GROUP BY ALL)"""
@@ -269,7 +276,7 @@ d{i} AS MATERIALIZED (SELECT source, node, min(dist) AS dist FROM (SELECT * FROM
 SELECT source, node, round(dist, 6) AS dist,
   round(CASE WHEN source = node THEN 0.0 ELSE -1 / (1 + exp(-6.0 * least(greatest((dist - 1) / 0.35, 0), 1) + 3.0)) END, 6) AS bias FROM d{ROUNDS}""")
 def shortest_paths_query(spark, folder):
-    nations = table(spark, folder, "nation").select(F.concat(F.lit("n"), F.col("n_nationkey").cast("string")).alias("node"))
+    nations = table(spark, folder, "nation").select(node("n_nationkey", NATION).alias("node"))
     paths = shortest_paths(supply_edges(spark, folder), nations)
     bias = distance_bias("dist", F.col("source") == F.col("node"))
     return paths.select("source", "node", F.round("dist", 6).alias("dist"), F.round(bias, 6).alias("bias"))

@@ -10,6 +10,7 @@ from ..operators.profile import (
     category_distribution,
     compare_distributions,
     group_totals,
+    pace,
     plane_usage,
     progress,
     rollup_totals,
@@ -279,3 +280,22 @@ def progress_query(spark, folder):
     steps = events.withColumns({"step": F.col("event_id") + 1, "elapsed": elapsed})
     done = progress(steps, "step", "elapsed", events.count())
     return done.select("event_id", F.round("progress_pct", 6).alias("progress_pct"), F.round("eta_seconds", 3).alias("eta_seconds"))
+
+
+@query("pace", """
+WITH r AS (SELECT event_type, count(*) AS rows, (epoch_us(max(ts)) - epoch_us(min(ts))) / 1e6 AS seconds,
+  count(DISTINCT user_id) AS workers, count(DISTINCT CAST(ts AS DATE)) AS files FROM events GROUP BY ALL)
+SELECT event_type, round(rows / seconds, 9) AS rows_per_second, round(rows / (seconds * workers), 9) AS rows_per_worker_second,
+       round(rows / files, 6) AS rows_per_file FROM r""")
+def pace_query(spark, folder):
+    """Event types as runs, users as workers, days as files."""
+    micros = F.unix_micros(F.col("ts").cast("timestamp"))
+    runs = table(spark, folder, "events").groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("rows"), ((F.max(micros) - F.min(micros)) / 1e6).alias("seconds"),
+        F.count_distinct("user_id").alias("workers"), F.count_distinct(F.col("ts").cast("date")).alias("files"),
+    )
+    paced = pace(runs, "rows", "seconds", "workers", "files")
+    return paced.select(
+        "event_type", F.round("rows_per_second", 9).alias("rows_per_second"),
+        F.round("rows_per_worker_second", 9).alias("rows_per_worker_second"), F.round("rows_per_file", 6).alias("rows_per_file"),
+    )

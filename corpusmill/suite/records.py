@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.conform import conform, with_defaults
 from ..operators.quality import Rule, quality_filter, with_result
-from ..session import scratch_path
+from ..session import materialize, scratch_path
 from ..sources.archives import scan_archives
 from ..sources.records import label_source, label_split, parse_records, scan_records, split_errors
 from .registry import query, table
@@ -186,7 +186,8 @@ def record_errors(spark, folder):
         .otherwise(F.concat(F.lit("e4 {"), clean, F.lit("} 1-0")))
     )
     records = docs.select("doc_id", F.concat(F.lit('[Event "x"]\n\n'), body).alias("text"))
-    good, bad = split_errors(parse_records(records))
+    # written once: both sides come from one parse
+    good, bad = split_errors(materialize(parse_records(records), "parsed"))
     lines = F.size(F.split("dump", "\n")).cast("bigint")
     return good.select("doc_id", F.lit(None).cast("string").alias("error"), F.lit(None).cast("bigint").alias("dump_lines")).unionByName(
         bad.select("doc_id", "error", lines.alias("dump_lines"))
