@@ -60,7 +60,7 @@ def scaled_huber(prediction, target, scale: float = HUBER_SCALE, delta: float =
 
 
 def _finite_or_zero(loss: Column) -> Column:
-    return F.when(F.isnan(loss) | (F.abs(loss) == F.lit(float("inf"))), 0.0).otherwise(loss)
+    return let(loss, lambda x: F.when(F.isnan(x) | (F.abs(x) == F.lit(float("inf"))), 0.0).otherwise(x))
 
 
 def masked_policy_loss(logits, legal, target) -> Column:

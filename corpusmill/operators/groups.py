@@ -20,7 +20,7 @@ MAX_HOT_KEYS = 10_000
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:
-    """(rows of hot keys or None, all other rows).
+    """(rows of hot keys or None, all other rows), after one counting pass over the key columns.
 
     At most MAX_HOT_KEYS keys, the largest ones, count as hot, so the key list has a
     fixed size bound. A key beyond that list holds under 1/MAX_HOT_KEYS of the rows.

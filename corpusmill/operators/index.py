@@ -49,7 +49,8 @@ def hash_ranked(
 ) -> DataFrame:
     """Number rows 0, 1, … per ``by`` group in the order of md5(seed|key).
 
-    A group holding a third of the table is still spread over every bucket.
+    A group holding a third of the table is still spread over every bucket. ``df`` is
+    read twice, so write it first when it is costly to compute.
     """
     by = list(by)
     digits = digits or bucket_digits(df)
@@ -85,11 +86,12 @@ def sorted_table(df: DataFrame, order: Sequence[str], partitions: int | None = N
     else:
         ranged = keyed.repartitionByRange(*keys)
     path = scratch_path(spark, "sorted")
-    ranged.sortWithinPartitions(*keys).drop("__tie").write.parquet(path)
+    # one file per range, whatever the session's default is
+    ranged.sortWithinPartitions(*keys).drop("__tie").write.option("maxRecordsPerFile", 0).parquet(path)
     table = spark.read.schema(schema).parquet(path)
     return table.select(
         "*",
-        # one file per range, named in range order
+        # files are named in range order
         F.regexp_extract(F.col("_metadata.file_name"), r"part-(\d+)", 1).cast("int").alias("__file"),
         F.col("_metadata.row_index").alias("__pos"),
     )

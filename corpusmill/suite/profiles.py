@@ -67,10 +67,10 @@ def split_cube(spark, folder):
 
 
 @query("group_totals", f"""
-SELECT {SPLIT} AS split, lang, count(*) AS rows, count(DISTINCT source) AS sources, count(DISTINCT text) AS texts
+SELECT {SPLIT} AS split, lang, count(*) AS rows, count(DISTINCT source) AS sources, count(DISTINCT n_chars) AS lengths
 FROM documents GROUP BY ALL""")
 def group_totals_query(spark, folder):
-    return group_totals(split_documents(spark, folder), ["split", "lang"], {"sources": "source", "texts": "text"})
+    return group_totals(split_documents(spark, folder), ["split", "lang"], {"sources": "source", "lengths": "n_chars"})
 
 
 def _chunked(spark, folder):
