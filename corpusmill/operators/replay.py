@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
+from ..session import ship_package
 from ._rules import replay
 
 PLY_FIELDS = (
@@ -80,4 +81,5 @@ def replay_games(
         arrays = [pa.array(values, type=field.type) for values, field in zip(zip(*held), arrow)]
         return pa.RecordBatch.from_arrays(arrays, schema=arrow)
 
+    ship_package(games.sparkSession)
     return slim.mapInArrow(run, schema)

@@ -12,6 +12,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..session import ship_package
 from .records import ARCHIVE_ENDINGS, list_files
 
 MEMBER_SCHEMA = "path string, member string, start bigint, size bigint, record_no bigint, text string, error string"
@@ -127,6 +128,7 @@ def scan_archives(spark: SparkSession, path: str, errors: str = "replace") -> Da
 
         yield from _frames(rows())
 
+    ship_package(spark)
     files = list_files(spark, path, ARCHIVE_ENDINGS).select("path")
     packed = files.where(~F.lower("path").endswith(".tar")).mapInPandas(open_archives, MEMBER_SCHEMA)
     plain = files.where(F.lower("path").endswith(".tar")).mapInPandas(open_archives, MEMBER_SCHEMA)

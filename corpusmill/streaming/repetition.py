@@ -1,4 +1,4 @@
-"""Repetition counts kept in state while rows arrive."""
+"""Repetition counts while rows arrive."""
 
 from __future__ import annotations
 
@@ -6,28 +6,14 @@ from collections.abc import Iterator, Sequence
 
 import pandas as pd
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 
-
-class _Counter(StatefulProcessor):
-    """One running count per group."""
-
-    def __init__(self, order: Sequence[str], columns: Sequence[str], ttl_ms: int | None):
-        self.order, self.columns, self.ttl_ms = list(order), list(columns), ttl_ms
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]), self.ttl_ms)
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        batch = pd.concat(list(rows)).sort_values(self.order)
-        before = self.seen.get()[0] if self.seen.exists() else 0
-        batch["rep_count"] = range(before, before + len(batch))
-        self.seen.update((before + len(batch),))
-        yield batch[[*self.columns, "rep_count"]]
-
-    def close(self) -> None:
-        pass
+from ..operators.groups import HOT_ROWS
+from ..operators.index import attach
+from ..operators.sequence import prior_occurrences
+from ..session import path_exists
 
 
 def stream_repetitions(
@@ -37,14 +23,66 @@ def stream_repetitions(
 
     State is kept per (key, state), not per key, so a busy key spreads over its states.
     Rows of a group must not arrive in an earlier batch than rows before them; within a
-    batch they are sorted, and the reader's files-per-trigger bounds a batch. ``ttl_ms``
-    drops the state of groups that went quiet.
+    batch they are sorted, which holds one group's share of one batch in memory: the
+    reader's files-per-trigger bounds it. For groups too large for that use
+    ``log_repetitions``. ``ttl_ms`` drops the state of groups that went quiet.
     """
-    columns = stream.columns
+    order, columns = list(order), stream.columns
+
+    # local, so that it travels to the workers by value
+    class Counter(StatefulProcessor):
+        def init(self, handle: StatefulProcessorHandle) -> None:
+            self.seen = handle.getValueState("seen", T.StructType([T.StructField("n", T.LongType())]), ttl_ms)
+
+        def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
+            batch = pd.concat(list(rows)).sort_values(order)
+            before = self.seen.get()[0] if self.seen.exists() else 0
+            batch["rep_count"] = range(before, before + len(batch))
+            self.seen.update((before + len(batch),))
+            yield batch[[*columns, "rep_count"]]
+
+        def close(self) -> None:
+            pass
+
     schema = T.StructType([*stream.schema.fields, T.StructField("rep_count", T.LongType())])
     return stream.groupBy(*key, *state).transformWithStateInPandas(
-        statefulProcessor=_Counter(order, columns, ttl_ms),
+        statefulProcessor=Counter(),
         outputStructType=schema,
         outputMode="Append",
         timeMode="ProcessingTime" if ttl_ms else "None",
     )
+
+
+def log_repetitions(
+    stream: DataFrame,
+    key: Sequence[str],
+    state: Sequence[str],
+    order: Sequence[str],
+    path: str,
+    checkpoint: str,
+    hot_rows: int = HOT_ROWS,
+) -> None:
+    """The same counts for groups of any size, written under ``path/rows``.
+
+    Each batch is numbered by the batch operator, which splits hot groups, on top of the
+    counts that earlier batches left under ``path/counts``. Both are written per batch
+    number, so a repeated batch replaces itself.
+    """
+    group = [*key, *state]
+
+    def write(batch: DataFrame, batch_id: int) -> None:
+        spark = batch.sparkSession
+        own = batch.groupBy(*group).agg(F.count(F.lit(1)).alias("n"))
+        numbered = prior_occurrences(batch, key, state, order, hot_rows)
+        if path_exists(spark, f"{path}/counts"):
+            earlier = spark.read.parquet(f"{path}/counts").where(F.col("batch") < batch_id)
+            # only groups that occur again are summed up
+            before = attach(earlier, own.select(*group), group, "left_semi").groupBy(*group).agg(F.sum("n").alias("before"))
+            numbered = attach(numbered, before, group, "left")
+            numbered = numbered.withColumn("rep_count", F.col("rep_count") + F.coalesce("before", F.lit(0)))
+        rows = numbered.select(*batch.columns, F.col("rep_count").cast("bigint").alias("rep_count"))
+        rows.write.mode("overwrite").parquet(f"{path}/rows/batch={batch_id}")
+        own.write.mode("overwrite").parquet(f"{path}/counts/batch={batch_id}")
+
+    writer = stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()

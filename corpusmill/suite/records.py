@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..functions import text as X
 from ..functions.conform import conform, with_defaults
 from ..operators.quality import Rule, quality_filter, with_result
-from ..session import materialize, scratch_path
+from ..session import materialize, scratch_path, ship_package
 from ..sources.archives import scan_archives
 from ..sources.records import label_source, label_split, parse_records, scan_records, split_errors
 from .registry import query, table
@@ -94,6 +94,8 @@ def scan_archived(spark, folder):
     target = scratch_path(spark, "archives")
     target = target if "://" in target or target.startswith("file:") else f"file://{target}"
 
+    ship_package(spark)
+
     def pack(batches):
         import uuid
 

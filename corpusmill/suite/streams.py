@@ -8,7 +8,7 @@ from ..functions.hashing import chosen_suffixes
 from ..operators.sequence import rolling_mean
 from ..session import scratch_path
 from ..streaming.metric_log import log_metrics
-from ..streaming.repetition import stream_repetitions
+from ..streaming.repetition import log_repetitions, stream_repetitions
 from ..streaming.run import drained, stream_table
 from ..streaming.shards import stream_shards
 from ..streaming.throughput import throughput
@@ -38,6 +38,20 @@ def stream_repetition_query(spark, folder):
     return rows.select("event_id", "rep_count", (F.col("rep_count") >= 1).alias("rep_count_ge1"), (F.col("rep_count") >= 2).alias("rep_count_ge2"))
 
 
+@query("stream_repetitions_hot_groups", REPETITION)
+def stream_repetition_log(spark, folder):
+    """Four weeks arrive one after the other; groups above 60 rows are split."""
+    base = scratch_path(spark, "counts")
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    week = F.floor(F.dayofmonth("ts") / 8)
+    for arriving in range(4):
+        events.where(week == arriving).write.mode("append").parquet(f"{base}/in")
+        stream = spark.readStream.schema(events.schema).parquet(f"{base}/in")
+        log_repetitions(stream, ["user_id"], ["event_type"], ["ts", "event_id"], f"{base}/out", f"{base}/checkpoint", 60)
+    rows = spark.read.parquet(f"{base}/out/rows")
+    return rows.select("event_id", "rep_count", (F.col("rep_count") >= 1).alias("rep_count_ge1"), (F.col("rep_count") >= 2).alias("rep_count_ge2"))
+
+
 @query("stream_metric_log", ROLLING)
 def stream_metric_log(spark, folder):
     base = scratch_path(spark, "metrics")
