@@ -7,6 +7,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..functions.instants import micros
 from .groups import HOT_ROWS, ranked, windowed
 
 
@@ -51,8 +52,8 @@ def step_rates(
 
     def compute(rows: DataFrame, partition: list[str]) -> DataFrame:
         w = Window.partitionBy(*partition).orderBy(*order)
-        gap = _seconds(F.lag(time).over(w), F.col(time))
-        since = _seconds(F.col("__start"), F.col(time))
+        gap = (F.col("__micros") - F.lag("__micros").over(w)) / 1e6
+        since = (F.col("__micros") - F.col("__start")) / 1e6
         return rows.withColumns(
             {
                 "recent_rate": F.when(gap > 0, 1.0 / gap),
@@ -60,14 +61,8 @@ def step_rates(
             }
         )
 
-    return windowed(df, keys, order, 1, compute, hot_rows, {"__start": F.min(time)})
-
-
-def _seconds(start, end):
-    def micros(c):
-        return F.unix_micros(c.cast("timestamp"))
-
-    return (micros(end) - micros(start)) / 1e6
+    timed = df.withColumn("__micros", micros(df, time))
+    return windowed(timed, keys, order, 1, compute, hot_rows, {"__start": F.min("__micros")}).drop("__micros")
 
 
 def every_nth(df: DataFrame, step: str, n: int) -> DataFrame:

@@ -7,12 +7,14 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..functions.instants import instant
+
 
 def throughput(stream: DataFrame, time: str, keys: Sequence[str], width: str = "10 seconds", lateness: str = "10 seconds") -> DataFrame:
     """Count and rate per closed window and key; a window is emitted once the watermark passes it."""
     seconds = F.unix_seconds(F.col("window.end")) - F.unix_seconds(F.col("window.start"))
     counted = (
-        stream.withColumn(time, F.col(time).cast("timestamp"))
+        stream.withColumn(time, instant(stream, time))
         .withWatermark(time, lateness)
         .groupBy(F.window(time, width), *keys)
         .agg(F.count(F.lit(1)).alias("rows"))

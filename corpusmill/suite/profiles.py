@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chosen_suffixes
+from ..functions.instants import micros
 from ..operators.integrity import checksums, shape_report
 from ..operators.profile import (
     category_distribution,
@@ -276,7 +277,7 @@ SELECT event_id, round(step * 100.0 / n, 6) AS progress_pct,
        CASE WHEN elapsed > 0 THEN round((n - step) * elapsed / step, 3) END AS eta_seconds FROM e""")
 def progress_query(spark, folder):
     events = table(spark, folder, "events")
-    elapsed = (F.unix_micros(F.col("ts").cast("timestamp")) - F.unix_micros(F.lit("2024-01-01").cast("timestamp"))) / 1e6
+    elapsed = (micros(events, "ts") - F.unix_micros(F.lit("2024-01-01T00:00:00Z").cast("timestamp"))) / 1e6
     steps = events.withColumns({"step": F.col("event_id") + 1, "elapsed": elapsed})
     done = progress(steps, "step", "elapsed", events.count())
     return done.select("event_id", F.round("progress_pct", 6).alias("progress_pct"), F.round("eta_seconds", 3).alias("eta_seconds"))
@@ -289,9 +290,10 @@ SELECT event_type, round(rows / seconds, 9) AS rows_per_second, round(rows / (se
        round(rows / files, 6) AS rows_per_file FROM r""")
 def pace_query(spark, folder):
     """Event types as runs, users as workers, days as files."""
-    micros = F.unix_micros(F.col("ts").cast("timestamp"))
-    runs = table(spark, folder, "events").groupBy("event_type").agg(
-        F.count(F.lit(1)).alias("rows"), ((F.max(micros) - F.min(micros)) / 1e6).alias("seconds"),
+    events = table(spark, folder, "events")
+    at = micros(events, "ts")
+    runs = events.groupBy("event_type").agg(
+        F.count(F.lit(1)).alias("rows"), ((F.max(at) - F.min(at)) / 1e6).alias("seconds"),
         F.count_distinct("user_id").alias("workers"), F.count_distinct(F.col("ts").cast("date")).alias("files"),
     )
     paced = pace(runs, "rows", "seconds", "workers", "files")
