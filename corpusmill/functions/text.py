@@ -19,6 +19,9 @@ ID_FIELDS = [
     ("Result", "*"),
 ]
 VARIATION_DEPTH = 8
+# Comments and annotations. The look-ahead passes over plain text quickly.
+COMMENTS = r"(?m)(?=[{;%$!?])(?:\{[^}]*\}|;[^\n]*$|^%[^\n]*$|\$\d+|[!?]+)"
+MOVE_NUMBERS = r"(?=\d)(?<!\S)\d+\.+"
 
 
 def _col(value) -> Column:
@@ -37,15 +40,20 @@ def unify_newlines(text) -> Column:
     return F.replace(F.replace(_col(text), F.lit("\r\n"), F.lit("\n")), F.lit("\r"), F.lit("\n"))
 
 
+def _opens_with_header(text: Column) -> Column:
+    return F.ltrim(text, F.lit(" \t\r\n")).startswith("[")
+
+
 def header_block(text) -> Column:
-    """Everything before the first blank line."""
-    return F.regexp_extract(_col(text), r"(?s)\A\s*(.*?)(?:\r?\n[ \t]*\r?\n|\z)", 1)
+    """Everything before the first blank line, nothing when no header opens the text."""
+    block = F.regexp_extract(_col(text), r"(?s)\A\s*(.*?)(?:\r?\n[ \t]*\r?\n|\z)", 1)
+    return F.when(_opens_with_header(_col(text)), block).otherwise(F.lit(""))
 
 
 def movetext_block(text) -> Column:
     """Everything after the first blank line; the whole text when no header opens it."""
     body = F.regexp_extract(_col(text), r"(?s)\A\s*.*?\r?\n[ \t]*\r?\n(.*)\z", 1)
-    return F.when(F.ltrim(_col(text)).startswith("["), body).otherwise(_col(text))
+    return F.when(_opens_with_header(_col(text)), body).otherwise(_col(text))
 
 
 def parse_headers(text) -> Column:
@@ -94,10 +102,10 @@ def strip_movetext(movetext) -> Column:
 
     Variations nested deeper than VARIATION_DEPTH leave a parenthesis behind.
     """
-    text = F.regexp_replace(_col(movetext), r"(?m)\{[^}]*\}|;[^\n]*$|^%[^\n]*$|\$\d+|[!?]+", " ")
+    text = F.regexp_replace(_col(movetext), COMMENTS, " ")
     text = let(text, lambda t: F.when(t.contains("("), _without_variations(t)).otherwise(t))
-    # two plain passes: a nested repetition would overflow the stack on long number lists
-    return F.trim(F.regexp_replace(F.regexp_replace(text, r"(?<!\S)\d+\.+", " "), r"\s+", " "))
+    # blanks unified once, so that the splits below take the fast single-character path
+    return F.trim(F.regexp_replace(F.regexp_replace(text, MOVE_NUMBERS, " "), r"\s+", " "))
 
 
 def plain_tokens(plain) -> Column:
