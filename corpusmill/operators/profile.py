@@ -18,10 +18,9 @@ def group_totals(df: DataFrame, keys: Sequence[str], distinct: Mapping[str, str]
 
 
 def rollup_totals(df: DataFrame, keys: Sequence[str], cube: bool = False) -> DataFrame:
-    """Rows per group, subtotals and the grand total, with ``level`` from grouping_id and ``share`` of all rows."""
+    """Rows per group, subtotals and the grand total, told apart by ``level`` from grouping_id."""
     grouped = df.cube(*keys) if cube else df.rollup(*keys)
-    totals = grouped.agg(F.count(F.lit(1)).alias("rows"), F.grouping_id().cast("bigint").alias("level"))
-    return totals
+    return grouped.agg(F.count(F.lit(1)).alias("rows"), F.grouping_id().cast("bigint").alias("level"))
 
 
 def category_distribution(df: DataFrame, column: str, labels: Sequence[str], by: Sequence[str] = ()) -> DataFrame:

@@ -282,7 +282,8 @@ def shortest_paths_query(spark, folder):
     return paths.select("source", "node", F.round("dist", 6).alias("dist"), F.round(bias, 6).alias("bias"))
 
 
-# Four published-style openings, and knight tours that return to the start position.
+# The four fixture games as moves and as squares, and knight tours that
+# return to the start position.
 OPENINGS = [
     "e4 e5 Nf3 Nc6 Bc4 Bc5 c3 Nf6 d3 d6 O-O O-O Re1 a6 Bb3 Ba7 h3 h6 Nbd2 Re8",
     "d4 Nf6 c4 g6 Nc3 Bg7 e4 d6 Nf3 O-O Be2 e5 O-O Nc6 d5 Ne7 Ne1 Nd7 Nd3 f5",

@@ -10,7 +10,7 @@ from pyspark.sql import functions as F
 
 from ..functions import text as X
 from ..functions.conform import conform, with_defaults
-from ..operators.quality import Rule, quality_filter, with_result
+from ..operators.quality import quality_filter, with_result
 from ..session import materialize, scratch_path, ship_package
 from ..sources.archives import scan_archives
 from ..sources.records import label_source, label_split, parse_records, scan_records, split_errors
@@ -217,14 +217,6 @@ def movetext_tokens(spark, folder):
     )
 
 
-RATED = (
-    Rule("WhiteElo", "at_least", 1800),
-    Rule("BlackElo", "at_least", 1800),
-    Rule("Termination", "equals", "Normal"),
-    Rule("Event", "matches", "(?i)Rated (?:Classical|Blitz) game"),
-)
-
-
 def rated_orders(spark: SparkSession, folder: str) -> DataFrame:
     """Orders with their customers as rated games; some ratings are absent or no numbers."""
     orders, customers = table(spark, folder, "orders"), table(spark, folder, "customer")
@@ -263,7 +255,7 @@ SELECT o_orderkey, source, result FROM g WHERE source <> 'lichess' OR coalesce(
   AND regexp_full_match(lower(ev), 'rated (classical|blitz) game'), false)
 """)
 def quality_strict(spark, folder):
-    kept = quality_filter(rated_orders(spark, folder), RATED, field=F.col)
+    kept = quality_filter(rated_orders(spark, folder), "strict", field=F.col)
     return kept.select("o_orderkey", "source", "result")
 
 
