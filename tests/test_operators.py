@@ -274,3 +274,10 @@ def test_windows_are_plain_without_hot_keys(skewed):
     a = ranked(skewed, ["k"], ["o"])
     b = skewed.withColumn("rn", F.row_number().over(w).cast("bigint"))
     assert a.exceptAll(b).count() == 0
+
+
+def test_tied_keys_keep_their_order(spark):
+    df = spark.range(500).withColumn("k", F.col("id") % 5)
+    layouts = [df.repartition(7), df.coalesce(1), df.repartition(3, "k")]
+    found = [{(r.id, r.row_index) for r in hash_ranked(d, ["k"], 1).collect()} for d in layouts]
+    assert found[0] == found[1] == found[2] and {i for _, i in found[0]} == set(range(500))
