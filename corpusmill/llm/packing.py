@@ -54,6 +54,17 @@ class Encoder:
         return [np.frombuffer(b"".join(map(get, ps)), dtype="<u4") for ps in parts]
 
 
+_ready: dict[str, Encoder] = {}
+
+
+def encoder_of(spec: str) -> Encoder:
+    """One for each worker process, so that parts are remembered from task to task."""
+    if spec not in _ready:
+        _ready.clear()
+        _ready[spec] = Encoder(spec)
+    return _ready[spec]
+
+
 def split_plain(text: str) -> list[str]:
     """Parts between ASCII spaces and line marks, which every definition of white space holds."""
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
@@ -69,7 +80,7 @@ def encoded(docs: DataFrame, spec: str, last_id: int, size: int) -> DataFrame:
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # the tokenizer's file, 2 MB
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        encoder = Encoder(shared.value)
+        encoder = encoder_of(shared.value)
         for batch in batches:
             ids = [np.append(x, np.uint32(last_id)).astype("<u4") for x in encoder([t or "" for t in batch["text"]])]
             yield pd.DataFrame(
