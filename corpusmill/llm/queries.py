@@ -1,6 +1,6 @@
 """All queries of this subpackage."""
 
 from .registry import ORACLES, QUERIES
-from . import op01, op04, op05, op06, op07, op08, op10  # noqa: F401  each registers its query
+from . import op01, op02, op04, op05, op06, op07, op08, op10  # noqa: F401  each registers its query
 
 __all__ = ["ORACLES", "QUERIES"]
