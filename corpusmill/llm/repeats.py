@@ -82,18 +82,17 @@ def unique(keys: np.ndarray, many: np.ndarray | None = None) -> np.ndarray:
 def blocks(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
     """Written rows of about a megabyte of text, or one longer text: block, rows, sizes, packed."""
     ship_package(docs.sparkSession)
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    names = ", ".join(f"`{c}`:{types[c]}" for c in keep)
+    headed = docs.select(F.to_json(F.struct(*keep), {"ignoreNullFields": "false"}).alias("head"), F.col(text).alias("text"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            raw = [(t or "").encode() for t in batch[text]]
-            heads = batch[keep].to_dict("records")
+            raw = [(t or "").encode() for t in batch["text"]]
+            heads = batch["head"].tolist()
             for lo, hi in groups([len(t) for t in raw]):
                 packed = zstandard.compress(b"".join(raw[lo:hi]), 3)
                 yield pd.DataFrame({"heads": [heads[lo:hi]], "sizes": [[len(t) for t in raw[lo:hi]]], "packed": [packed]})
 
-    made = docs.select(*keep, text).mapInPandas(rows, f"heads array<struct<{names}>>, sizes array<bigint>, packed binary")
+    made = headed.mapInPandas(rows, "heads array<string>, sizes array<bigint>, packed binary")
     return materialize(made.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 
 
@@ -263,18 +262,15 @@ def removed(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     windows = list_windows(table.select("block", "sizes", "packed").join(codes, "block"), size, parts)
     repeated = answered(windows, judge_windows, 1, "windows").withColumnRenamed("c0", "windows")
     whole = table.join(codes, "block", "left").join(repeated, "block", "left")
-    types = {f.name: f.dataType.simpleString() for f in docs.schema}
-    columns = ", ".join(f"`{c}` {types[c]}" for c in keep)
-
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
                 block = Joined(texts_of(r.sizes, r.packed))
                 gone = covered(block, size, r.c0, r.c1, r.windows)
-                out = pd.DataFrame([dict(h) for h in r.heads], columns=keep).astype(object)
+                out = pd.DataFrame({"head": list(r.heads)})
                 left = [block.bytes[s:e][~gone[s:e]].tobytes() for s, e in zip(block.starts, block.ends)]
                 if texts:
-                    out[text] = [x.decode("utf-8", "ignore") for x in left]
+                    out["kept"] = [x.decode("utf-8", "ignore") for x in left]
                 else:
                     total = np.concatenate(([0], np.cumsum(gone)))
                     rises = np.concatenate(([0], np.cumsum(gone & ~np.concatenate(([False], gone[:-1])))))
@@ -284,4 +280,7 @@ def removed(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
                     out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in left]
                 yield out
 
-    return whole.mapInPandas(rows, f"{columns}, " + (f"`{text}` string" if texts else FIGURES))
+    found = whole.mapInPandas(rows, "head string, " + ("kept string" if texts else FIGURES))
+    head = F.from_json("head", docs.select(*keep).schema)
+    named = [F.col("kept").alias(text)] if texts else [F.col(c.split()[0]) for c in FIGURES.split(", ")]
+    return found.withColumn("head", head).select("head.*", *named)
