@@ -6,7 +6,7 @@ shortened until a pair at the threshold meets in at least one tree with the targ
 probability; every pair that meets is then verified with its whole sets.
 
 Texts with the same words are one class and are compared once. Classes that meet are put into blocks of
-some 64, and a task compares two blocks, so a bucket with thousands of near copies is many small
+some 256, and a task compares two blocks, so a bucket with thousands of near copies is many small
 tasks, and what leaves a task is a count for each class and one link of it, not the pairs.
 """
 
@@ -25,7 +25,7 @@ from .components import components
 from .spans import Joined, groups, mixed, shingles
 
 TREES, DEEPEST = 24, 8
-BLOCK = 64
+BLOCK = 256
 
 
 def recall(threshold: float, depth: int, trees: int = TREES) -> float:
@@ -96,23 +96,26 @@ def signatures(docs: DataFrame, size: int, depth: int, trees: int) -> DataFrame:
     return materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(rows, schema), "signatures")
 
 
-def blocked(classes: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Classes that meet others, with their block; pairs of blocks with a common prefix."""
+def blocked(classes: DataFrame) -> DataFrame:
+    """Classes that meet others: class_id, prefixes, their block ``home`` and the pairs of blocks it is compared in."""
     each = classes.select("class_id", F.explode("prefixes").alias("prefix"))
     shared = each.groupBy("prefix").agg(F.count(F.lit(1)).alias("n"), F.min("class_id").alias("lead")).where("n > 1").drop("n")
     members = materialize(each.join(shared, "prefix"), "members")
-    # near copies have nearly all met the smallest of them: that brings them into the same blocks
-    label = members.groupBy("class_id").agg(F.min("lead").alias("label"))
-    sizes = label.groupBy("label").agg(F.count(F.lit(1)).alias("n"))
-    few = max(1, -(-label.count() // BLOCK))
-    block = F.when(F.col("n") < BLOCK, F.xxhash64(F.lit(0), F.pmod(F.xxhash64("label"), F.lit(few)))).otherwise(
-        F.xxhash64("label", F.pmod(F.xxhash64("class_id"), F.ceil(F.col("n") / BLOCK)))
-    )
-    homes = materialize(label.join(sizes, "label").select("class_id", block.alias("block")), "homes")
-    seen = members.join(homes, "class_id").select("prefix", "block").distinct()
+    # classes that meet, directly or through others, share blocks; small groups of them lie in one
+    groups_of = components(members.select(F.col("class_id").alias("a"), F.col("lead").alias("b")))
+    groups_of = materialize(groups_of.withColumnRenamed("id", "class_id"), "groups")
+    sizes = groups_of.groupBy("root").agg(F.count(F.lit(1)).alias("n"))
+    few = max(1, -(-groups_of.count() // BLOCK))
+    small = F.xxhash64(F.lit(0), F.pmod(F.xxhash64("root"), F.lit(few)))
+    part = F.xxhash64("root", F.pmod(F.xxhash64("class_id"), F.ceil(F.col("n") / BLOCK)))
+    homes = groups_of.join(sizes, "root").select("class_id", F.when(F.col("n") < BLOCK, small).otherwise(part).alias("home"))
+    homes = materialize(homes, "homes")
+    seen = members.join(homes, "class_id").select("prefix", F.col("home").alias("block")).distinct()
     other = seen.withColumnRenamed("block", "other")
     pairs = seen.join(other, "prefix").where("block <= other").select("block", "other").distinct()
-    return homes, pairs
+    ends = pairs.withColumn("home", F.explode(F.array_distinct(F.array("block", "other"))))
+    lists = ends.groupBy("home").agg(F.collect_list(F.struct("block", "other")).alias("pairs"))
+    return homes.join(lists, "home").join(classes, "class_id")
 
 
 def verify(group: pd.DataFrame, threshold: float, one: bool) -> pd.DataFrame:
@@ -183,7 +186,7 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, target: floa
     marked = signatures(docs, size, depth, TREES)
     classes = marked.groupBy("words").agg(F.min("id").alias("class_id"), F.first("prefixes").alias("prefixes"))
     classes = materialize(classes, "classes")
-    homes, pairs = blocked(classes.select("class_id", "prefixes").where("prefixes IS NOT NULL"))
+    needed = blocked(classes.select("class_id", "prefixes").where("prefixes IS NOT NULL"))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -193,13 +196,11 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, target: floa
                 found, whose = shingle_sets(raw[lo:hi], size)
                 cuts = np.searchsorted(whose, np.arange(hi - lo + 1))
                 packed += [np.unique(found[s:e]).tobytes() for s, e in zip(cuts, cuts[1:])]
-            yield batch[["class_id", "home", "prefixes"]].assign(shingles=packed)
+            yield batch[["class_id", "home", "prefixes", "pairs"]].assign(shingles=packed)
 
-    needed = homes.withColumnRenamed("block", "home").join(classes.select("class_id", "prefixes"), "class_id")
     texts = docs.select(F.col("doc_id").alias("class_id"), "text").join(needed, "class_id")
-    loads = texts.mapInPandas(sets, "class_id bigint, home bigint, prefixes array<bigint>, shingles binary")
-    ends = pairs.withColumn("home", F.explode(F.array_distinct(F.array("block", "other"))))
-    loaded = ends.join(loads, "home")
+    types = "class_id bigint, home bigint, prefixes array<bigint>, pairs array<struct<block:bigint,other:bigint>>, shingles binary"
+    loaded = texts.mapInPandas(sets, types).select("class_id", "home", "prefixes", "shingles", F.inline("pairs"))
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return verify(group.drop_duplicates("class_id"), threshold, key[0] == key[1])
