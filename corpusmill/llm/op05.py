@@ -6,7 +6,7 @@ from .quality import judge, train
 from .registry import query, table
 
 #: Labelled rows that the classifier is fitted on, at most.
-SAMPLE = 4000
+SAMPLE = 1500
 #: Texts of a lower probability of good quality are rejected.
 THRESHOLD = 0.5
 

@@ -162,14 +162,14 @@ def fit(rows: pd.DataFrame, rounds: int = 60, held: float = 0.25) -> Model | Non
         sizes = np.array([len(feature[i]) for i in keep])
         return (
             np.concatenate([feature[i] for i in keep]),
-            np.concatenate([value[i] for i in keep]).astype(np.float64),
-            np.repeat(np.arange(len(keep)), sizes),
+            np.concatenate([value[i] for i in keep]),
+            np.repeat(np.arange(len(keep), dtype=np.int32), sizes),
             label[keep],
         )
 
     f, v, owner, y = table(~test)
     balance = np.where(y > 0, 0.5 / max(1, y.sum()), 0.5 / max(1, (1 - y).sum()))
-    weights, bias = np.zeros(FEATURES), 0.0
+    weights, bias = np.zeros(FEATURES, dtype=np.float32), 0.0
     first, second = np.zeros(FEATURES + 1), np.zeros(FEATURES + 1)
     for step in range(1, rounds + 1):
         score = np.bincount(owner, weights=v * weights[f], minlength=len(y)) + bias
@@ -178,7 +178,7 @@ def fit(rows: pd.DataFrame, rounds: int = 60, held: float = 0.25) -> Model | Non
         first = 0.9 * first + 0.1 * slope
         second = 0.99 * second + 0.01 * slope**2
         move = 1.0 * (first / (1 - 0.9**step)) / (np.sqrt(second / (1 - 0.99**step)) + 1e-8)
-        weights -= move[:-1]
+        weights -= move[:-1].astype(np.float32)
         bias -= move[-1]
     f, v, owner, y = table(test if test.any() else ~test)
     score = np.bincount(owner, weights=v * weights[f], minlength=len(y)) + bias
@@ -203,7 +203,7 @@ def platt(score: np.ndarray, y: np.ndarray) -> tuple[float, float]:
     return float(scale), float(shift)
 
 
-def train(docs: DataFrame, labels: DataFrame, sample: int = 4000) -> Model | None:
+def train(docs: DataFrame, labels: DataFrame, sample: int = 1500) -> Model | None:
     return fit(labelled_features(docs, labels, sample))
 
 
