@@ -18,7 +18,6 @@ ID_FIELDS = [
     ("Black", "UnknownBlack"),
     ("Result", "*"),
 ]
-VARIATION_DEPTH = 8
 # Comments and annotations. The look-ahead passes over plain text quickly.
 COMMENTS = r"(?m)(?=[{;%$!?])(?:\{[^}]*\}|;[^\n]*$|^%[^\n]*$|\$\d+|[!?]+)"
 MOVE_NUMBERS = r"(?=\d)(?<!\S)\d+\.+"
@@ -92,15 +91,27 @@ def record_id(path, headers) -> Column:
 
 
 def _without_variations(text: Column) -> Column:
-    for _ in range(VARIATION_DEPTH):
-        text = F.regexp_replace(text, r"\([^()]*\)", " ")
-    return text
+    """One pass over the pieces between parentheses, whatever the depth; unbalanced text is left as it is."""
+
+    def step(state: Column, piece: Column) -> Column:
+        opens, closes = piece.startswith("("), piece.startswith(")")
+        depth = state["depth"] + opens.cast("int") - closes.cast("int")
+        plain = F.when(closes, F.concat(F.lit(" "), F.substring(piece, F.lit(2), F.length(piece)))).otherwise(piece)
+        return F.struct(
+            depth.alias("depth"),
+            F.least(state["low"], depth).alias("low"),
+            F.when(depth == 0, F.concat(state["out"], plain)).otherwise(state["out"]).alias("out"),
+        )
+
+    start = F.struct(F.lit(0).alias("depth"), F.lit(0).alias("low"), F.lit("").alias("out"))
+    whole = lambda s: F.when((s["depth"] == 0) & (s["low"] == 0), s["out"])
+    return F.coalesce(F.aggregate(F.split(text, r"(?=[()])"), start, step, whole), text)
 
 
 def strip_movetext(movetext) -> Column:
     """Movetext without comments, annotations, variations and move numbers.
 
-    Variations nested deeper than VARIATION_DEPTH leave a parenthesis behind.
+    Unbalanced variations leave a parenthesis behind.
     """
     text = F.regexp_replace(_col(movetext), COMMENTS, " ")
     text = let(text, lambda t: F.when(t.contains("("), _without_variations(t)).otherwise(t))

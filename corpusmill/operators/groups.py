@@ -13,33 +13,29 @@ from collections.abc import Callable, Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from ..session import materialize
 from .index import attach, with_global_index
 
 HOT_ROWS = 1_000_000
-MAX_HOT_KEYS = 10_000
 
 
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:
     """(rows of hot keys or None, all other rows), after one counting pass over the key columns.
 
-    At most MAX_HOT_KEYS keys, the largest ones, count as hot, so the key list has a
-    fixed size bound. A key beyond that list holds under 1/MAX_HOT_KEYS of the rows.
+    Any number of keys may be hot; they are a written table, joined as Spark sees fit.
     """
-    spark = df.sparkSession
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
-    rows = counts.orderBy(F.desc("__n")).limit(MAX_HOT_KEYS).collect()
-    if not rows:
+    hot_keys = materialize(counts.drop("__n"), "hot_keys")
+    if hot_keys.isEmpty():
         return None, df
-    hot_keys = F.broadcast(spark.createDataFrame(rows, counts.schema).drop("__n"))
     return attach(df, hot_keys, keys, "left_semi"), attach(df, hot_keys, keys, "left_anti")
 
 
 def _hot_ranked(hot: DataFrame, keys: Sequence[str], order: Sequence[str], out: str, extras: Mapping[str, Column]) -> DataFrame:
     indexed = with_global_index(hot, [*keys, *order], "__g")
-    # one row per hot key: bounded by MAX_HOT_KEYS
     groups = indexed.groupBy(*keys).agg(F.min("__g").alias("__g0"), *[c.alias(n) for n, c in extras.items()])
     return (
-        attach(indexed, F.broadcast(groups), keys)
+        attach(indexed, groups, keys)
         .withColumn(out, F.col("__g") - F.col("__g0") + 1)
         .drop("__g", "__g0")
     )

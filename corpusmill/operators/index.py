@@ -63,7 +63,7 @@ def hash_ranked(
     before = Window.partitionBy(*by).orderBy("__b").rowsBetween(Window.unboundedPreceding, -1)
     offsets = counts.select("__slot", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__off"))
     # rows with one key keep their order when a task is repeated
-    within = Window.partitionBy("__slot").orderBy("__h", _row_hash(df))
+    within = Window.partitionBy("__slot").orderBy("__h", row_hash(df))
     return (
         hashed.withColumn("__i", F.row_number().over(within) - 1)
         .join(offsets, "__slot")
@@ -80,7 +80,7 @@ def sorted_table(df: DataFrame, order: Sequence[str], partitions: int | None = N
     """
     spark = df.sparkSession
     schema = df.schema
-    keyed = df.withColumn("__tie", _row_hash(df))
+    keyed = df.withColumn("__tie", row_hash(df))
     keys = [*order, "__tie"]
     if partitions:
         ranged = keyed.repartitionByRange(partitions, *keys)
@@ -98,7 +98,7 @@ def sorted_table(df: DataFrame, order: Sequence[str], partitions: int | None = N
     )
 
 
-def _row_hash(df: DataFrame) -> Column:
+def row_hash(df: DataFrame) -> Column:
     """A hash of every column that can be hashed."""
     return F.xxhash64(*[F.col(f.name) for f in df.schema if f.dataType.typeName() not in ("map", "variant")])
 

@@ -46,17 +46,20 @@ def plane_usage(df: DataFrame, column: str, planes: int, kind: str = "index") ->
     """Share of each plane 0..planes−1 in the total; a zero total gives zeros.
 
     ``index``: a flat ``plane * 64 + square`` index per row. ``dense``: an array of
-    ``planes`` numbers per row.
+    ``planes`` numbers per row. ``full``: an array of 64 numbers per plane. A plane outside the range is an error.
     """
     if kind == "index":
         used = df.where(F.col(column).isNotNull()).select(
             F.floor(F.col(column) / 64).cast("bigint").alias("plane"), F.lit(1.0).alias("__x")
         )
-    elif kind == "dense":
+    elif kind in ("dense", "full"):
         used = df.select(F.posexplode(F.col(column)).alias("__p", "__v"))
-        used = used.select(F.col("__p").cast("bigint").alias("plane"), F.col("__v").cast("double").alias("__x"))
+        place = F.col("__p") if kind == "dense" else F.floor(F.col("__p") / 64)
+        used = used.select(place.cast("bigint").alias("plane"), F.col("__v").cast("double").alias("__x"))
     else:
-        raise ValueError("kind is index or dense")
+        raise ValueError("kind is index, dense or full")
+    wrong = F.raise_error(F.concat(F.lit(f"not one of {planes} planes: "), F.col("plane").cast("string")))
+    used = used.withColumn("plane", F.when(F.col("plane").between(0, planes - 1), F.col("plane")).otherwise(wrong))
     sums = used.groupBy("plane").agg(F.sum("__x").alias("__x"))
     every = df.sparkSession.range(planes).select(F.col("id").alias("plane"))
     filled = every.join(sums, "plane", "left").withColumn("usage", F.coalesce("__x", F.lit(0.0)))

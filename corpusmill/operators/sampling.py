@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, seeded_hash
 from .groups import ranked
-from .index import hash_ranked, running_totals, with_global_index
+from .index import hash_ranked, row_hash, running_totals, with_global_index
 
 
 def two_stage_sample(
@@ -86,7 +86,8 @@ def even_parts(df: DataFrame, index: str, parts: int, total: int, out: str = "pa
 
 
 def global_shuffle(df: DataFrame, key: Sequence[str], seed: int, partitions: int | None = None) -> DataFrame:
-    """Rows range-partitioned and sorted by md5(seed|key): one exchange, any cluster size, same order."""
-    hashed = df.withColumn("__h", seeded_hash(seed, *key))
-    ranged = hashed.repartitionByRange(partitions, "__h") if partitions else hashed.repartitionByRange("__h")
-    return ranged.sortWithinPartitions("__h").drop("__h")
+    """Rows range-partitioned and sorted by md5(seed|key), equal keys by their whole rows: one exchange, same order."""
+    order = ["__h", "__tie"]
+    hashed = df.withColumns({"__h": seeded_hash(seed, *key), "__tie": row_hash(df)})
+    ranged = hashed.repartitionByRange(partitions, *order) if partitions else hashed.repartitionByRange(*order)
+    return ranged.sortWithinPartitions(*order).drop(*order)

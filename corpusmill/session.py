@@ -68,6 +68,12 @@ def path_exists(spark: SparkSession, path: str) -> bool:
     return fs.exists(hadoop_path)
 
 
+def is_directory(spark: SparkSession, path: str) -> bool:
+    hadoop_path = spark._jvm.org.apache.hadoop.fs.Path(path)
+    fs = hadoop_path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration())
+    return fs.getFileStatus(hadoop_path).isDirectory()
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once per application."""
     context = spark.sparkContext

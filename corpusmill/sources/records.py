@@ -38,6 +38,10 @@ def list_files(spark: SparkSession, path: str, endings: Sequence[str] = ALL_ENDI
     )
 
 
+# A run of line ends before a bracket. One character class, entered once per run: a repeated group would recurse.
+BLANK = r"(?<![\r\n])\r?\n[\r\n]*\n(?=\[)"
+
+
 def _reader(reader, newline: str):
     return (
         reader.option("recursiveFileLookup", "true")
@@ -87,7 +91,7 @@ def _records(raw: DataFrame, errors: str, endings: Sequence[str], numbered: bool
     ]
     records = (
         raw.where(F.col("_metadata.file_name").rlike(ending_pattern(endings)))
-        .select(*columns, F.explode(F.split(value, r"(?:\r?\n){2,}(?=\[)")).alias("text"))
+        .select(*columns, F.explode(F.split(value, BLANK)).alias("text"))
         .where(F.col("text").rlike(r"\S"))
     )
     return records.withColumn("record_id", F.monotonically_increasing_id()) if numbered else records

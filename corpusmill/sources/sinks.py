@@ -140,9 +140,12 @@ def write_manifest(row: DataFrame, path: str) -> None:
     stamped.coalesce(1).write.mode("overwrite").json(path)
 
 
-def append_quarantine(df: DataFrame, path: str, reason: str, lineage: Sequence[str], order: Sequence[str], examples: int = 5) -> None:
-    """Append the first ``examples`` bad rows per lineage, with the reason and the time."""
-    kept = first_per_group(df, lineage, order, examples)
+def append_quarantine(df: DataFrame, path: str, reason: str, lineage: Sequence[str], order: Sequence[str]) -> None:
+    """Append every bad row, by lineage and in order within it, with the reason and the time.
+
+    ``first_per_group`` gives a short view of the result for printing.
+    """
+    kept = df.repartitionByRange(*lineage, *order).sortWithinPartitions(*lineage, *order)
     kept.withColumns({"reason": F.lit(reason), "logged_at": F.current_timestamp()}).write.mode("append").parquet(path)
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from ..session import scratch_path
+from ..session import is_directory, scratch_path
 
 ROCKSDB = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 PROVIDER = "spark.sql.streaming.stateStore.providerClass"
@@ -35,7 +35,10 @@ def drained(stream: DataFrame, name: str, rocksdb: bool = False) -> DataFrame:
 
 
 def stream_table(spark: SparkSession, folder: str, table: str, files_per_batch: int = 64) -> DataFrame:
-    """A Parquet table as a stream of its files."""
-    schema = spark.read.parquet(f"{folder}/{table}.parquet").schema
-    reader = spark.readStream.schema(schema).option("pathGlobFilter", f"{table}.parquet")
-    return reader.option("maxFilesPerTrigger", files_per_batch).parquet(folder)
+    """A Parquet table, a single file or a directory of part files, as a stream of its files."""
+    path = f"{folder}/{table}.parquet"
+    schema = spark.read.parquet(path).schema  # fails when there is no such table
+    reader = spark.readStream.schema(schema).option("maxFilesPerTrigger", files_per_batch)
+    if is_directory(spark, path):
+        return reader.parquet(path)
+    return reader.option("pathGlobFilter", f"{table}.parquet").parquet(folder)

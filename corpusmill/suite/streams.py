@@ -11,21 +11,31 @@ from ..streaming.metric_log import log_metrics
 from ..streaming.repetition import log_repetitions, stream_repetitions
 from ..streaming.run import drained, stream_table
 from ..streaming.shards import stream_shards
-from ..streaming.throughput import throughput
+from ..streaming.throughput import backlog_throughput
 from .records import WRITTEN, rendered
 from .registry import literals, query
 from .sequences import REPETITION, ROLLING
 
-CLOSED = """
+WINDOWS = """
 WITH w AS (SELECT time_bucket(INTERVAL '1 hour', ts) AS s, event_type, count(*) AS rows FROM events GROUP BY ALL)
-SELECT epoch_us(s) AS window_start, event_type, rows, round(rows / 3600.0, 6) AS rows_per_second FROM w
-WHERE s + INTERVAL '1 hour' <= (SELECT max(ts) FROM events) - INTERVAL '10 seconds'"""
+SELECT epoch_us(s) AS window_start, event_type, rows, round(rows / 3600.0, 6) AS rows_per_second FROM w"""
 
 
-@query("stream_throughput", CLOSED)
+@query("stream_directory_table", "SELECT event_id, event_type FROM events")
+def stream_directory_table(spark, folder):
+    """The events written as several part files, and streamed."""
+    base = scratch_path(spark, "directory")
+    spark.read.parquet(f"{folder}/events.parquet").repartition(5).write.parquet(f"{base}/events.parquet")
+    return drained(stream_table(spark, base, "events", files_per_batch=2), "directory").select("event_id", "event_type")
+
+
+@query("stream_throughput", WINDOWS)
 def stream_throughput(spark, folder):
-    counted = throughput(stream_table(spark, folder, "events"), "ts", ["event_type"], "1 hour")
-    rows = drained(counted, "throughput")
+    """Several files whose rows are not in the order of their time, a file per batch."""
+    base = scratch_path(spark, "throughput")
+    spark.read.parquet(f"{folder}/events.parquet").repartition(4).write.parquet(f"{base}/events.parquet")
+    stream = stream_table(spark, base, "events", files_per_batch=1)
+    rows = backlog_throughput(stream, f"{base}/counts", f"{base}/checkpoint", "ts", ["event_type"], "1 hour")
     return rows.select(
         F.unix_micros("window_start").alias("window_start"), "event_type", "rows", F.round("rows_per_second", 6).alias("rows_per_second")
     )
