@@ -145,7 +145,7 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int) -> pd.Dat
     return picked.mapInPandas(rows, "quality int, feature binary, value binary").limit(2 * sample).toPandas()
 
 
-def fit(rows: pd.DataFrame, rounds: int = 60, held: float = 0.25) -> Model | None:
+def fit(rows: pd.DataFrame, rounds: int = 150, held: float = 0.25) -> Model | None:
     """A balanced logistic regression by Adam, calibrated on the held-out rows; None without both classes."""
     if rows.empty or rows["quality"].nunique() < 2:
         return None
