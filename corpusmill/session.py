@@ -9,6 +9,8 @@ import zipfile
 
 from pyspark.sql import DataFrame, SparkSession
 
+BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
 
 def local_session(name: str = "corpusmill", cpus: str | int = "*", **conf) -> SparkSession:
     """A local session for tests and benches; on a cluster use the session you are given."""
@@ -75,7 +77,12 @@ def is_directory(spark: SparkSession, path: str) -> bool:
 
 
 def ship_package(spark: SparkSession) -> None:
-    """Send this package to the Python workers, once per application."""
+    """Send this package to the Python workers, once per application, and bound their batches.
+
+    Whole texts go to Python, so a batch is bounded by its bytes; a bound that the session has is kept.
+    """
+    if spark.conf.get(BATCH_BYTES, None) is None:
+        spark.conf.set(BATCH_BYTES, "8m")
     context = spark.sparkContext
     if getattr(context, "_corpusmill_shipped", False):
         return
