@@ -22,7 +22,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
 from .components import components
-from .spans import Joined, groups, mixed, shingles
+from .spans import Joined, groups, mixed, released, shingles
 
 TREES, DEEPEST = 24, 8
 BLOCK = 256
@@ -86,14 +86,14 @@ def signatures(docs: DataFrame, size: int, depth: int, trees: int) -> DataFrame:
         for batch in batches:
             raw = [(t or "").encode() for t in batch["text"]]
             keys: list[list[int] | None] = []
-            for lo, hi in groups([len(t) for t in raw], 1 << 18):
+            for lo, hi in groups([len(t) for t in raw]):
                 found, whose = shingle_sets(raw[lo:hi], size)
                 keys += prefixes(found, whose, hi - lo, depth, trees)
             words = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in raw]
             yield pd.DataFrame({"id": batch["doc_id"], "words": words, "prefixes": keys})
 
     schema = "id bigint, words binary, prefixes array<bigint>"
-    return materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(rows, schema), "signatures")
+    return materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(released(rows), schema), "signatures")
 
 
 def blocked(classes: DataFrame) -> DataFrame:
@@ -200,7 +200,7 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, target: floa
 
     texts = docs.select(F.col("doc_id").alias("class_id"), "text").join(needed, "class_id")
     types = "class_id bigint, home bigint, prefixes array<bigint>, pairs array<struct<block:bigint,other:bigint>>, shingles binary"
-    loaded = texts.mapInPandas(sets, types).select("class_id", "home", "prefixes", "shingles", F.inline("pairs"))
+    loaded = texts.mapInPandas(released(sets), types).select("class_id", "home", "prefixes", "shingles", F.inline("pairs"))
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return verify(group.drop_duplicates("class_id"), threshold, key[0] == key[1])

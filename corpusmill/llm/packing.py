@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
 from .lp import whole_plan
+from .spans import released
 
 PIECES = (
     "row_id bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
@@ -139,7 +140,7 @@ def encoded(docs: DataFrame, spec: str, last_id: int, size: int) -> DataFrame:
     # an id per row, so that repeated documents stay apart; it is written with the row
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
     schema = "row_id bigint, doc_id bigint, doc_tokens bigint, crcs array<bigint>"
-    return materialize(numbered.mapInPandas(rows, schema), "encoded")
+    return materialize(numbered.mapInPandas(released(rows), schema), "encoded")
 
 
 def classes(size: int, exact: int = 64) -> np.ndarray:

@@ -16,7 +16,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import ship_package
-from .spans import Joined, groups, mixed, shingles
+from .spans import Joined, groups, mixed, release, shingles
 
 BITS = 15  # features per family of n-grams: words, pairs of words, four bytes in a row
 FAMILIES = 3
@@ -236,6 +236,7 @@ def judge(docs: DataFrame, model: Model | None, threshold: float = 0.5, text: st
                     figures["kept"] = ~figures["base_failed"] & (figures["quality"] >= threshold)
                 parts.append(pd.DataFrame(figures))
             yield pd.concat(parts, ignore_index=True)[names] if parts else pd.DataFrame(columns=names)
+            release()
 
     apply = F.pandas_udf(judged, BASE)
     plain = docs.drop(*[n for n in names if n != text])

@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import hashlib
 from collections.abc import Iterator
+from itertools import islice
 from typing import NamedTuple
 
 import numpy as np
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
-from .spans import Joined, groups, mixed
+from .spans import Joined, groups, mixed, released
 
 GRAM = 8  # bytes of the rolling hash
 REACH = 128  # positions among which a window's trigger is chosen; a power of two
@@ -88,18 +89,21 @@ def blocks(docs: DataFrame, text: str, keep: list[str]) -> DataFrame:
         for batch in batches:
             raw = [(t or "").encode() for t in batch["text"]]
             heads = batch["head"].tolist()
-            for lo, hi in groups([len(t) for t in raw]):
+            for lo, hi in groups([len(t) for t in raw], 1 << 20):
                 packed = zstandard.compress(b"".join(raw[lo:hi]), 3)
                 yield pd.DataFrame({"heads": [heads[lo:hi]], "sizes": [[len(t) for t in raw[lo:hi]]], "packed": [packed]})
 
-    made = headed.mapInPandas(rows, "heads array<string>, sizes array<bigint>, packed binary")
+    made = headed.mapInPandas(released(rows), "heads array<string>, sizes array<bigint>, packed binary")
     return materialize(made.select(F.monotonically_increasing_id().alias("block"), "*"), "blocks")
 
 
-def texts_of(sizes, packed: bytes) -> list[bytes]:
+def texts_of(sizes, packed: bytes) -> Iterator[Joined]:
+    """The texts of a block, a few at a time."""
     data = zstandard.decompress(packed)
     ends = np.cumsum(sizes)
-    return [data[e - s : e] for e, s in zip(ends.tolist(), np.asarray(sizes).tolist())]
+    raw = [data[e - s : e] for e, s in zip(ends.tolist(), np.asarray(sizes).tolist())]
+    for lo, hi in groups(np.asarray(sizes).tolist()):
+        yield Joined(raw[lo:hi])
 
 
 def dealt(block: int, parts: int, key: np.ndarray, *columns: np.ndarray) -> Iterator[dict]:
@@ -130,15 +134,16 @@ def list_phrases(table: DataFrame, size: int, parts: int) -> DataFrame:
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for block, sizes, packed in zip(batch["block"], batch["sizes"], batch["packed"]):
-                found = phrases(Joined(texts_of(sizes, packed)), size)
-                order = np.argsort(found.whole & ~np.uint64(1), kind="stable")
-                whole, core = found.whole[order] & ~np.uint64(1), found.core[order]
+                found = [phrases(texts, size) for texts in texts_of(sizes, packed)]
+                whole, core = (np.concatenate(c) for c in zip(*[(x.whole & ~np.uint64(1), x.core) for x in found]))
+                order = np.argsort(whole, kind="stable")
+                whole, core = whole[order], core[order]
                 start = np.flatnonzero(np.concatenate(([True], whole[1:] != whole[:-1]))) if len(whole) else np.zeros(0, np.int64)
                 many = np.diff(np.append(start, len(whole))) > 1
                 whole = whole[start] | many.astype(np.uint64)
                 yield framed(list(dealt(block, parts, core[start], core[start], whole)), ["part", "block", "c0", "c1"])
 
-    return table.select("block", "sizes", "packed").mapInPandas(rows, "part bigint, block bigint, c0 binary, c1 binary")
+    return table.select("block", "sizes", "packed").mapInPandas(released(rows), "part bigint, block bigint, c0 binary, c1 binary")
 
 
 def judge_phrases(group: pd.DataFrame) -> pd.DataFrame:
@@ -201,14 +206,16 @@ def list_windows(table: DataFrame, size: int, parts: int) -> DataFrame:
             for block, sizes, packed, names, codes in zip(batch["block"], batch["sizes"], batch["packed"], batch["c0"], batch["c1"]):
                 if names is None:
                     continue
-                texts = Joined(texts_of(sizes, packed))
-                found = phrases(texts, size)
-                code = codes_of(found, names, codes)
-                start, owner = starts_of(found, code >= PROXY)
-                keys = unique(texts.hashes(start, start + size), code[owner] == PROXY)
+                listed = []
+                for texts in texts_of(sizes, packed):
+                    found = phrases(texts, size)
+                    code = codes_of(found, names, codes)
+                    start, owner = starts_of(found, code >= PROXY)
+                    listed.append((texts.hashes(start, start + size), code[owner] == PROXY))
+                keys = unique(*(np.concatenate(c) for c in zip(*listed)))
                 yield framed(list(dealt(block, parts, keys, keys)), ["part", "block", "c0"])
 
-    return table.mapInPandas(rows, "part bigint, block bigint, c0 binary")
+    return table.mapInPandas(released(rows), "part bigint, block bigint, c0 binary")
 
 
 def judge_windows(group: pd.DataFrame) -> pd.DataFrame:
@@ -265,22 +272,23 @@ def removed(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             for r in batch.itertuples():
-                block = Joined(texts_of(r.sizes, r.packed))
-                gone = covered(block, size, r.c0, r.c1, r.windows)
-                out = pd.DataFrame({"head": list(r.heads)})
-                left = [block.bytes[s:e][~gone[s:e]].tobytes() for s, e in zip(block.starts, block.ends)]
-                if texts:
-                    out["kept"] = [x.decode("utf-8", "ignore") for x in left]
-                else:
-                    total = np.concatenate(([0], np.cumsum(gone)))
-                    rises = np.concatenate(([0], np.cumsum(gone & ~np.concatenate(([False], gone[:-1])))))
-                    out["n_bytes"] = block.ends - block.starts
-                    out["n_removed"] = total[block.ends] - total[block.starts]
-                    out["n_spans"] = rises[block.ends] - rises[block.starts]
-                    out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in left]
-                yield out
-
-    found = whole.mapInPandas(rows, "head string, " + ("kept string" if texts else FIGURES))
+                heads = iter(r.heads)
+                for few in texts_of(r.sizes, r.packed):
+                    gone = covered(few, size, r.c0, r.c1, r.windows)
+                    out = pd.DataFrame({"head": list(islice(heads, len(few.ends)))})
+                    left = [few.bytes[s:e][~gone[s:e]].tobytes() for s, e in zip(few.starts, few.ends)]
+                    if texts:
+                        out["kept"] = [x.decode("utf-8", "ignore") for x in left]
+                    else:
+                        total = np.concatenate(([0], np.cumsum(gone)))
+                        rises = np.concatenate(([0], np.cumsum(gone & ~np.concatenate(([False], gone[:-1])))))
+                        out["n_bytes"] = few.ends - few.starts
+                        out["n_removed"] = total[few.ends] - total[few.starts]
+                        out["n_spans"] = rises[few.ends] - rises[few.starts]
+                        out["kept_sha256"] = [hashlib.sha256(x).hexdigest() for x in left]
+                    yield out
+
+    found = whole.mapInPandas(released(rows), "head string, " + ("kept string" if texts else FIGURES))
     head = F.from_json("head", docs.select(*keep).schema)
     named = [F.col("kept").alias(text)] if texts else [F.col(c.split()[0]) for c in FIGURES.split(", ")]
     return found.withColumn("head", head).select("head.*", *named)

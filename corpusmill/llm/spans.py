@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator, Sequence
+import ctypes
+from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
+import pyarrow as pa
 
 BASE = np.uint64(0x9E3779B97F4A7C15 | 5)  # odd, so it has an inverse modulo 2**64
 INVERSE = np.uint64(pow(int(BASE), -1, 2**64))
@@ -19,7 +21,7 @@ _powers: dict[str, np.ndarray] = {}
 def powers(n: int) -> tuple[np.ndarray, np.ndarray]:
     """BASE**i and BASE**-i for i < n, modulo 2**64."""
     if not _powers or len(_powers["up"]) < n:
-        size = max(n, 1 << 20)
+        size = max(n, 1 << 19)
         for name, base in (("up", BASE), ("down", INVERSE)):
             steps = np.full(size, base, dtype=np.uint64)
             steps[0] = 1
@@ -36,7 +38,7 @@ def mixed(values: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
-def groups(lengths: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[int, int]]:
+def groups(lengths: Sequence[int], limit: int = 1 << 18) -> Iterator[tuple[int, int]]:
     """Ranges of consecutive texts that hold ``limit`` bytes together, or a single longer text."""
     start = total = 0
     for i, n in enumerate(lengths):
@@ -48,6 +50,29 @@ def groups(lengths: Sequence[int], limit: int = 1 << 20) -> Iterator[tuple[int,
         yield start, len(lengths)
 
 
+def released(rows: Callable[[Iterator], Iterator]) -> Callable[[Iterator], Iterator]:
+    """``rows``, but after every batch its freed memory goes back to the system.
+
+    Workers live on from task to task, and what one operator has freed would else stay with each of them.
+    """
+
+    def run(batches: Iterator) -> Iterator:
+        for result in rows(batches):
+            yield result
+            del result
+            release()
+        release()
+
+    return run
+
+
+def release() -> None:
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)  # glibc has it
+    if trim is not None:
+        trim(0)
+
+
 class Joined:
     """Texts in one byte array; text ``i`` is at ``starts[i]:ends[i]``, then one newline."""
 
