@@ -66,11 +66,12 @@ def _finite_or_zero(loss: Column) -> Column:
 def masked_policy_loss(logits, legal, target) -> Column:
     """Policy loss from sparse legal indices and one target index.
 
-    Softmax runs over the legal entries only. Target mass on an illegal index is
-    dropped; no legal move gives 0.
+    Softmax runs over the legal entries only, over all where the list is NULL. Target mass
+    on an illegal index is dropped; no legal move gives 0.
     """
     values = _doubles(logits)
-    allowed = _col(legal).cast("array<int>")
+    every = F.transform(values, lambda _, i: i)
+    allowed = F.coalesce(_col(legal).cast("array<int>"), every)
     index = _col(target).cast("int")
     both = F.struct(values.alias("x"), allowed.alias("i"))
     picked = let(both, lambda b: F.transform(b["i"], lambda i: F.element_at(b["x"], i + 1)))

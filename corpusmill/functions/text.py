@@ -21,6 +21,7 @@ ID_FIELDS = [
 # Comments and annotations. The look-ahead passes over plain text quickly.
 COMMENTS = r"(?m)(?=[{;%$!?])(?:\{[^}]*\}|;[^\n]*$|^%[^\n]*$|\$\d+|[!?]+)"
 MOVE_NUMBERS = r"(?=\d)(?<!\S)\d+\.+"
+ESCAPES = [("\0", "\0a"), ("\ufffd", "\0b")]
 
 
 def _col(value) -> Column:
@@ -31,8 +32,16 @@ def decode(raw, errors: str = "replace") -> Column:
     """Text with undecodable bytes as U+FFFD (``replace``) or dropped (``ignore``)."""
     if errors not in ("replace", "ignore"):
         raise ValueError("errors is 'replace' or 'ignore'")
-    text = F.make_valid_utf8(_col(raw))
-    return text if errors == "replace" else F.replace(text, F.lit("�"), F.lit(""))
+    if errors == "replace":
+        return F.make_valid_utf8(_col(raw))
+    # a U+FFFD that the source holds is written with an escape while the marks of bad bytes are dropped
+    text = _col(raw).cast("string")
+    for old, new in ESCAPES:
+        text = F.replace(text, F.lit(old), F.lit(new))
+    text = F.replace(F.make_valid_utf8(text), F.lit("\ufffd"), F.lit(""))
+    for old, new in reversed(ESCAPES):
+        text = F.replace(text, F.lit(new), F.lit(old))
+    return text
 
 
 def unify_newlines(text) -> Column:

@@ -19,12 +19,16 @@ from ..sources.sinks import manifest_row, write_chunks, write_manifest
 GAME_COLUMNS = ["game_id", "split", "source", "result"]
 
 
-def select_games(records: DataFrame, rules="encoder") -> DataFrame:
-    """Playable games of labelled records. All filters stand before the replay."""
+def parsed_games(records: DataFrame, rules="encoder") -> tuple[DataFrame, DataFrame]:
+    """(good records that pass the rules, bad ones)."""
     # header rules first: they are cheap and spare rejected games the movetext work
     rated = quality_filter(records.withColumn("headers", parse_headers("text")), rules)
-    good, _ = split_errors(parse_records(rated))
-    games = with_moves(with_result(good))
+    return split_errors(parse_records(rated))
+
+
+def select_games(records: DataFrame, rules="encoder") -> DataFrame:
+    """Playable games of labelled records. All filters stand before the replay."""
+    games = with_moves(with_result(parsed_games(records, rules)[0]))
     # a file may repeat a game, so the record number is part of the key
     key = F.concat_ws("#", record_id("path", "headers"), F.col("record_id").cast("string"))
     return games.select(
@@ -79,13 +83,17 @@ def encode_positions(plies: DataFrame, cap: int = 512) -> DataFrame:
 
 
 def encode_corpus(records: DataFrame, out: str, size: int = 8192, seed: int = 2024, shuffle: bool = True, rules="encoder") -> DataFrame:
-    """Write shuffled chunks and the manifest; returns the manifest row."""
+    """Write shuffled chunks and the manifest; returns the manifest row.
+
+    ``quarantine`` holds the games that can't be played, and the records that can't be parsed with their text.
+    """
     spark = records.sparkSession
     games = spread(select_games(records, rules))
     # written once, because chunking reads its input twice: keys to count, rows to place
     plies = materialize(replay_selected(games), "plies")
     write_chunks(encode_positions(plies), f"{out}/chunks", size, ("game_id", "ply"), seed, shuffle=shuffle)
-    failed_games(plies).write.mode("overwrite").parquet(f"{out}/quarantine")
+    bad = parsed_games(records, rules)[1].select("path", "split", "source", "text", "error")
+    failed_games(plies).unionByName(bad, allowMissingColumns=True).write.mode("overwrite").parquet(f"{out}/quarantine")
     row = manifest_row(
         spark.read.parquet(f"{out}/chunks"),
         params={"chunk_size": size, "seed": seed, "final_shuffle_skipped": not shuffle},

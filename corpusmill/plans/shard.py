@@ -13,12 +13,18 @@ from ..sources.archives import scan_archives
 from ..sources.records import label_source, parse_records, scan_records, split_errors
 from ..sources.sinks import write_shards
 
+QUARANTINE = "_quarantine"  # readers pass over folders that start so
+
 
 def corpus_records(spark: SparkSession, path: str, errors: str = "replace") -> DataFrame:
-    """Records of every text file and archive below ``path``."""
-    columns = ["path", "file_name", "member", "text", "record_id"]
-    plain = scan_records(spark, path, errors=errors).withColumn("member", F.lit(None).cast("string"))
-    packed = scan_archives(spark, path, errors).where(F.col("error").isNull())
+    """Records of every text file and archive below ``path``.
+
+    An archive or member that can't be read is a row without text, its reason in ``unread``.
+    """
+    columns = ["path", "file_name", "member", "text", "record_id", "unread"]
+    missing = F.lit(None).cast("string")
+    plain = scan_records(spark, path, errors=errors).withColumns({"member": missing, "unread": missing})
+    packed = scan_archives(spark, path, errors).withColumnRenamed("error", "unread")
     packed = packed.withColumn("file_name", F.element_at(F.split("path", "/"), -1))
     packed = packed.withColumn("record_id", F.xxhash64("path", "member", "record_no"))
     return plain.select(*columns).unionByName(packed.select(*columns))
@@ -26,7 +32,10 @@ def corpus_records(spark: SparkSession, path: str, errors: str = "replace") -> D
 
 def prepare_shards(records: DataFrame, fraction: float, seed: int = 42, chars: int = 2, rules="strict") -> tuple[DataFrame, DataFrame]:
     """(shard rows, quarantined records). One narrow stage: nothing is exchanged."""
-    good, bad = split_errors(parse_records(label_source(records)))
+    parsed = parse_records(label_source(records))
+    if "unread" in records.columns:
+        parsed = parsed.withColumn("error", F.coalesce("unread", "error")).drop("unread")
+    good, bad = split_errors(parsed)
     kept = quality_filter(good, rules).withColumn("text", canonical_text("text"))
     return hash_split(kept, "text", fraction, seed, chars), bad
 
@@ -42,11 +51,16 @@ def shard_corpus(
     rules="strict",
     observation: Observation | None = None,
 ) -> DataFrame:
-    """Write the shards and return totals per split and source."""
-    shards, _ = prepare_shards(corpus_records(spark, path, "ignore"), fraction, seed, chars, rules)
+    """Write the shards and return totals per split and source.
+
+    Bad records, archives and members go to ``_quarantine`` in ``out``, from a second pass over the
+    input: path, member, reason, text. Every record read is written, filtered or in there.
+    """
+    shards, bad = prepare_shards(corpus_records(spark, path, "ignore"), fraction, seed, chars, rules)
     if observation is not None:
         shards = shards.observe(observation, F.count(F.lit(1)).alias("records"), F.sum(F.length("text")).alias("chars"))
     write_shards(shards, out, records_per_shard)
+    bad.select("path", "member", F.col("error").alias("reason"), "text").write.parquet(f"{out}/{QUARANTINE}")
     written = scan_records(spark, out, endings=(".txt",))
     return rollup_totals(from_shards(written), ["split", "source"])
 

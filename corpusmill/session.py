@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import os
+import re
 import tempfile
 import uuid
 import zipfile
@@ -46,7 +47,7 @@ def shared_dir(spark: SparkSession) -> str:
     known = context.getCheckpointDir()
     if known:
         return known.rstrip("/")
-    if not context.master.startswith("local"):
+    if not re.fullmatch(r"local(\[.*\])?", context.master):
         raise RuntimeError("set spark.checkpoint.dir to a folder that all executors share")
     context.setCheckpointDir(tempfile.mkdtemp(prefix="corpusmill-"))
     return context.getCheckpointDir().rstrip("/")

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -136,9 +137,10 @@ def label_source(
     return df.withColumn(out, label)
 
 
-def label_split(df: DataFrame, path: str = "path", out: str = "split") -> DataFrame:
-    """``train`` or ``test`` from the directory, NULL when neither occurs."""
-    found = F.regexp_extract(path, "/(?:split=)?(train|test)/", 1)
+def label_split(df: DataFrame, path: str = "path", out: str = "split", root: str = "") -> DataFrame:
+    """``train`` or ``test`` from the first directory of that name below ``root``, NULL when neither occurs."""
+    below = F.regexp_replace(path, F.lit(f"^.*?{re.escape(root.rstrip('/'))}(?=/)"), F.lit("")) if root else F.col(path)
+    found = F.regexp_extract(below, "/(?:split=)?(train|test)/", 1)
     return df.withColumn(out, F.when(found != "", found))
 
 

@@ -12,12 +12,15 @@ from ..sources.records import TEXT_ENDINGS, label_source, parse_records, stream_
 from .run import drain
 
 
+def labelled_stream(spark: SparkSession, path: str, endings=TEXT_ENDINGS) -> DataFrame:
+    return label_source(parse_records(stream_records(spark.readStream, path, endings=endings)))
+
+
 def shard_stream(
     spark: SparkSession, path: str, fraction: float, seed: int = 42, chars: int = 2, rules="strict", endings=TEXT_ENDINGS
 ) -> DataFrame:
     """Labelled, filtered and split records. Every step is stateless."""
-    records = label_source(parse_records(stream_records(spark.readStream, path, endings=endings)))
-    good = quality_filter(records.where(F.col("error").isNull()), rules)
+    good = quality_filter(labelled_stream(spark, path, endings).where(F.col("error").isNull()), rules)
     shards = good.select("path", "source", canonical_text("text").alias("text"))
     return hash_split(shards, "text", fraction, seed, chars)
 
@@ -25,6 +28,11 @@ def shard_stream(
 def stream_shards(
     spark: SparkSession, path: str, out: str, checkpoint: str, fraction: float = 0.0, records_per_shard: int = 5000, **split
 ) -> None:
-    """Append the shards of all files not seen before; the checkpoint remembers which were."""
+    """Append the shards of all files not seen before; the checkpoint remembers which were.
+
+    Bad records go to ``_quarantine`` in ``out`` by a stream of its own: path, reason, text.
+    """
     shards = shard_stream(spark, path, fraction, **split)
     drain(shards, out, checkpoint, ("split", "source"), maxRecordsPerFile=records_per_shard)
+    bad = labelled_stream(spark, path, split.get("endings", TEXT_ENDINGS)).where(F.col("error").isNotNull())
+    drain(bad.select("path", F.col("error").alias("reason"), "text"), f"{out}/_quarantine", f"{checkpoint}/quarantine")

@@ -166,25 +166,25 @@ def legal_masks(spark, folder):
 
 
 def predictions(spark: SparkSession, folder: str) -> DataFrame:
-    """Slices of an embedding as logits, its label as targets."""
+    """An embedding's 64 values as logits and a length."""
     vectors = table(spark, folder, "embeddings").withColumn("x", F.col("embedding").cast("array<double>"))
     return vectors.select(
         F.col("vec_id").alias("row_id"), "label",
         F.slice("x", 1, 3).alias("value_logits"),
         F.slice("x", 4, 3).alias("early_value_logits"),
         F.slice("x", 7, 11).alias("material_logits"),
-        F.slice("x", 18, 40).alias("policy_logits"),
-        (F.element_at("x", 60) * 100).alias("ply_pred"),
+        F.slice("x", 18, 46).alias("policy_logits"),
+        (F.element_at("x", 64) * 100).alias("ply_pred"),
     )
 
 
 def targets(spark: SparkSession, folder: str) -> DataFrame:
     vectors = table(spark, folder, "embeddings")
-    cells = F.sequence(F.lit(0), F.lit(39))
+    cells = F.sequence(F.lit(0), F.lit(45))
     return vectors.select(
         F.col("vec_id").alias("row_id"),
         F.filter(cells, lambda i: (i + F.col("label")) % 3 == 0).alias("legal_mask"),
-        F.pmod(F.col("label") * 3 + F.col("vec_id") % 5, F.lit(40)).alias("policy_target"),
+        F.pmod(F.col("label") * 3 + F.col("vec_id") % 5, F.lit(46)).alias("policy_target"),
         (F.col("label") % 3).alias("value_target"),
         F.pmod(F.col("vec_id"), F.lit(11)).alias("material_category"),
         F.pmod(F.col("vec_id"), F.lit(200)).alias("ply_target"),
@@ -195,9 +195,9 @@ def targets(spark: SparkSession, folder: str) -> DataFrame:
 LSE = "(list_max({0}) + ln(list_sum(list_transform({0}, lambda z: exp(z - list_max({0}))))))"
 LOSS_ROWS = f"""
 WITH e AS (SELECT vec_id AS row_id, label, CAST(embedding AS DOUBLE[]) AS x FROM embeddings),
-s AS (SELECT row_id, label, x[1:3] AS v, x[4:6] AS a, x[7:17] AS m, x[18:57] AS p, x[60] * 100 AS ply,
-  label % 3 AS vt, row_id % 11 AS mt, row_id % 200 AS pt, (label * 3 + row_id % 5) % 40 AS target,
-  list_filter(range(40), lambda i: (i + label) % 3 = 0) AS legal FROM e),
+s AS (SELECT row_id, label, x[1:3] AS v, x[4:6] AS a, x[7:17] AS m, x[18:63] AS p, x[64] * 100 AS ply,
+  label % 3 AS vt, row_id % 11 AS mt, row_id % 200 AS pt, (label * 3 + row_id % 5) % 46 AS target,
+  list_filter(range(46), lambda i: (i + label) % 3 = 0) AS legal FROM e),
 q AS (SELECT *, list_transform(legal, lambda i: p[i + 1]) AS lp FROM s),
 l AS (SELECT row_id, label,
   CASE WHEN list_contains(legal, target) THEN {LSE.format("lp")} - p[target + 1] ELSE 0.0 END AS policy,
@@ -225,19 +225,19 @@ def evaluate_query(spark, folder):
 
 
 @query("dense_policy_loss", f"""
-WITH e AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[])[1:20] AS p, list_transform(range(20), lambda i: CASE WHEN (i + label) % 4 = 0 THEN -1.0 WHEN i % 5 = 0 THEN 0.25 ELSE 0.0 END) AS t FROM embeddings),
-k AS (SELECT *, list_filter(range(1, 21), lambda i: t[i] >= 0) AS ok FROM e),
+WITH e AS (SELECT vec_id AS row_id, CAST(embedding AS DOUBLE[]) AS p, list_transform(range(64), lambda i: CASE WHEN (i + label) % 4 = 0 THEN -1.0 WHEN i % 5 = 0 THEN 0.25 ELSE 0.0 END) AS t FROM embeddings),
+k AS (SELECT *, list_filter(range(1, 65), lambda i: t[i] >= 0) AS ok FROM e),
 q AS (SELECT *, list_transform(ok, lambda i: p[i]) AS lp, list_transform(ok, lambda i: t[i]) AS lt FROM k)
 SELECT row_id, round(list_sum(list_transform(range(1, len(lp) + 1), lambda i: lt[i] * ({LSE.format("lp")} - lp[i]))), 6) AS loss FROM q""")
 def dense_policy_query(spark, folder):
     vectors = table(spark, folder, "embeddings")
     wanted = F.transform(
-        F.sequence(F.lit(0), F.lit(19)),
+        F.sequence(F.lit(0), F.lit(63)),
         lambda i: F.when((i + F.col("label")) % 4 == 0, -1.0).when(i % 5 == 0, 0.25).otherwise(0.0),
     )
     return vectors.select(
         F.col("vec_id").alias("row_id"),
-        F.round(L.dense_policy_loss(F.slice("embedding", 1, 20), wanted), 6).alias("loss"),
+        F.round(L.dense_policy_loss("embedding", wanted), 6).alias("loss"),
     )
 
 
@@ -282,19 +282,19 @@ def shortest_paths_query(spark, folder):
     return paths.select("source", "node", F.round("dist", 6).alias("dist"), F.round(bias, 6).alias("bias"))
 
 
-# The four fixture games as moves and as squares, and knight tours that
-# return to the start position.
+# Games with captures and castling on both sides, as moves and as squares, and knight tours
+# that return to the start position.
 OPENINGS = [
-    "e4 e5 Nf3 Nc6 Bc4 Bc5 c3 Nf6 d3 d6 O-O O-O Re1 a6 Bb3 Ba7 h3 h6 Nbd2 Re8",
-    "d4 Nf6 c4 g6 Nc3 Bg7 e4 d6 Nf3 O-O Be2 e5 O-O Nc6 d5 Ne7 Ne1 Nd7 Nd3 f5",
-    "e4 e5 Nf3 Nc6 Bb5 a6 Ba4 Nf6 O-O Be7 Re1 b5 Bb3 d6 c3 O-O h3 Nb8 d4 Nbd7",
-    "Nf3 Nf6 g3 g6 Bg2 Bg7 O-O O-O d3 d6 e4 e5 Nc3 Nc6 h3 h6",
+    "e4 d5 exd5 Qxd5 Nc3 Qa5 d4 Nf6 Nf3 c6 Bc4 Bf5 Bd2 e6 O-O Be7 Re1 O-O",
+    "d4 e6 e4 d5 exd5 exd5 Bd3 Bd6 Ne2 Nc6 c3 Qh4 Nd2 Bg4 Qb3 O-O-O O-O Bxe2 Bxe2 Nge7",
+    "c4 e5 Nc3 Nf6 g3 d5 cxd5 Nxd5 Bg2 Nb6 Nf3 Nc6 O-O Be7 d3 O-O Be3 f5",
+    "e4 e5 d4 exd4 Qxd4 Nc6 Qe3 Nf6 Nc3 Bb4 Bd2 O-O O-O-O Re8 Bc4 Bxc3 Bxc3 Nxe4",
 ]
 OPENING_SQUARES = [
-    "e2e4 e7e5 g1f3 b8c6 f1c4 f8c5 c2c3 g8f6 d2d3 d7d6 e1g1 e8g8 f1e1 a7a6 c4b3 c5a7 h2h3 h7h6 b1d2 f8e8",
-    "d2d4 g8f6 c2c4 g7g6 b1c3 f8g7 e2e4 d7d6 g1f3 e8g8 f1e2 e7e5 e1g1 b8c6 d4d5 c6e7 f3e1 f6d7 e1d3 f7f5",
-    "e2e4 e7e5 g1f3 b8c6 f1b5 a7a6 b5a4 g8f6 e1g1 f8e7 f1e1 b7b5 a4b3 d7d6 c2c3 e8g8 h2h3 c6b8 d2d4 b8d7",
-    "g1f3 g8f6 g2g3 g7g6 f1g2 f8g7 e1g1 e8g8 d2d3 d7d6 e2e4 e7e5 b1c3 b8c6 h2h3 h7h6",
+    "e2e4 d7d5 e4d5 d8d5 b1c3 d5a5 d2d4 g8f6 g1f3 c7c6 f1c4 c8f5 c1d2 e7e6 e1g1 f8e7 f1e1 e8g8",
+    "d2d4 e7e6 e2e4 d7d5 e4d5 e6d5 f1d3 f8d6 g1e2 b8c6 c2c3 d8h4 b1d2 c8g4 d1b3 e8c8 e1g1 g4e2 d3e2 g8e7",
+    "c2c4 e7e5 b1c3 g8f6 g2g3 d7d5 c4d5 f6d5 f1g2 d5b6 g1f3 b8c6 e1g1 f8e7 d2d3 e8g8 c1e3 f7f5",
+    "e2e4 e7e5 d2d4 e5d4 d1d4 b8c6 d4e3 g8f6 b1c3 f8b4 c1d2 e8g8 e1c1 f8e8 f1c4 b4c3 d2c3 f6e4",
 ]
 TOURS = ["Nf3 Nf6 Ng1 Ng8", "Nc3 Nc6 Nb1 Nb8", "Nh3 Nh6 Ng1 Ng8", "Na3 Na6 Nb1 Nb8"]
 TOUR_SQUARES = ["g1f3 g8f6 f3g1 f6g8", "b1c3 b8c6 c3b1 c6b8", "g1h3 g8h6 h3g1 h6g8", "b1a3 b8a6 a3b1 a6b8"]
@@ -334,7 +334,8 @@ WITH RECURSIVE g AS (SELECT conv_id || '-' || turn AS game_id, role, turn,
 b AS (SELECT game_id, CAST(0 AS BIGINT) AS ply, '{START_CELLS}' AS cells FROM g
   UNION ALL
   SELECT game_id, ply + 1, CASE WHEN piece IN ('K', 'k') AND abs(s - t) = 2
-      THEN CASE WHEN t > s THEN left(moved, t - 1) || moved[t + 2] || moved[t + 1] || '.' || substr(moved, t + 3) ELSE moved END ELSE moved END
+      THEN CASE WHEN t > s THEN left(moved, t - 1) || moved[t + 2] || moved[t + 1] || '.' || substr(moved, t + 3)
+        ELSE left(moved, t - 2) || '.' || moved[t] || moved[t + 1] || moved[t - 1] || substr(moved, t + 3) END ELSE moved END
   FROM (SELECT game_id, ply, s, t, piece, CASE WHEN s < t THEN left(cells, s) || '.' || substr(cells, s + 2, t - s - 1) || piece || substr(cells, t + 2)
       ELSE left(cells, t) || piece || substr(cells, t + 2, s - t - 1) || '.' || substr(cells, s + 2) END AS moved
     FROM (SELECT b.game_id, ply, cells, s, t, cells[s + 1] AS piece FROM b JOIN (SELECT game_id, unnest(range(len(m))) AS k, unnest(m) AS u,
@@ -360,9 +361,14 @@ def replay_query(spark, folder):
     )
 
 
-@query("encode_positions", GAMES + """
+WORTH = {"P": 1, "N": 3, "B": 3, "R": 5, "Q": 9}
+BALANCE = "(" + " + ".join(f"{w} * (length(replace(cells, '{p.lower()}', '')) - length(replace(cells, '{p}', '')))" for p, w in WORTH.items()) + ")"
+
+
+@query("encode_positions", GAMES + f"""
 SELECT game_id, CAST(ply AS BIGINT) AS ply, CASE WHEN role = 'user' THEN 'lichess' ELSE 'lc0' END AS source,
-  CAST(32 AS BIGINT) AS pieces, CAST(0 AS BIGINT) AS material_raw, CAST(5 AS BIGINT) AS material_category,
+  CAST(length(replace(cells, '.', '')) AS BIGINT) AS pieces, CAST({BALANCE} AS BIGINT) AS material_raw,
+  CAST(least(greatest({BALANCE}, -5), 5) + 5 AS BIGINT) AS material_category,
   CAST(CASE WHEN turn % 3 = 2 THEN 1 WHEN (turn % 3 = 0) = (ply % 2 = 0) THEN 2 ELSE 0 END AS BIGINT) AS value_target,
   CAST(least(n - ply - 1, 30) AS BIGINT) AS ply_target, CAST(n AS BIGINT) AS total_plys, ply % 2 = 0 AS side_to_move,
   seen >= 1 AS rep_count_ge1, seen >= 2 AS rep_count_ge2, true AS target_is_legal FROM rows""")

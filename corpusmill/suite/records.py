@@ -92,7 +92,10 @@ def scan_bzip2(spark, folder):
 @query("scan_archived_records", SCAN_SQL)
 def scan_archived(spark, folder):
     target = scratch_path(spark, "archives")
-    target = target if "://" in target or target.startswith("file:") else f"file://{target}"
+    where = spark._jvm.org.apache.hadoop.fs.Path(target)
+    # with its scheme, so that all executors write to the shared file system
+    target = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).makeQualified(where).toUri().toString()
+    target = target.replace("file:/", "file:///", 1) if target.startswith("file:/") and not target.startswith("file://") else target
 
     ship_package(spark)
 

@@ -51,11 +51,11 @@ def test_counts_and_targets(positions):
         F.min("material_raw").alias("lo"), F.max("material_raw").alias("hi"), F.max("material_category").alias("cat"),
     ).collect()
     found = {r.source: (r.n, r.games, r.v0, r.v1, r.v2, r.lo, r.hi, r.cat) for r in rows}
-    assert found == {"lichess": (40, 2, 20, 0, 20, 0, 0, 5), "lc0": (36, 2, 10, 16, 10, 0, 0, 5)}
+    assert found == {"lichess": (40, 2, 20, 0, 20, -3, 3, 8), "lc0": (36, 2, 10, 16, 10, -1, 3, 8)}
 
 
 def test_first_game(positions):
-    game = positions.where(F.col("game_id").contains("test1")).orderBy("ply").collect()
+    game = positions.where(F.col("game_id").contains("club/open")).orderBy("ply").collect()
     assert [r.ply_target for r in game] == list(range(19, -1, -1))
     assert {r.total_plys_in_game for r in game} == {20}
     assert [r.side_to_move for r in game] == [True, False] * 10

@@ -2,13 +2,19 @@
 
 from __future__ import annotations
 
+import math
+
+from games import rated
 from pyspark.sql import functions as F
 
-from corpusmill.functions.text import movetext_tokens
+from corpusmill.functions.losses import masked_policy_loss
+from corpusmill.functions.text import decode, movetext_tokens
 from corpusmill.operators.groups import ranked
 from corpusmill.operators.profile import plane_usage
 from corpusmill.operators.sampling import global_shuffle
-from corpusmill.sources.records import scan_records
+from corpusmill.plans.shard import shard_corpus
+from corpusmill.sources.records import label_split, scan_records
+from corpusmill.streaming.shards import stream_shards
 
 
 def test_deep_variations(spark):
@@ -42,3 +48,35 @@ def test_many_hot_keys(spark):
     df = spark.range(44_000).select((F.col("id") % 11_000).alias("k"), "id")
     got = ranked(df, ["k"], ["id"], hot_rows=2)
     assert got.where(F.col("rn") != F.floor(F.col("id") / 11_000) + 1).count() == 0 and got.count() == 44_000
+
+
+def test_bad_records_are_set_aside(spark, tmp_path):
+    raw, out, streamed = tmp_path / "raw", str(tmp_path / "out"), str(tmp_path / "streamed")
+    raw.mkdir()
+    (raw / "lichess_a.pgn").write_text(rated() + "\n" + rated(moves="1. e4 (1. d4 *") + "\n" + rated(white="10"))
+    (raw / "torn.tar.gz").write_bytes(b"garbage")
+    shard_corpus(spark, str(raw), out)
+    assert scan_records(spark, out, endings=(".txt",)).count() == 1
+    bad = spark.read.parquet(f"{out}/_quarantine").collect()
+    assert sorted((r.path.rsplit("/", 1)[1], r.text is None) for r in bad) == [("lichess_a.pgn", False), ("torn.tar.gz", True)]
+    assert all(r.reason for r in bad)
+    stream_shards(spark, str(raw), streamed, str(tmp_path / "checkpoint"))
+    assert spark.read.parquet(streamed).count() == 1
+    assert spark.read.parquet(f"{streamed}/_quarantine").count() == 1
+
+
+def test_dropped_bytes_spare_replacement_marks(spark):
+    raw = [b"a\xef\xbf\xbdb\xffc", b"\x00a\x00b\xfe\x00", b"\xff", None]
+    df = spark.createDataFrame([(x,) for x in raw], "raw binary")
+    assert [r[0] for r in df.select(decode("raw", "ignore")).collect()] == ["a�bc", "\0a\0b\0", "", None]
+
+
+def test_no_legal_list_allows_all(spark):
+    df = spark.sql("SELECT array(0D, 1D, 2D) AS x, CAST(NULL AS array<int>) AS legal, 1 AS t")
+    loss = df.select(masked_policy_loss("x", "legal", "t")).first()[0]
+    assert abs(loss - (math.log(sum(map(math.exp, range(3)))) - 1)) < 1e-12
+
+
+def test_split_below_the_root(spark):
+    df = spark.createDataFrame([("file:/data/train/proj/raw/test/a.pgn",), ("file:/data/train/proj/raw/b.pgn",)], "path string")
+    assert [r.split for r in label_split(df, root="/data/train/proj/raw/").collect()] == ["test", None]
