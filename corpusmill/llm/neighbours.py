@@ -3,8 +3,9 @@
 A first neighbour graph comes from random hyperplanes: vectors with the same signs are compared in one
 task. It is refined in rounds: each vector's neighbours, both ways, are compared with each other, since a
 neighbour's neighbour is likely a neighbour. Rounds end when they find next to no new link.
-Lists hold a few neighbours; where a list is full of links (saturated) it is enlarged to the whole
-group the links connect, compared block by block, and only counts leave a task. A sample of
+Lists hold a few neighbours, but no link found is lost with them: every comparison also says which of its
+vectors its links connect. While a list is full of links (saturated), the search goes on for neighbours outside the group
+that the links connect. Groups are then compared block by block, and only counts leave a task. A sample of
 vectors is compared with all others to audit the recall; while it is too low, more hyperplanes are added.
 """
 
@@ -23,10 +24,11 @@ from .components import components
 LIST = 10  # neighbours kept per vector, and of those that have it as one
 TABLES = 12
 BUCKET = 128  # vectors with the same signs that are aimed at
-CHUNK = 1024  # larger ones are split
+CHUNK = 1024  # larger ones are compared block by block
 BLOCK = 256
 AUDITED = 1000
-EDGES = "u bigint, v bigint, sim double"
+#: Entries of lists, and connections (link): u and v are in one group by links that one comparison has found.
+EDGES = "u bigint, v bigint, sim double, link boolean"
 
 
 def unit(raw, dtype: str) -> np.ndarray:
@@ -70,21 +72,46 @@ def best(sims: np.ndarray, k: int) -> tuple[np.ndarray, np.ndarray]:
     return np.repeat(np.arange(len(sims)), k), columns.ravel()
 
 
-def compare_bucket(group: pd.DataFrame, dtype: str, k: int) -> pd.DataFrame:
-    parts = []
-    ids = group["id"].to_numpy()
+def joined(linked: np.ndarray) -> np.ndarray:
+    """The first place that each place is connected to."""
+    label = np.arange(len(linked))
+    while True:
+        new = np.minimum(label, np.where(linked, label, len(label)).min(axis=1))
+        new = new[new]
+        if (new == label).all():
+            return label
+        label = new
+
+
+def entries(u: np.ndarray, v: np.ndarray, sim: np.ndarray | float, link: bool) -> pd.DataFrame:
+    return pd.DataFrame({"u": u, "v": v, "sim": sim, "link": link})
+
+
+def compare_bucket(key: tuple, group: pd.DataFrame, dtype: str, threshold: float, k: int) -> pd.DataFrame:
+    """Entries and connections of a block; of two blocks, what their links connect beyond each of them."""
+    _, x, y = key
+    group = group.sort_values("id")  # groups are named by their least id
+    parts = [entries(np.zeros(0, dtype=np.int64), np.zeros(0, dtype=np.int64), np.zeros(0), False)]
+    ids, roots, chunk = (group[c].to_numpy() for c in ("id", "root", "chunk"))
     for at, rows in by_width(group["raw"].tolist(), dtype):
         if len(at) < 2:
             continue
         sims = rows @ rows.T
-        np.fill_diagonal(sims, -2)
-        i, j = best(sims, min(k, len(at) - 1))
-        parts.append(pd.DataFrame({"u": ids[at[i]], "v": ids[at[j]], "sim": sims[i, j]}))
-    return pd.concat(parts) if parts else pd.DataFrame({"u": [], "v": [], "sim": []})
+        linked = sims >= threshold
+        first, own = joined(linked), np.arange(len(at))
+        inner = own if x == y else joined(linked & (chunk[at][:, None] == chunk[at]))
+        bound = np.flatnonzero((inner == own) & (first != own))
+        parts.append(entries(ids[at[bound]], ids[at[first[bound]]], 0.0, True))
+        if x == y:
+            sims[roots[at][:, None] == roots[at]] = -2
+            i, j = best(sims, min(k, len(at) - 1))
+            i, j = i[sims[i, j] > -2], j[sims[i, j] > -2]
+            parts.append(entries(ids[at[i]], ids[at[j]], sims[i, j], False))
+    return pd.concat(parts)
 
 
-def first_graph(table: DataFrame, dtype: str, n: int, seed: int) -> DataFrame:
-    """Edges between vectors on the same side of random hyperplanes."""
+def first_graph(table: DataFrame, dtype: str, threshold: float, n: int, seed: int) -> DataFrame:
+    """Edges between vectors on the same side of random hyperplanes. All vectors of a bucket are compared."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / BUCKET)))))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -97,74 +124,100 @@ def first_graph(table: DataFrame, dtype: str, n: int, seed: int) -> DataFrame:
                 signs = (unit_rows @ planes > 0).reshape(len(at), TABLES, bits)
                 codes[at] = (signs << np.arange(bits)).sum(axis=2) if bits else 0
             buckets = codes * TABLES + np.arange(TABLES)
-            yield pd.DataFrame({"id": batch["id"], "raw": raw, "buckets": buckets.tolist()})
+            yield pd.DataFrame({"id": batch["id"], "root": batch["root"], "raw": raw, "buckets": buckets.tolist()})
 
-    marked = table.select("id", "raw").mapInPandas(rows, "id bigint, raw binary, buckets array<bigint>")
-    each = marked.select("id", "raw", F.explode("buckets").alias("bucket"))
+    marked = table.select("id", "root", "raw").mapInPandas(rows, "id bigint, root bigint, raw binary, buckets array<bigint>")
+    each = marked.select("id", "root", "raw", F.explode("buckets").alias("bucket"))
     large = each.groupBy("bucket").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > CHUNK)
-    chunk = F.coalesce(F.pmod(F.xxhash64("id"), F.ceil(F.col("n") / CHUNK)), F.lit(0))
-    dealt = each.join(large, "bucket", "left").withColumn("chunk", chunk)
+    chunks = F.coalesce(F.ceil(F.col("n") / CHUNK), F.lit(1))
+    dealt = each.join(large, "bucket", "left").withColumns({"chunk": F.pmod(F.xxhash64("id"), chunks), "chunks": chunks})
+    dealt = met(dealt).select("id", "root", "raw", "bucket", "chunk", "x", "y")
+
+    def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
+        return compare_bucket(key, group, dtype, threshold, LIST // 2)
+
+    return dealt.groupBy("bucket", "x", "y").applyInPandas(compare, EDGES)
 
-    def compare(group: pd.DataFrame) -> pd.DataFrame:
-        return compare_bucket(group, dtype, LIST // 2)
 
-    return dealt.groupBy("bucket", "chunk").applyInPandas(compare, EDGES)
+def met(blocks: DataFrame) -> DataFrame:
+    """Each row once for each pair of blocks (x, y) that its own block, ``chunk`` of ``chunks``, is one of."""
+    every = F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)
+    return blocks.withColumn("o", F.explode(every)).withColumns({"x": F.least("chunk", "o"), "y": F.greatest("chunk", "o")})
 
 
 def nearest(edges: DataFrame) -> DataFrame:
-    """The best LIST edges of each vector; every task drops the others before the exchange."""
-    once = edges.groupBy("u", "v").agg(F.max("sim").alias("sim"))
-    rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
-    return once.withColumn("rank", rank).where(F.col("rank") <= LIST).drop("rank")
+    """The best LIST entries of each vector, and all connections."""
+    once = edges.groupBy("u", "v", "link").agg(F.max("sim").alias("sim"))
+    rank = F.row_number().over(Window.partitionBy("u", "link").orderBy(F.desc("sim"), "v"))
+    return once.withColumn("rank", rank).where(F.col("link") | (F.col("rank") <= LIST)).select("u", "v", "sim", "link")
 
 
-def refined(graph: DataFrame, table: DataFrame, dtype: str) -> DataFrame:
-    """Edges between the neighbours of each vector that are better than the worst they have."""
+def refined(graph: DataFrame, table: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """Edges between the neighbours of each vector that are better than the worst they have, and what their links connect."""
+    graph = graph.where("NOT link")
     back = graph.select(F.col("v").alias("u"), F.col("u").alias("v"), "sim")
     rank = F.row_number().over(Window.partitionBy("u").orderBy(F.desc("sim"), "v"))
     back = back.withColumn("rank", rank).where(F.col("rank") <= LIST).drop("rank")
     worst = graph.groupBy("u").agg(F.min("sim").alias("worst"), F.count(F.lit(1)).alias("n"))
     worst = worst.select(F.col("u").alias("v"), F.when(F.col("n") < LIST, -2.0).otherwise(F.col("worst")).alias("worst"))
     pairs = graph.select("u", "v").unionByName(back.select("u", "v")).distinct()
-    vectors = table.select(F.col("id").alias("v"), "raw").join(worst, "v", "left")
-    lists = pairs.join(vectors, "v").groupBy("u").agg(F.collect_list(F.struct("v", "raw", "worst")).alias("near"))
+    vectors = table.select(F.col("id").alias("v"), "root", "raw").join(worst, "v", "left")
+    lists = pairs.join(vectors, "v").groupBy("u").agg(F.collect_list(F.struct("v", "root", "raw", "worst")).alias("near"))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             out = []
             for near in batch["near"]:
-                ids = np.array([x["v"] for x in near])
+                near = sorted(near, key=lambda x: x["v"])
+                ids, roots = (np.array([x[c] for x in near]) for c in ("v", "root"))
                 least = np.array([-2.0 if x["worst"] is None else x["worst"] for x in near])
                 for at, unit_rows in by_width([x["raw"] for x in near], dtype):
                     if len(at) < 2:
                         continue
                     sims = unit_rows @ unit_rows.T
-                    np.fill_diagonal(sims, -3)
+                    first = joined(sims >= threshold)
+                    bound = np.flatnonzero(first != np.arange(len(at)))
+                    out.append((ids[at[bound]], ids[at[first[bound]]], np.zeros(len(bound)), np.ones(len(bound), dtype=bool)))
+                    sims[roots[at][:, None] == roots[at]] = -3
                     i, j = np.nonzero(sims > least[at][:, None])
-                    out.append((ids[at[i]], ids[at[j]], sims[i, j]))
+                    out.append((ids[at[i]], ids[at[j]], sims[i, j], np.zeros(len(i), dtype=bool)))
             if out:
-                u, v, sim = (np.concatenate(c) for c in zip(*out))
-                yield pd.DataFrame({"u": u, "v": v, "sim": sim})
+                u, v, sim, link = (np.concatenate(c) for c in zip(*out))
+                yield entries(u, v, sim, link)
 
     return lists.mapInPandas(rows, EDGES)
 
 
 def descended(table: DataFrame, dtype: str, threshold: float, n: int, rounds: int, seed: int, start: DataFrame | None) -> DataFrame:
-    edges = first_graph(table, dtype, n, seed)
+    edges = first_graph(table, dtype, threshold, n, seed)
     graph = materialize(nearest(edges if start is None else edges.unionByName(start)), "graph")
-    links = graph.where(F.col("sim") >= threshold).count()
+    near = ~F.col("link") & (F.col("sim") >= threshold)
+    links = graph.where(near).count()
     for _ in range(rounds):
-        graph = materialize(nearest(graph.unionByName(refined(graph, table, dtype))), "graph")
-        now = graph.where(F.col("sim") >= threshold).count()
+        graph = materialize(nearest(graph.unionByName(refined(graph, table, dtype, threshold))), "graph")
+        now = graph.where(near).count()
         if now <= 1.001 * links:
             break
         links = now
     return graph
 
 
-def groups_of(graph: DataFrame, threshold: float) -> DataFrame:
-    links = graph.where(F.col("sim") >= threshold).select(F.col("u").alias("a"), F.col("v").alias("b"))
-    return materialize(components(links), "roots")
+def groups_of(graph: DataFrame) -> DataFrame:
+    return materialize(components(graph.where("link").select(F.col("u").alias("a"), F.col("v").alias("b"))), "roots")
+
+
+def saturated(graph: DataFrame, threshold: float) -> bool:
+    """Whether there is a list that holds nothing but links."""
+    lists = graph.where(~F.col("link") & (F.col("sim") >= threshold)).groupBy("u").agg(F.count(F.lit(1)).alias("n"))
+    return not lists.where(F.col("n") >= LIST).isEmpty()
+
+
+def outside(graph: DataFrame, roots: DataFrame) -> DataFrame:
+    """All connections, and the entries of lists that lead out of their group."""
+    of_u = roots.select(F.col("id").alias("u"), F.col("root").alias("ru"))
+    of_v = roots.select(F.col("id").alias("v"), F.col("root").alias("rv"))
+    led = graph.join(of_u, "u", "left").join(of_v, "v", "left")
+    return led.where(F.col("link") | ~F.coalesce(F.col("ru") == F.col("rv"), F.lit(False))).select("u", "v", "sim", "link")
 
 
 def audit(table: DataFrame, dtype: str, roots: DataFrame, threshold: float) -> float:
@@ -217,9 +270,7 @@ def enlarged(table: DataFrame, roots: DataFrame, dtype: str, threshold: float) -
     chunks = F.ceil(F.col("n") / BLOCK)
     members = roots.join(sizes, "root").withColumns({"chunk": F.pmod(F.xxhash64("id"), chunks), "chunks": chunks})
     loads = members.join(table, "id")
-    # each block meets every other one once
-    every = F.sequence(F.lit(0).cast("bigint"), F.col("chunks") - 1)
-    each = loads.withColumn("o", F.explode(every)).withColumns({"x": F.least("chunk", "o"), "y": F.greatest("chunk", "o")})
+    each = met(loads)
 
     def count(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
         return count_block(key, group, dtype, threshold)
@@ -245,12 +296,18 @@ def near_duplicates(
     each = materialize(raw, "vectors")
     table = materialize(each.groupBy("raw").agg(F.min("id").alias("id"), F.count(F.lit(1)).alias("copies")), "distinct")
     n = table.count()
-    graph = roots = None
-    for seed in range(3):
-        graph = descended(table, dtype, threshold, n, rounds, seed, graph)
-        roots = groups_of(graph, threshold)
-        if audit(table, dtype, roots, threshold) >= least:
-            break
+    grouped, graph = table.withColumn("root", F.col("id")), None
+    seed = audits = 0
+    while audits < 3:
+        graph = descended(grouped, dtype, threshold, n, rounds, seed, graph)
+        roots = groups_of(graph)
+        seed += 1
+        if not saturated(graph, threshold):
+            audits += 1
+            if audit(table, dtype, roots, threshold) >= least:
+                break
+        grouped = materialize(table.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "grouped")
+        graph = outside(graph, roots)
     counts = enlarged(table, roots, dtype, threshold)
     named = table.join(roots, "id", "left").join(counts, "id", "left").select(
         "raw",

@@ -287,6 +287,24 @@ def test_vector_links(spark):
     assert neighbours.near_duplicates(table.where("false")).count() == 0
 
 
+def test_links_between_clumps_with_full_lists(spark, monkeypatch):
+    rng = np.random.default_rng(5)
+    first = rng.standard_normal(64)
+    first /= np.linalg.norm(first)
+    side = rng.standard_normal(64)
+    side -= (side @ first) * first
+    second = 0.93 * first + np.sqrt(1 - 0.93**2) * side / np.linalg.norm(side)
+    good = np.array([c + 0.005 * rng.standard_normal(64) for c in (first, second) for _ in range(40)], dtype=np.float32).astype(float)
+    unit = good / np.linalg.norm(good, axis=1, keepdims=True)
+    links = (unit @ unit.T >= 0.9).sum(axis=1) - 1
+    assert links.min() == 79  # every pair is a link
+    table = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(good)], "vec_id long, embedding array<float>")
+    for chunk in (neighbours.CHUNK, 16):  # a bucket at once, and in blocks
+        monkeypatch.setattr(neighbours, "CHUNK", chunk)
+        got = neighbours.near_duplicates(table).collect()
+        assert {tuple(r) for r in got} == {(i, 79, 0, i == 0) for i in range(80)}
+
+
 # pseudonyms
 
 
