@@ -6,7 +6,8 @@ neighbour's neighbour is likely a neighbour. Rounds end when they find next to n
 Lists hold a few neighbours, but no link found is lost with them: every comparison also says which of its
 vectors its links connect. While a list is full of links (saturated), the search goes on for neighbours outside the group
 that the links connect. Groups are then compared block by block, and only counts leave a task. A sample of
-vectors is compared with all others to audit the recall; while it is too low, more hyperplanes are added.
+vectors is compared with all others to audit the recall; while it is too low, more hyperplanes are added,
+and if that does not help, all vectors are compared block by block.
 """
 
 from __future__ import annotations
@@ -27,6 +28,7 @@ BUCKET = 128  # vectors with the same signs that are aimed at
 CHUNK = 1024  # larger ones are compared block by block
 BLOCK = 256
 AUDITED = 1000
+AUDITS = 3
 #: Entries of lists, and connections (link): u and v are in one group by links that one comparison has found.
 EDGES = "u bigint, v bigint, sim double, link boolean"
 
@@ -110,20 +112,20 @@ def compare_bucket(key: tuple, group: pd.DataFrame, dtype: str, threshold: float
     return pd.concat(parts)
 
 
-def first_graph(table: DataFrame, dtype: str, threshold: float, n: int, seed: int) -> DataFrame:
+def first_graph(table: DataFrame, dtype: str, threshold: float, n: int, seed: int, tables: int = TABLES) -> DataFrame:
     """Edges between vectors on the same side of random hyperplanes. All vectors of a bucket are compared."""
     bits = max(0, int(np.ceil(np.log2(max(1, n / BUCKET)))))
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = batch["raw"].tolist()
-            codes = np.zeros((len(raw), TABLES), dtype=np.int64)
+            codes = np.zeros((len(raw), tables), dtype=np.int64)
             for at, unit_rows in by_width(raw, dtype):
                 width = unit_rows.shape[1]
-                planes = np.random.default_rng((seed, width)).standard_normal((width, TABLES * bits))
-                signs = (unit_rows @ planes > 0).reshape(len(at), TABLES, bits)
+                planes = np.random.default_rng((seed, width)).standard_normal((width, tables * bits))
+                signs = (unit_rows @ planes > 0).reshape(len(at), tables, bits)
                 codes[at] = (signs << np.arange(bits)).sum(axis=2) if bits else 0
-            buckets = codes * TABLES + np.arange(TABLES)
+            buckets = codes * tables + np.arange(tables)
             yield pd.DataFrame({"id": batch["id"], "root": batch["root"], "raw": raw, "buckets": buckets.tolist()})
 
     marked = table.select("id", "root", "raw").mapInPandas(rows, "id bigint, root bigint, raw binary, buckets array<bigint>")
@@ -188,12 +190,12 @@ def refined(graph: DataFrame, table: DataFrame, dtype: str, threshold: float) ->
     return lists.mapInPandas(rows, EDGES)
 
 
-def descended(table: DataFrame, dtype: str, threshold: float, n: int, rounds: int, seed: int, start: DataFrame | None) -> DataFrame:
+def descended(table: DataFrame, dtype: str, threshold: float, n: int, seed: int, start: DataFrame | None) -> DataFrame:
     edges = first_graph(table, dtype, threshold, n, seed)
     graph = materialize(nearest(edges if start is None else edges.unionByName(start)), "graph")
     near = ~F.col("link") & (F.col("sim") >= threshold)
     links = graph.where(near).count()
-    for _ in range(rounds):
+    while True:  # lists only get better, so it ends
         graph = materialize(nearest(graph.unionByName(refined(graph, table, dtype, threshold))), "graph")
         now = graph.where(near).count()
         if now <= 1.001 * links:
@@ -221,7 +223,11 @@ def outside(graph: DataFrame, roots: DataFrame) -> DataFrame:
 
 
 def audit(table: DataFrame, dtype: str, roots: DataFrame, threshold: float) -> float:
-    """Of the links of AUDITED vectors, found by comparing them with all, the share whose ends are in one group."""
+    """The share of the links of a vector, found by comparing it with all, whose ends are in one group; each of them is counted.
+
+    It is the mean over AUDITED vectors within a group, and of these means over the groups, so that a
+    large group weighs no more than a pair.
+    """
     spark = table.sparkSession
     asked = table.orderBy(F.xxhash64("id", F.lit(9)), "id").limit(AUDITED).select("id", "raw").toPandas()
     shared = spark.sparkContext.broadcast((asked["id"].to_numpy(), [bytes(x) for x in asked["raw"]]))  # AUDITED vectors
@@ -242,10 +248,17 @@ def audit(table: DataFrame, dtype: str, roots: DataFrame, threshold: float) -> f
     links = table.select("id", "raw").mapInPandas(rows, "a bigint, b bigint")
     side = roots.select(F.col("id").alias("a"), F.col("root").alias("ra"))
     other = roots.select(F.col("id").alias("b"), F.col("root").alias("rb"))
-    same = links.join(side, "a", "left").join(other, "b", "left").agg(
-        F.count(F.lit(1)).alias("n"), F.count(F.when(F.col("ra") == F.col("rb"), 1)).alias("found")
-    ).first()
-    return 1.0 if not same["n"] else same["found"] / same["n"]
+    each = links.join(side, "a", "left").join(other, "b", "left").groupBy("a").agg(
+        F.coalesce(F.max("ra"), F.col("a")).alias("root"),
+        (F.count(F.when(F.col("ra") == F.col("rb"), 1)) / F.count(F.lit(1))).alias("recall"),
+    )
+    recall = each.groupBy("root").agg(F.avg("recall").alias("recall")).agg(F.avg("recall")).first()[0]
+    return 1.0 if recall is None else recall
+
+
+def compared(table: DataFrame, dtype: str, threshold: float) -> DataFrame:
+    """All connections, from comparing all vectors: the work grows with the square of the table."""
+    return first_graph(table, dtype, threshold, 0, 0, tables=1).where("link")
 
 
 def count_block(key: tuple, group: pd.DataFrame, dtype: str, threshold: float) -> pd.DataFrame:
@@ -281,7 +294,7 @@ def enlarged(table: DataFrame, roots: DataFrame, dtype: str, threshold: float) -
 
 
 def near_duplicates(
-    df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, rounds: int = 4, least: float = 0.98
+    df: DataFrame, key: str = "vec_id", vector: str = "embedding", threshold: float = 0.9, least: float = 0.98
 ) -> DataFrame:
     """One row per vector: ``key``, n_links, component_id, kept.
 
@@ -289,7 +302,7 @@ def near_duplicates(
     that are null, empty, zero or hold a null or not finite component have none; vectors of different lengths
     are never linked. Rows without a key have no link and no component; repeated rows are copies of
     one another. Other columns are ignored, an empty table stays empty. ``least`` is the audited
-    recall below which more hyperplanes are added, three times at most.
+    recall below which more hyperplanes are added, and after AUDITS audits all vectors are compared.
     """
     ship_package(df.sparkSession)
     raw, dtype = distinct_vectors(df.select(key, vector), key, vector)
@@ -298,14 +311,17 @@ def near_duplicates(
     n = table.count()
     grouped, graph = table.withColumn("root", F.col("id")), None
     seed = audits = 0
-    while audits < 3:
-        graph = descended(grouped, dtype, threshold, n, rounds, seed, graph)
+    while True:
+        graph = descended(grouped, dtype, threshold, n, seed, graph)
         roots = groups_of(graph)
         seed += 1
         if not saturated(graph, threshold):
-            audits += 1
             if audit(table, dtype, roots, threshold) >= least:
                 break
+            audits += 1
+            if audits == AUDITS:
+                roots = groups_of(compared(grouped, dtype, threshold))
+                break
         grouped = materialize(table.join(roots, "id", "left").withColumn("root", F.coalesce("root", "id")), "grouped")
         graph = outside(graph, roots)
     counts = enlarged(table, roots, dtype, threshold)

@@ -305,6 +305,22 @@ def test_links_between_clumps_with_full_lists(spark, monkeypatch):
         assert {tuple(r) for r in got} == {(i, 79, 0, i == 0) for i in range(80)}
 
 
+def test_audit_weighs_groups_alike_and_is_followed(spark, monkeypatch):
+    rng = np.random.default_rng(6)
+    centres = rng.standard_normal((21, 64))
+    hot = [(i, centres[0] + 0.02 * rng.standard_normal(64)) for i in range(100)]
+    pairs = [(100 + i, centres[1 + i // 2] + 0.02 * rng.standard_normal(64)) for i in range(40)]
+    table = spark.createDataFrame([(i, [float(x) for x in v]) for i, v in hot + pairs], "vec_id long, embedding array<float>")
+    raw, dtype = neighbours.distinct_vectors(table, "vec_id", "embedding")
+    only_hot = spark.createDataFrame([(i, 0) for i in range(100)], "id long, root long")
+    # 9,900 of 9,940 links, but none of 20 pairs: two vectors of each are groups of their own here
+    assert neighbours.audit(raw, dtype, only_hot, 0.9) == pytest.approx(1 / 41)
+    monkeypatch.setattr(neighbours, "AUDITS", 1)
+    monkeypatch.setattr(neighbours, "descended", lambda table, *_: table.selectExpr("id AS u", "id AS v", "0D AS sim", "true AS link").where("false"))
+    want = {(i, 99, 0, i == 0) for i in range(100)} | {(100 + i, 1, 100 + i // 2 * 2, i % 2 == 0) for i in range(40)}
+    assert {tuple(r) for r in neighbours.near_duplicates(table).collect()} == want
+
+
 # pseudonyms
 
 
