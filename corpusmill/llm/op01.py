@@ -15,6 +15,6 @@ def tokenizer_spec(path: str | None = None) -> str:
 
 @query("op1_packing")
 def op1_packing(spark, folder):
-    """All documents packed into sequences of 2,048 tokens."""
+    """All documents packed into sequences of 2,048 tokens, with a checksum in place of each piece's ids."""
     docs = table(spark, folder, "documents").select("doc_id", "text")
-    return pack(docs, tokenizer_spec(), SIZE, LAST_ID).drop("row_id")
+    return pack(docs, tokenizer_spec(), SIZE, LAST_ID).drop("row_id", "ids")

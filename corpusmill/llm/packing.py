@@ -10,7 +10,6 @@ from __future__ import annotations
 
 import json
 import unicodedata
-import zlib
 from collections.abc import Iterator
 from functools import cached_property
 from typing import NamedTuple
@@ -24,11 +23,11 @@ from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
 from .lp import whole_plan
-from .spans import released
+from .spans import groups, released
 
 PIECES = (
     "row_id bigint, doc_id bigint, start bigint, length bigint, ids_crc32 bigint, doc_tokens bigint, "
-    "sequence_id bigint, offset bigint"
+    "sequence_id bigint, offset bigint, ids binary"
 )
 
 
@@ -115,31 +114,34 @@ def split_plain(text: str) -> list[str]:
     return text.replace("\n", " ").replace("\t", " ").replace("\r", " ").split(" ") if text else []
 
 
-def crc(ids: np.ndarray) -> int:
-    return zlib.crc32(ids.tobytes())
-
-
 def encoded(docs: DataFrame, spec: str, last_id: int, size: int) -> DataFrame:
-    """Per row its number of ids, the checksum of each whole sequence and of the rest; written to the shared folder."""
+    """The ids of each row, cut into pieces of ``size`` and a rest; written to the shared folder."""
     ship_package(docs.sparkSession)
     shared = docs.sparkSession.sparkContext.broadcast(spec)  # the tokenizer's file, 2 MB
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         encoder = encoder_of(shared.value)
         for batch in batches:
-            ids = [np.append(encoder(t or ""), np.uint32(last_id)).astype("<u4") for t in batch["text"]]
-            yield pd.DataFrame(
-                {
-                    "row_id": batch["row_id"],
-                    "doc_id": batch["doc_id"],
-                    "doc_tokens": [len(x) for x in ids],
-                    "crcs": [[crc(x[i : i + size]) for i in range(0, len(x), size)] for x in ids],
-                }
-            )
+            lengths = batch["text"].str.len().fillna(0).astype(int).tolist()
+            for lo, hi in groups(lengths):
+                some = batch.iloc[lo:hi]
+                ids = [np.append(encoder(t or ""), np.uint32(last_id)).astype("<u4") for t in some["text"]]
+                cuts = [range(0, len(x), size) for x in ids]
+                count = [len(c) for c in cuts]
+                yield pd.DataFrame(
+                    {
+                        "row_id": np.repeat(some["row_id"].to_numpy(), count),
+                        "doc_id": some["doc_id"].repeat(count).array,
+                        "doc_tokens": np.repeat([len(x) for x in ids], count),
+                        "start": np.concatenate([np.array(c) for c in cuts]),
+                        "length": [min(size, len(x) - i) for x, c in zip(ids, cuts) for i in c],
+                        "ids": [x[i : i + size].tobytes() for x, c in zip(ids, cuts) for i in c],
+                    }
+                )
 
     # an id per row, so that repeated documents stay apart; it is written with the row
     numbered = docs.select(F.monotonically_increasing_id().alias("row_id"), "doc_id", "text")
-    schema = "row_id bigint, doc_id bigint, doc_tokens bigint, crcs array<bigint>"
+    schema = "row_id bigint, doc_id bigint, doc_tokens bigint, start bigint, length bigint, ids binary"
     return materialize(numbered.mapInPandas(released(rows), schema), "encoded")
 
 
@@ -232,7 +234,7 @@ def numbered(rows: DataFrame, first: int) -> DataFrame:
 
 
 def pack(docs: DataFrame, spec: str, size: int = 2048, last_id: int = 1) -> DataFrame:
-    """Pieces of PIECES: which ids of which row lie where.
+    """Pieces of PIECES: which ids of which row lie where, and the ids themselves, little-endian in 4 bytes each.
 
     ``docs`` has doc_id and text, ``spec`` is the tokenizer's JSON. Null and empty texts are the closing id
     alone. A document of more than ``size`` ids is cut at multiples of it, every other one stays whole. Rows
@@ -240,30 +242,32 @@ def pack(docs: DataFrame, spec: str, size: int = 2048, last_id: int = 1) -> Data
     empty table has no pieces. Sequences are numbered from 0, offsets within one have no gap.
     """
     table = encoded(docs, spec, last_id, size)
-    lengths = table.select("row_id", "doc_id", "doc_tokens", "crcs")
-    whole = F.floor(F.col("doc_tokens") / size)
+    lengths = table.drop("ids")
     bounds = classes(size)
     class_of = F.pandas_udf(lambda x: pd.Series(np.searchsorted(bounds, x.to_numpy())), "bigint")
-    rests = lengths.where(F.col("doc_tokens") % size > 0).select(
-        "row_id",
-        "doc_id",
-        (whole * size).alias("start"),
-        (F.col("doc_tokens") % size).alias("length"),
-        F.element_at("crcs", -1).alias("ids_crc32"),
-        "doc_tokens",
-    )
-    rests = rests.withColumn("class", class_of("length"))
+    rests = lengths.where(F.col("length") < size).withColumn("class", class_of("length"))
     counts = {r["class"]: r["n"] for r in rests.groupBy("class").agg(F.count(F.lit(1)).alias("n")).collect()}  # one per class
     found = plan(counts, bounds, size)
     order = Window.partitionBy("sequence_id").orderBy("order")
     offset = F.sum("length").over(order.rowsBetween(Window.unboundedPreceding, -1))
     shared = placed(ranked(rests), found).withColumn("offset", F.coalesce(offset, F.lit(0))).drop("class", "rank", "order")
-    full = lengths.where(whole > 0).select(
-        "row_id", "doc_id", "doc_tokens", F.posexplode(F.slice("crcs", F.lit(1), whole.cast("int"))).alias("i", "ids_crc32")
-    )
-    full = numbered(full, found.sequences).select(
-        "row_id", "doc_id", (F.col("i") * size).cast("bigint").alias("start"), F.lit(size).cast("bigint").alias("length"),
-        "ids_crc32", "doc_tokens", "sequence_id", F.lit(0).cast("bigint").alias("offset"),
+    full = numbered(lengths.where(F.col("length") == size).withColumn("i", F.col("start")), found.sequences)
+    full = full.withColumn("offset", F.lit(0).cast("bigint"))
+    places = ["row_id", "start", "sequence_id", "offset"]
+    # ids are exchanged once, when all places are known
+    pieces = table.join(shared.select(*places).unionByName(full.select(*places)), ["row_id", "start"])
+    return pieces.withColumn("ids_crc32", F.crc32("ids")).select(*[c.split()[0] for c in PIECES.split(", ")])
+
+
+def sequences(pieces: DataFrame, size: int = 2048, pad_id: int = 0) -> DataFrame:
+    """Training sequences of exactly ``size`` ids, little-endian in 4 bytes: sequence_id, ids, and the lengths of its pieces.
+
+    What follows the last piece is filled with ``pad_id``.
+    """
+    parts = F.array_sort(F.collect_list(F.struct("offset", "length", "ids")))
+    joined = F.aggregate("parts", F.lit(bytearray()), lambda a, p: F.concat(a, p["ids"]))
+    return pieces.groupBy("sequence_id").agg(parts.alias("parts")).select(
+        "sequence_id",
+        F.rpad(joined, F.lit(4 * size), F.lit(bytearray(pad_id.to_bytes(4, "little")))).alias("ids"),
+        F.col("parts.length").alias("lengths"),
     )
-    names = [c.split()[0] for c in PIECES.split(", ")]
-    return shared.select(*names).unionByName(full.select(*names))

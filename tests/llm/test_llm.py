@@ -74,6 +74,25 @@ def test_pieces_hold_every_id_once(docs, empty):
         assert s["offset"].tolist() == [0, *s["length"].cumsum().tolist()[:-1]] and s["length"].sum() <= 256
 
 
+def test_sequences_hold_the_ids(docs):
+    from tokenizers import Tokenizer
+
+    spec = tokenizer_spec()
+    tokenizer = Tokenizer.from_str(spec)
+    ids = {i: [*tokenizer.encode(t, add_special_tokens=False).ids, 1] for i, t in texts_of(docs)}
+    pieces_of = packing.pack(docs, spec, size=256).persist()
+    want: dict[int, list[int]] = {}
+    for r in sorted(pieces_of.collect(), key=lambda r: (r["sequence_id"], r["offset"])):
+        part = ids[r["doc_id"]][r["start"] : r["start"] + r["length"]]
+        assert np.frombuffer(r["ids"], dtype="<u4").tolist() == part
+        want.setdefault(r["sequence_id"], []).extend(part)
+    got = {r["sequence_id"]: r for r in packing.sequences(pieces_of, 256, pad_id=7).collect()}
+    assert set(got) == set(want)
+    for k, r in got.items():
+        assert np.frombuffer(r["ids"], dtype="<u4").tolist() == want[k] + [7] * (256 - len(want[k]))
+        assert sum(r["lengths"]) == len(want[k])
+
+
 def test_encoder_equals_tokenizers():
     from tokenizers import Tokenizer
 
