@@ -14,6 +14,24 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 ROUNDS = 8
+#: Countries by the length of their IBANs. The published registry.
+IBANS = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV",
+    22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL", 24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST",
+    26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE",
+    31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def printed_ibans() -> str:
+    """IBANs in groups of four, each country with its own length, so that what follows is never taken in."""
+    forms = []
+    for n, countries in IBANS.items():
+        rest = f" [A-Z0-9]{{{n % 4}}}" if n % 4 else ""
+        forms.append(f"(?:{'|'.join(countries.split())})[0-9]{{2}}(?: [A-Z0-9]{{4}}){{{n // 4 - 1}}}{rest}")
+    return rf"(?<![\p{{L}}\p{{N}}])(?:{'|'.join(forms)})(?![\p{{L}}\p{{N}}])"
+
+
 #: Kinds in the order in which they are tried at a place in the text. Published formats.
 PATTERNS = {
     "email": r"(?<![\p{L}\p{N}._%+\-])[\p{L}\p{N}._%+\-]++@[A-Za-z0-9\-]+\.[A-Za-z0-9.\-]*[A-Za-z0-9]",
@@ -23,9 +41,12 @@ PATTERNS = {
     "date": r"(?<![0-9\-/])(?:18|19|20|21)[0-9]{2}-(?:0[1-9]|1[0-2])-(?:0[1-9]|[12][0-9]|3[01])(?![0-9\-/])",
     "day": r"(?<![0-9\-/])(?:0[1-9]|[12][0-9]|3[01])/(?:0[1-9]|1[0-2])/(?:18|19|20|21)[0-9]{2}(?![0-9\-/])",
     "iban": r"(?<![\p{L}\p{N}])[A-Z]{2}[0-9]{2}[A-Z0-9]{11,30}(?![\p{L}\p{N}])",
+    "printed iban": printed_ibans(),
     "secret": r"(?<![\p{L}\p{N}])[0-9a-f]{32,64}(?![\p{L}\p{N}])",
-    "card": r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,18}(?![0-9])",
 }
+#: Looked for in what the other kinds leave: digits over blanks and hyphens, of which a card may be a part.
+RUN = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,}+"
+CARD_DIGITS = (13, 19)
 ANY = "|".join(PATTERNS.values())
 #: 146,097 days from 1800-01-01 repeat the calendar; they are the product of these radices.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
@@ -153,13 +174,68 @@ def date_text(new: Column, form: str) -> Column:
     return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (new[0] * DAYS[1] + new[1]).cast("int")), form)
 
 
+def passes_luhn(text: Column) -> Column:
+    digits = places(numbers_in(text), DIGITS)
+    return let(digits, lambda d: check_digit(F.slice(d, F.lit(1), F.size(d) - 1)) == F.element_at(d, -1))
+
+
+def token(text: Column, found: bool) -> Column:
+    return F.struct(text.alias("text"), F.lit(found).alias("found"))
+
+
+def cards_in(run: Column) -> Column:
+    """A run of digits in tokens: at each group the longest card number of whole groups that starts there."""
+
+    def cut(groups: Column) -> Column:
+        n = F.size(groups)
+
+        def card(i: Column, size: Column) -> Column:
+            return F.regexp_replace(F.array_join(F.slice(groups, i + 1, size), ""), r"[ \-]$", "")
+
+        def step(state: Column, i: Column) -> Column:
+            # a group holds a digit at least
+            sizes = F.sequence(F.least(n - i, F.lit(CARD_DIGITS[1])), F.lit(1), F.lit(-1))
+            right = F.filter(sizes, lambda k: let(card(i, k), lambda c: F.length(numbers_in(c)).between(*CARD_DIGITS) & passes_luhn(c)))
+            found = let(F.get(right, F.lit(0)), lambda k: F.when(k.isNotNull(), F.struct(
+                F.concat(state["out"], let(card(i, k), lambda c: F.array(
+                    token(c, True), token(after(F.array_join(F.slice(groups, i + 1, k), ""), F.length(c)), False)
+                ))).alias("out"),
+                (i + k).alias("next"),
+            )).otherwise(F.struct(F.concat(state["out"], F.array(token(F.get(groups, i), False))).alias("out"), (i + 1).alias("next"))))
+            return F.when(i < state["next"], state).otherwise(found)
+
+        start = F.struct(F.array().cast("array<struct<text:string,found:boolean>>").alias("out"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["out"])
+
+    return let(F.regexp_extract_all(run, F.lit(r"[0-9]+[ \-]?"), F.lit(0)), cut)
+
+
+def between(text: Column, pattern: str, gap, value) -> Column:
+    """The tokens of ``gap`` of what lies around the matches and ``value`` of the matches, in order."""
+    gaps, values = F.split(text, pattern, -1), F.regexp_extract_all(text, F.lit(pattern), F.lit(0))
+    pairs = F.arrays_zip(gaps.alias("p"), values.alias("v"))
+    return F.flatten(F.transform(pairs, lambda z: F.concat(gap(z["p"]), F.when(z["v"].isNull(), nothing()).otherwise(value(z["v"])))))
+
+
+def nothing() -> Column:
+    return F.array().cast("array<struct<text:string,found:boolean>>")
+
+
+def tokens(text: Column) -> Column:
+    """The text in pieces, of which those that may be personal data are marked."""
+    rest = lambda p: F.when(p.rlike(RUN), between(p, RUN, lambda q: F.array(token(q, False)), cards_in)).otherwise(F.array(token(p, False)))
+    return between(text, ANY, rest, lambda v: F.array(token(v, True)))
+
+
 def kind_of(text: Column) -> Column:
     """The format of a found value; null for a number that fails its check."""
-    digits = places(numbers_in(text), DIGITS)
-    luhn = let(digits, lambda d: check_digit(F.slice(d, F.lit(1), F.size(d) - 1)) == F.element_at(d, -1))
-    whole = F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4))
+    luhn = passes_luhn(text)
+    whole = slots(F.concat(F.substring(text, F.lit(5), F.length(text)), F.substring(text, 1, 4)))
+    local = F.substring_index(text, "@", 1)
     return (
-        F.when(F.contains(text, F.lit("@")), F.when(F.length(slots(F.substring_index(text, "@", 1))).between(1, 64), "email"))
+        F.when(F.contains(text, F.lit("@")), F.when(local.rlike(r"[\p{L}\p{N}&&[^0-9A-Za-z]]") | (F.length(slots(local)) > 64), "mailbox").when(
+            F.length(slots(local)) > 0, "email"
+        ))
         .when(text.rlike(r"^[+(]"), "phone")
         .when(text.rlike(r"^[0-9]{1,3}(\.[0-9]{1,3}){3}$"), "ipv4")
         .when(text.rlike(r"^[0-9]{3}-[0-9]{2}-[0-9]{4}$"), "ssn")
@@ -209,7 +285,7 @@ def radices_of(kind: Column, digits: Column, classes: Column) -> Column:
     )
 
 
-def written(text: Column, kind: Column, new: Column, classes: Column) -> Column:
+def written(text: Column, kind: Column, new: Column, classes: Column, key: str) -> Column:
     """The pseudonym in the format of the found text."""
     letters = spelled(F.zip_with(new, classes, lambda v, c: v + c), ALPHABET)
     code = country_code(text)
@@ -224,7 +300,9 @@ def written(text: Column, kind: Column, new: Column, classes: Column) -> Column:
         .when(kind == "ssn", F.format_string("%03d-%02d-%04d", area, new[1] + 1, new[2] + 1))
         .when(kind == "date", date_text(new, ISO))
         .when(kind == "day", date_text(new, SLASHED))
-        .when(kind == "iban", account)
+        .when(kind == "iban", let(account, lambda a: refilled(text, a)))
+        # no letter of it may stay, and other alphabets have no order here
+        .when(kind == "mailbox", F.concat(F.substring(F.sha2(F.concat(F.lit(f"{key}|mailbox|"), F.substring_index(text, "@", 1)).cast("binary"), 256), 1, 32), F.lit("@"), F.substring_index(text, "@", -1)))
         .when(kind == "card", let(F.concat(spelled(new, DIGITS), check_digit(new).cast("string")), lambda a: refilled(text, a)))
         .when(kind == "secret", spelled(new, HEX))
         .otherwise(text)
@@ -232,38 +310,35 @@ def written(text: Column, kind: Column, new: Column, classes: Column) -> Column:
 
 
 def pseudonyms(found: Column, key: str) -> Column:
-    """The pseudonym of each found value, in steps, so that every part is computed once."""
-    steps = F.transform(found, lambda v: F.struct(v.alias("text"), kind_of(v).alias("kind")))
+    """The tokens with the found values under pseudonyms, in steps, so that every part is computed once."""
+    steps = F.transform(found, lambda v: F.struct(v["text"].alias("text"), F.when(v["found"], kind_of(v["text"])).alias("kind")))
     steps = F.transform(steps, lambda s: F.struct(
         s["text"].alias("text"), s["kind"].alias("kind"),
         F.when(s["kind"].isNotNull(), digits_of(s["text"], s["kind"])).alias("digits"),
         F.when(s["kind"].isin("email", "iban"), classes_of(s["text"], s["kind"])).alias("classes"),
     ))
-    steps = F.transform(steps, lambda s: F.struct(s.alias("s"), F.when(s["kind"].isNotNull(), radices_of(s["kind"], s["digits"], s["classes"])).alias("radices")))
+    steps = F.transform(steps, lambda s: F.struct(s.alias("s"), F.when(s["digits"].isNotNull(), radices_of(s["kind"], s["digits"], s["classes"])).alias("radices")))
     steps = F.transform(steps, lambda s: F.struct(
-        s["s"].alias("s"), F.when(s["s"]["kind"].isNotNull(), permuted(s["s"]["digits"], s["radices"], s["s"]["kind"], key)).alias("new")
+        s["s"].alias("s"), F.when(s["s"]["digits"].isNotNull(), permuted(s["s"]["digits"], s["radices"], s["s"]["kind"], key)).alias("new")
     ))
-    return F.transform(steps, lambda s: written(s["s"]["text"], s["s"]["kind"], s["new"], s["s"]["classes"]))
+    return F.transform(steps, lambda s: written(s["s"]["text"], s["s"]["kind"], s["new"], s["s"]["classes"], key))
 
 
 def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str | None = "n_private") -> DataFrame:
     """Replace personal data in ``text``; ``found`` names a column with the number of values changed.
 
     Changed: e-mail local parts, phone numbers, IPv4 addresses, SSNs, dates from 1800 to 2199, IBANs and
-    card numbers with right check digits, hexadecimal secrets of 32 to 64 digits. Numbers that fail
-    their check stay as they are. Null text stays null with 0 values, a text without digit is kept
+    card numbers with right check digits, hexadecimal secrets of 32 to 64 digits. Local parts with letters or
+    digits beyond ASCII, or over 64, become 32 hexadecimal digits. A card may be any whole groups of
+    a run of digits; an IBAN in groups of four has its country's length. Numbers that fail their check stay as they are. Null text stays null with 0 values, a text without digit is kept
     untouched, repeated rows give repeated results, other columns are kept and an empty table stays empty.
     """
     value = F.col(text)
-    parts = F.split(value, ANY, -1)
-    values = F.regexp_extract_all(value, F.lit(ANY), F.lit(0))
-    work = df.withColumn("__found", F.when(value.rlike("[0-9@]"), values))
-    some = F.coalesce(F.size("__found"), F.lit(0)) > 0
+    work = df.withColumn("__found", F.when(value.rlike("[0-9@]") & (value.rlike(ANY) | value.rlike(RUN)), tokens(value)))
+    some = F.col("__found").isNotNull()
     work = work.withColumn("__new", F.when(some, pseudonyms(F.col("__found"), key)))
-    pairs = F.arrays_zip(parts.alias("p"), F.concat("__new", F.array(F.lit(""))).alias("v"))
-    joined = F.array_join(F.flatten(F.transform(pairs, lambda z: F.array(z["p"], z["v"]))), "")
-    work = work.withColumn(text, F.when(some, joined).otherwise(value))
+    work = work.withColumn(text, F.when(some, F.array_join("__new", "")).otherwise(value))
     if found:
-        changed = F.size(F.filter(F.arrays_zip(F.col("__found").alias("a"), F.col("__new").alias("b")), lambda z: z["a"] != z["b"]))
-        work = work.withColumn(found, F.when(some, changed).otherwise(0).cast("bigint"))
+        pairs = F.arrays_zip(F.col("__found.text").alias("a"), F.col("__new").alias("b"))
+        work = work.withColumn(found, F.when(some, F.size(F.filter(pairs, lambda z: z["a"] != z["b"]))).otherwise(0).cast("bigint"))
     return work.drop("__found", "__new")

@@ -375,6 +375,24 @@ def test_pseudonyms_keep_format_and_links(spark, docs):
     assert private.pseudonymise(docs.where("false"), "k").count() == 0
 
 
+def test_values_beside_others_are_found(spark):
+    card, iban = "4111 1111 1111 1111", "GB82 WEST 1234 5698 7654 32"
+    rows = [
+        f"card {card} 12/27", "pay 4111111111111111 123.", f"12 {card}", f"n {card} 5500 0000 0000 0004 x", f"{card} 1984-02-29",
+        f"to {iban} NOW", "GB82WEST12345698765432", "юрий@mail.example.com", "a" * 70 + "@mail.example.com", "1 2 3 4", f"is {card}",
+    ]
+    got = [r for r in private.pseudonymise(spark.createDataFrame(list(enumerate(rows)), "doc_id long, text string"), "k").orderBy("doc_id").collect()]
+    text = [r["text"] for r in got]
+    assert [r["n_private"] for r in got] == [1, 1, 1, 2, 2, 1, 1, 1, 1, 0, 1]
+    new = text[10][3:]
+    assert luhn(new.replace(" ", "")) and new != card
+    assert text[:3] == [f"card {new} 12/27", f"pay {new.replace(' ', '')} 123.", f"12 {new}"]
+    assert text[3].startswith(f"n {new} ") and text[3].endswith(" x") and "5500 0000 0000 0004" not in text[3]
+    assert text[4].startswith(f"{new} ") and "1984-02-29" not in text[4]
+    assert text[5].startswith("to GB") and text[5].endswith(" NOW") and text[5][3:-4].replace(" ", "") == text[6] != rows[6]
+    assert "юрий" not in text[7] and text[7].endswith("@mail.example.com") and "aaaaa" not in text[8] and text[9] == rows[9]
+
+
 def test_network_is_a_permutation(spark):
     radices = F.array(*[F.lit(x).cast("bigint") for x in (7, 5, 3)])
     rows = spark.range(105).select(F.array(F.col("id") % 7, F.floor(F.col("id") / 7) % 5, F.floor(F.col("id") / 35)).alias("v"))
