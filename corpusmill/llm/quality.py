@@ -56,7 +56,9 @@ def grams(texts: Joined) -> Iterator[tuple[np.ndarray, np.ndarray]]:
     if len(texts.bytes) >= 4:
         fours = np.lib.stride_tricks.sliding_window_view(texts.bytes, 4)
         four_owner = np.repeat(np.arange(len(texts.ends)), texts.ends - texts.starts + 1)[: len(fours)]
-        codes = np.ascontiguousarray(fours).view("<u4").ravel()
+        inside = np.arange(4, len(fours) + 4) <= texts.ends[four_owner]  # no window runs into the next text
+        four_owner = four_owner[inside]
+        codes = np.ascontiguousarray(fours).view("<u4").ravel()[inside]
         codes = (codes * np.uint32(0x9E3779B1)) >> np.uint32(32 - BITS)
         yield codes.astype(np.int64) + (2 << BITS), four_owner
 

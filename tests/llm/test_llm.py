@@ -208,6 +208,13 @@ def test_classifier_on_held_out_rows(spark):
     assert quality.train(table, labels.where("false")) is None
 
 
+def test_scores_do_not_depend_on_other_texts():
+    weights = np.random.default_rng(4).standard_normal(quality.FEATURES)
+    texts = [t.encode() for t in ("ab", "", "one two", "x\ny z", "漢字 a", "abc", "the last one")]
+    alone = [quality.scores(quality.Joined([t]), weights)[0] for t in texts]
+    assert np.allclose(quality.scores(quality.Joined(texts), weights), alone, rtol=0, atol=1e-12)
+
+
 # chat
 
 
