@@ -227,8 +227,8 @@ def judge_windows(group: pd.DataFrame) -> pd.DataFrame:
     return replies(group, row, np.bincount(place, weights=1 + many)[place] > 1, key)
 
 
-def covered(texts: Joined, size: int, names, codes, windows) -> np.ndarray:
-    """Which bytes of the joined texts lie in a repeated window."""
+def covered(texts: Joined, size: int, names, codes, windows, words: int = 0) -> np.ndarray:
+    """Which bytes of the joined texts lie in a repeated window, in runs with at least ``words`` beginnings of words."""
     edge = np.zeros(len(texts.bytes) + 1, dtype=np.int32)
     if names is not None:
         found = phrases(texts, size)
@@ -242,7 +242,20 @@ def covered(texts: Joined, size: int, names, codes, windows) -> np.ndarray:
             start = start[np.isin(texts.hashes(start, start + size) & ~np.uint64(1), known)]
             np.add.at(edge, start, 1)
             np.add.at(edge, start + size, -1)
-    return np.cumsum(edge[:-1]) > 0
+    gone = np.cumsum(edge[:-1]) > 0
+    if words and gone.any():
+        first, last = np.flatnonzero(np.diff(np.concatenate(([0], gone, [0])))).reshape(-1, 2).T
+        starts = texts.words()[0]
+        enough = np.searchsorted(starts, last) - np.searchsorted(starts, first) >= words
+        gone = kept_runs(len(gone), first[enough], last[enough])
+    return gone
+
+
+def kept_runs(n: int, first: np.ndarray, last: np.ndarray) -> np.ndarray:
+    """A mask of the given runs, which lie apart."""
+    edge = np.zeros(n + 1, dtype=np.int8)
+    edge[first], edge[last] = 1, -1
+    return np.cumsum(edge[:-1], dtype=np.int8) > 0
 
 
 def answered(pairs: DataFrame, judge, columns: int, name: str) -> DataFrame:
@@ -252,14 +265,16 @@ def answered(pairs: DataFrame, judge, columns: int, name: str) -> DataFrame:
     return materialize(found.groupBy("block").agg(*[F.collect_list(f"c{k}").alias(f"c{k}") for k in range(columns)]), name)
 
 
-def removed(docs: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = 400, texts: bool = False) -> DataFrame:
+def removed(
+    docs: DataFrame, text: str = "text", keep: list[str] | None = None, size: int = 400, texts: bool = False, words: int = 0
+) -> DataFrame:
     """The columns ``keep`` of each row and FIGURES, or with ``texts`` the text of the remaining bytes.
 
     A byte is removed if a string of ``size`` bytes around it also starts anywhere else in the input, in
     the same text or another, overlaps included; strings never cross texts. Null counts as
     empty, texts shorter than ``size`` lose nothing, a repeated row loses all its bytes if it is
-    long enough. With ``texts``, bytes of a character that was cut are left out as well.
-    An empty table stays empty.
+    long enough. Runs of such bytes in which fewer than ``words`` words begin stay. With ``texts``, bytes of a
+    character that was cut are left out as well. An empty table stays empty.
     """
     spark = docs.sparkSession
     keep = keep or ["doc_id"]
@@ -274,7 +289,7 @@ def removed(docs: DataFrame, text: str = "text", keep: list[str] | None = None,
             for r in batch.itertuples():
                 heads = iter(r.heads)
                 for few in texts_of(r.sizes, r.packed):
-                    gone = covered(few, size, r.c0, r.c1, r.windows)
+                    gone = covered(few, size, r.c0, r.c1, r.windows, words)
                     out = pd.DataFrame({"head": list(islice(heads, len(few.ends)))})
                     left = [few.bytes[s:e][~gone[s:e]].tobytes() for s, e in zip(few.starts, few.ends)]
                     if texts:
