@@ -7,7 +7,6 @@ from pyspark.sql import functions as F
 
 from corpusmill.llm.jaccard import similar
 from corpusmill.llm.op01 import LAST_ID, SIZE, tokenizer_spec
-from corpusmill.llm.op02 import SIZE as REPEAT
 from corpusmill.llm.op05 import SAMPLE, THRESHOLD
 from corpusmill.llm.op10 import KEY
 from corpusmill.llm.packing import pack
@@ -17,6 +16,10 @@ from corpusmill.llm.registry import table
 from corpusmill.llm.repeats import removed
 from corpusmill.session import materialize
 
+#: A passage of over 50 words repeats: strings of this many bytes find it, if its words have three letters on average,
+#: and runs with fewer words are left alone.
+PASSAGE_BYTES, PASSAGE_WORDS = 200, 50
+
 #: No SQL: a trained classifier decides in the first stage.
 ORACLE_SQL = None
 
@@ -39,9 +42,9 @@ def jaccard_join(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame
 
 
 def suffix_array_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Cut strings of 400 bytes that occur elsewhere out of the texts; a document may be left empty."""
+    """Cut passages of 50 words that occur elsewhere out of the texts; a document may be left empty."""
     others = [c for c in docs.columns if c != "text"]
-    return with_length(removed(docs, keep=others, size=REPEAT, texts=True), docs)
+    return with_length(removed(docs, keep=others, size=PASSAGE_BYTES, words=PASSAGE_WORDS, texts=True), docs)
 
 
 def private_data(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
