@@ -60,20 +60,22 @@ def passes(rules: Sequence[Rule], field: Callable[[str], Column]) -> Column:
     return reduce(lambda a, b: a & b, [_holds(rule, field(rule.field)) for rule in rules])
 
 
-def quality_filter(
-    df: DataFrame,
+def keeps(
     rules: Sequence[Rule] | str = "strict",
     source: str | None = "lichess",
     headers: str = "headers",
     field: Callable[[str], Column] | None = None,
-) -> DataFrame:
-    """Keep rows that pass; with ``source`` the rules bind only that source's rows."""
+) -> Column:
+    """Whether a row passes; with ``source`` the rules bind only that source's rows."""
     rules = RULE_SETS[rules] if isinstance(rules, str) else rules
     field = field or (lambda name: F.element_at(F.col(headers), name))
     keep = passes(rules, field)
-    if source is not None:
-        keep = keep | ~F.col("source").eqNullSafe(F.lit(source))
-    return df.where(keep)
+    return keep if source is None else keep | ~F.col("source").eqNullSafe(F.lit(source))
+
+
+def quality_filter(df: DataFrame, *args, **options) -> DataFrame:
+    """Only rows that pass; arguments as for ``keeps``."""
+    return df.where(keeps(*args, **options))
 
 
 def with_result(df: DataFrame, result: str = "result") -> DataFrame:

@@ -9,34 +9,43 @@ from ..functions import board as B
 from ..functions import moves as M
 from ..functions.conform import POSITION_SCHEMA, conform
 from ..functions.outcome import outcome_for_mover
-from ..functions.text import header, parse_headers, record_id
-from ..operators.quality import quality_filter, with_moves, with_result
+from ..functions.text import RESULTS, header, parse_headers, record_id
+from ..operators.integrity import assert_same
+from ..operators.quality import keeps
 from ..operators.replay import replay_games
-from ..session import materialize
-from ..sources.records import parse_records, split_errors
+from ..session import materialize, path_exists
+from ..sources.records import parse_records
 from ..sources.sinks import manifest_row, write_chunks, write_manifest
 
 GAME_COLUMNS = ["game_id", "split", "source", "result"]
 
 
-def parsed_games(records: DataFrame, rules="encoder") -> tuple[DataFrame, DataFrame]:
-    """(good records that pass the rules, bad ones)."""
-    # header rules first: they are cheap and spare rejected games the movetext work
-    rated = quality_filter(records.withColumn("headers", parse_headers("text")), rules)
-    return split_errors(parse_records(rated))
+def told_games(records: DataFrame, rules="encoder") -> DataFrame:
+    """Every labelled record with its ``fate``: selected, filtered or quarantined, and the ``reason`` of the last.
 
-
-def select_games(records: DataFrame, rules="encoder") -> DataFrame:
-    """Playable games of labelled records. All filters stand before the replay."""
-    games = with_moves(with_result(parsed_games(records, rules)[0]))
+    Header rules come first: they are cheap and spare rejected games the movetext work.
+    """
+    unread = F.col("unread") if "unread" in records.columns else F.lit(None).cast("string")
+    rated = records.withColumns({"__unread": unread, "headers": parse_headers("text")}).withColumn("__passes", keeps(rules))
+    parsed = parse_records(rated.withColumn("__text", F.when(F.col("__passes"), F.col("text"))), "__text")
+    reason = F.coalesce("__unread", F.when(F.col("__passes"), F.col("error")))
+    playable = F.col("__passes") & F.col("result").isin(*RESULTS) & (F.size("moves") > 0)
+    fate = F.when(reason.isNotNull(), "quarantined").when(playable, "selected").otherwise("filtered")
+    told = parsed.withColumns({"reason": reason, "fate": fate})
     # a file may repeat a game, so the record number is part of the key
     key = F.concat_ws("#", record_id("path", "headers"), F.col("record_id").cast("string"))
-    return games.select(
+    return told.select(
         key.alias("game_id"), "split", "source", "result", "moves",
         header("headers", "FEN").alias("fen"), header("headers", "Variant").alias("variant"),
+        "fate", "reason", "path", F.when(F.col("fate") == "quarantined", F.col("text")).alias("text"),
     )
 
 
+def select_games(records: DataFrame, rules="encoder") -> DataFrame:
+    """Playable games of labelled records. All filters stand before the replay."""
+    return told_games(records, rules).where("fate = 'selected'").drop("fate", "reason", "path", "text")
+
+
 def spread(games: DataFrame, key: str = "game_id") -> DataFrame:
     """Games over all tasks before the costly step: a gzip file arrives as a single one.
 
@@ -82,21 +91,46 @@ def encode_positions(plies: DataFrame, cap: int = 512) -> DataFrame:
     return conform(featured, POSITION_SCHEMA, ["game_id", "ply", "split"])
 
 
-def encode_corpus(records: DataFrame, out: str, size: int = 8192, seed: int = 2024, shuffle: bool = True, rules="encoder") -> DataFrame:
-    """Write shuffled chunks and the manifest; returns the manifest row.
+def job_counts(told: DataFrame, plies: DataFrame) -> dict[str, int]:
+    """Games read, and what became of them; the last four add up to the first."""
+    read = told.agg(F.count(F.lit(1)), F.count_if(F.col("fate") == "filtered"), F.count_if(F.col("fate") == "quarantined")).first()
+    played = plies.agg(F.count_if(F.col("error").isNull() & (F.col("ply") == 0)), F.count_if(F.col("error").isNotNull())).first()
+    names = ("games_read", "games_filtered", "games_quarantined", "games_encoded", "games_unplayable")
+    return dict(zip(names, (*read, *played)))
+
+
+def encode_corpus(
+    records: DataFrame, out: str, size: int = 8192, seed: int = 2024, shuffle: bool = True, rules="encoder", resume_from: str | None = None,
+    verify: bool = False,
+) -> DataFrame:
+    """Write shuffled chunks and the manifest; returns the manifest row, with the job's counts of games.
 
-    ``quarantine`` holds the games that can't be played, and the records that can't be parsed with their text.
+    The records are read and parsed once. ``quarantine`` holds the games that can't be played, and the records that can't be
+    parsed with their text. With ``resume_from`` the two intermediate tables go to that folder, and a later
+    call continues from those that are finished. ``verify`` reads the chunks again and compares them with the
+    encoded positions.
     """
     spark = records.sparkSession
-    games = spread(select_games(records, rules))
+
+    def step(make, name: str) -> DataFrame:
+        if resume_from is None:
+            return materialize(make(), name)
+        path = f"{resume_from}/{name}"
+        if not path_exists(spark, f"{path}/_SUCCESS"):
+            make().write.mode("overwrite").parquet(path)
+        return spark.read.parquet(path)
+
+    told = step(lambda: told_games(records, rules), "games")
     # written once, because chunking reads its input twice: keys to count, rows to place
-    plies = materialize(replay_selected(games), "plies")
-    write_chunks(encode_positions(plies), f"{out}/chunks", size, ("game_id", "ply"), seed, shuffle=shuffle)
-    bad = parsed_games(records, rules)[1].select("path", "split", "source", "text", "error")
+    plies = step(lambda: replay_selected(spread(told.where("fate = 'selected'"))), "plies")
+    positions = encode_positions(plies)
+    write_chunks(positions, f"{out}/chunks", size, ("game_id", "ply"), seed, shuffle=shuffle)
+    written = spark.read.parquet(f"{out}/chunks")
+    if verify:
+        assert_same(positions, written.select(*[F.col(c).cast(positions.schema[c].dataType).alias(c) for c in positions.columns]))
+    bad = told.where("fate = 'quarantined'").select("path", "split", "source", "text", F.col("reason").alias("error"))
     failed_games(plies).unionByName(bad, allowMissingColumns=True).write.mode("overwrite").parquet(f"{out}/quarantine")
-    row = manifest_row(
-        spark.read.parquet(f"{out}/chunks"),
-        params={"chunk_size": size, "seed": seed, "final_shuffle_skipped": not shuffle},
-    )
+    params = {"chunk_size": size, "seed": seed, "final_shuffle_skipped": not shuffle}
+    row = manifest_row(written, params={**params, **job_counts(told, plies)})
     write_manifest(row, f"{out}/manifest")
     return row

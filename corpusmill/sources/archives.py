@@ -18,6 +18,7 @@ from .records import ARCHIVE_ENDINGS, list_files
 MEMBER_SCHEMA = "path string, member string, start bigint, size bigint, record_no bigint, text string, error string"
 MEMBER_COLUMNS = ["path", "member", "start", "size", "record_no", "text", "error"]
 BATCH = 512
+MOST_TASKS = 50_000
 
 
 def _open(uri: str):
@@ -27,6 +28,14 @@ def _open(uri: str):
     return filesystem.open_input_file(path)
 
 
+def _open_output(uri: str):
+    from pyarrow import fs
+
+    filesystem, path = fs.FileSystem.from_uri(uri if "://" in uri else uri.replace(":/", ":///", 1))
+    filesystem.create_dir(path.rsplit("/", 1)[0])
+    return filesystem.open_output_stream(path, compression=None)
+
+
 class _Forward(io.RawIOBase):
     """``size`` bytes of a handle from where it stands, front to back."""
 
@@ -111,8 +120,8 @@ _TYPES = {"start": "Int64", "size": "Int64", "record_no": "Int64"}
 def scan_archives(spark: SparkSession, path: str, errors: str = "replace") -> DataFrame:
     """``path, member, record_no, text, error`` for every record in every archive below ``path``.
 
-    A compressed archive is one sequential task. The members of a plain tar are
-    listed first and then read side by side.
+    A compressed archive is one sequential task, whose raw records are dealt out to all tasks before
+    anything else is done to them. The members of a plain tar are listed first and then read side by side.
     """
 
     def open_archives(batches):
@@ -121,7 +130,10 @@ def scan_archives(spark: SparkSession, path: str, errors: str = "replace") -> Da
     def read_members(batches):
         def rows():
             for pdf in batches:
-                for p, name, start, size in zip(pdf["path"], pdf["member"], pdf["start"], pdf["size"]):
+                for p, name, start, size, error in zip(*[pdf[c] for c in ("path", "member", "start", "size", "error")]):
+                    if error is not None:  # an archive that can't be listed to its end
+                        yield p, None, None, None, None, None, error
+                        continue
                     with _open(p) as handle:
                         handle.seek(int(start))
                         yield from _member_rows(p, name, _forward(handle, int(size)), errors)
@@ -130,9 +142,11 @@ def scan_archives(spark: SparkSession, path: str, errors: str = "replace") -> Da
 
     ship_package(spark)
     files = list_files(spark, path, ARCHIVE_ENDINGS).select("path")
-    packed = files.where(~F.lower("path").endswith(".tar")).mapInPandas(open_archives, MEMBER_SCHEMA)
+    # one task per archive, however many files a listing's partition holds
+    archives = files.where(~F.lower("path").endswith(".tar"))
+    tasks = max(1, min(archives.count(), MOST_TASKS))
+    packed = archives.repartition(tasks, "path").mapInPandas(open_archives, MEMBER_SCHEMA)
+    packed = packed.repartition(int(spark.conf.get("spark.sql.shuffle.partitions")), "path", "member", "record_no")
     plain = files.where(F.lower("path").endswith(".tar")).mapInPandas(open_archives, MEMBER_SCHEMA)
-    spread = plain.where(F.col("start").isNotNull()).repartition("path", "member", "start")
-    members = spread.mapInPandas(read_members, MEMBER_SCHEMA)
-    failed = plain.where(F.col("error").isNotNull())
-    return packed.unionByName(members).unionByName(failed).drop("start", "size")
+    members = plain.repartition("path", "member", "start").mapInPandas(read_members, MEMBER_SCHEMA)
+    return packed.unionByName(members).drop("start", "size")

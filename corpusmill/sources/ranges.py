@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from ..functions import text as T
 from ..session import ship_package
 from .archives import _open
-from .records import TEXT_ENDINGS, list_files
+from .records import TEXT_ENDINGS, list_files, listed
 
 RANGE = 64 << 20
 PIECE = 1 << 18
@@ -199,9 +199,13 @@ def read_ranges(listing: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     ship_package(spark)
     packed = F.lower("path").rlike(r"\.(gz|bz2)$")
     last = F.col("bytes") - 1
-    starts = F.when(packed, F.array(F.lit(0).cast("bigint"))).otherwise(F.sequence(F.lit(0).cast("bigint"), last, F.lit(range_bytes).cast("bigint")))
-    files = listing.where("bytes > 0").select("path", "file_name", F.unix_micros("modified").alias("modified"), "bytes", packed.alias("packed"), F.explode(starts).alias("start"))
-    ranges = files.select("path", "file_name", "modified", "packed", "start", F.when(F.col("packed"), F.col("bytes")).otherwise(F.col("start") + range_bytes).alias("end"))
+    zero, step = F.lit(0).cast("bigint"), F.lit(range_bytes).cast("bigint")
+    starts = F.when(packed, F.array(zero)).otherwise(F.sequence(zero, last, step))
+    files = listing.where("bytes > 0").select(
+        "path", "file_name", F.unix_micros("modified").alias("modified"), "bytes", packed.alias("packed"), F.explode(starts).alias("start")
+    )
+    end = F.when(F.col("packed"), F.col("bytes")).otherwise(F.col("start") + range_bytes)
+    ranges = files.select("path", "file_name", "modified", "packed", "start", end.alias("end"))
     tasks = max(1, min(ranges.count(), TASKS))
 
     def rows(batches):
@@ -216,17 +220,15 @@ def read_ranges(listing: DataFrame, range_bytes: int = RANGE) -> DataFrame:
     return read(ranges.where("NOT packed")).unionByName(spread)
 
 
-def read_records(
-    spark: SparkSession, path: str, errors: str = "replace", endings: Sequence[str] = TEXT_ENDINGS, range_bytes: int = RANGE
-) -> DataFrame:
-    """``path, file_name, modified, record_id, text, damage, damaged_at`` of every record below ``path``.
+def records_of(listing: DataFrame, errors: str = "replace", range_bytes: int = RANGE) -> DataFrame:
+    """``path, file_name, modified, record_id, text, damage, damaged_at`` of every record in the listed files.
 
     ``damage`` is null for a record that was read whole. A file that can't be read to its end gives one more row
     with the reason, the bytes of the file before the damage and the text of the unfinished
     record. Ids come from path and place, so they are the same for any size of the ranges.
     """
-    raw = read_ranges(list_files(spark, path, endings), range_bytes)
-    text = F.ltrim(T.decode(F.col("value").cast("string"), errors), F.lit("﻿"))
+    raw = read_ranges(listing, range_bytes)
+    text = F.ltrim(T.decode(F.col("value").cast("string"), errors), F.lit("\ufeff"))
     return raw.select(
         "path",
         "file_name",
@@ -236,3 +238,20 @@ def read_records(
         F.col("reason").alias("damage"),
         "damaged_at",
     )
+
+
+def read_records(
+    spark: SparkSession, path: str, errors: str = "replace", endings: Sequence[str] = TEXT_ENDINGS, range_bytes: int = RANGE
+) -> DataFrame:
+    """``records_of`` all files below ``path`` by ending."""
+    return records_of(list_files(spark, path, endings), errors, range_bytes)
+
+
+def stream_files(spark: SparkSession, path: str, endings: Sequence[str] = TEXT_ENDINGS, files_per_batch: int = 1000) -> DataFrame:
+    """The listing of files as they arrive, in batches; their contents are not read."""
+    content = "path string, modificationTime timestamp, length bigint, content binary"
+    found = (
+        spark.readStream.format("binaryFile").schema(content).option("recursiveFileLookup", "true")
+        .option("maxFilesPerTrigger", files_per_batch).load(path)
+    )
+    return listed(found, endings)

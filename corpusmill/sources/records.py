@@ -25,18 +25,17 @@ def ending_pattern(endings: Sequence[str]) -> str:
 
 def list_files(spark: SparkSession, path: str, endings: Sequence[str] = ALL_ENDINGS) -> DataFrame:
     """Files below ``path`` by ending, in any letter case. Contents are not read."""
-    return (
-        spark.read.format("binaryFile")
-        .option("recursiveFileLookup", "true")
-        .load(path)
-        .select(
-            F.col("_metadata.file_path").alias("path"),
-            F.col("_metadata.file_name").alias("file_name"),
-            F.col("modificationTime").alias("modified"),
-            F.col("length").alias("bytes"),
-        )
-        .where(F.col("file_name").rlike(ending_pattern(endings)))
-    )
+    return listed(spark.read.format("binaryFile").option("recursiveFileLookup", "true").load(path), endings)
+
+
+def listed(files: DataFrame, endings: Sequence[str]) -> DataFrame:
+    """Path, name, time and size of the rows of a file source."""
+    return files.select(
+        F.col("_metadata.file_path").alias("path"),
+        F.col("_metadata.file_name").alias("file_name"),
+        F.col("modificationTime").alias("modified"),
+        F.col("length").alias("bytes"),
+    ).where(F.col("file_name").rlike(ending_pattern(endings)))
 
 
 # A run of line ends before a bracket. One character class, entered once per run: a repeated group would recurse.
@@ -99,8 +98,13 @@ def _records(raw: DataFrame, errors: str, endings: Sequence[str], numbered: bool
 
 
 def parse_records(df: DataFrame, text: str = "text") -> DataFrame:
-    """Adds ``headers, movetext, moves, result, error``. One bad record never drops another."""
-    parsed = df.withColumns({"headers": T.parse_headers(text), "movetext": T.movetext_block(text)})
+    """Adds ``headers, movetext, moves, result, error``. One bad record never drops another.
+
+    A column ``headers`` that is there already is taken as it is.
+    """
+    if "headers" not in df.columns:
+        df = df.withColumn("headers", T.parse_headers(text))
+    parsed = df.withColumn("movetext", T.movetext_block(text))
     # Exploded, so that the costly stripping runs once per record: a filter on the error
     # cannot be pushed below it and evaluate it again.
     parsed = parsed.withColumn("__plain", F.explode(F.array(T.strip_movetext("movetext"))))

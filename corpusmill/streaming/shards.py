@@ -2,37 +2,37 @@
 
 from __future__ import annotations
 
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import canonical_text
-from ..operators.quality import quality_filter
-from ..operators.split import hash_split
-from ..sources.records import TEXT_ENDINGS, label_source, parse_records, stream_records
-from .run import drain
-
-
-def labelled_stream(spark: SparkSession, path: str, endings=TEXT_ENDINGS) -> DataFrame:
-    return label_source(parse_records(stream_records(spark.readStream, path, endings=endings)))
-
-
-def shard_stream(
-    spark: SparkSession, path: str, fraction: float, seed: int = 42, chars: int = 2, rules="strict", endings=TEXT_ENDINGS
-) -> DataFrame:
-    """Labelled, filtered and split records. Every step is stateless."""
-    good = quality_filter(labelled_stream(spark, path, endings).where(F.col("error").isNull()), rules)
-    shards = good.select("path", "source", canonical_text("text").alias("text"))
-    return hash_split(shards, "text", fraction, seed, chars)
+from ..plans.shard import FATES, judged, quarantined_records
+from ..sources.ranges import records_of, stream_files
+from ..sources.records import TEXT_ENDINGS
 
 
 def stream_shards(
-    spark: SparkSession, path: str, out: str, checkpoint: str, fraction: float = 0.0, records_per_shard: int = 5000, **split
+    spark: SparkSession, path: str, out: str, checkpoint: str, fraction: float = 0.0, records_per_shard: int = 5000,
+    seed: int = 42, chars: int = 2, rules="strict", endings=TEXT_ENDINGS, files_per_batch: int = 1000,
 ) -> None:
-    """Append the shards of all files not seen before; the checkpoint remembers which were.
+    """Write the shards of all files not seen before; the checkpoint remembers which were.
 
-    Bad records go to ``_quarantine`` in ``out`` by a stream of its own: path, reason, text.
+    A stream of file listings sets the batches, whose files are read in ranges, once. A batch goes to folders of its own number: ``out/batch=n`` for the
+    shards, and below ``_quarantine`` (path, reason, text) and ``_totals`` (split, source, read, written, filtered,
+    quarantined) alike. A batch that is run again writes the same folders over, so nothing is written twice.
     """
-    shards = shard_stream(spark, path, fraction, **split)
-    drain(shards, out, checkpoint, ("split", "source"), maxRecordsPerFile=records_per_shard)
-    bad = labelled_stream(spark, path, split.get("endings", TEXT_ENDINGS)).where(F.col("error").isNotNull())
-    drain(bad.select("path", F.col("error").alias("reason"), "text"), f"{out}/_quarantine", f"{checkpoint}/quarantine")
+
+    def write(files: DataFrame, number: int) -> None:
+        records = records_of(files, "ignore").withColumnRenamed("damage", "unread")
+        told = judged(records, fraction, seed, chars, rules).persist(StorageLevel.MEMORY_AND_DISK)
+        shards = told.where("fate = 'written'").select("path", "source", "text", "split").write.mode("overwrite")
+        shards.option("maxRecordsPerFile", records_per_shard).partitionBy("split", "source").parquet(f"{out}/batch={number}")
+        quarantined_records(told).drop("member").write.mode("overwrite").parquet(f"{out}/_quarantine/batch={number}")
+        counts = [F.count_if(F.col("fate") == fate).alias(fate) for fate in FATES]
+        totals = told.groupBy("split", "source").agg(F.count(F.lit(1)).alias("read"), *counts)
+        totals.write.mode("overwrite").parquet(f"{out}/_totals/batch={number}")
+        told.unpersist()
+
+    files = stream_files(spark, path, endings, files_per_batch)
+    writer = files.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint)
+    writer.trigger(availableNow=True).start().awaitTermination()
