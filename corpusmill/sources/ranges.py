@@ -16,9 +16,10 @@ import re
 import zlib
 from bisect import bisect_right
 from collections.abc import Callable, Iterable, Iterator, Sequence
+from itertools import islice
 
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions import text as T
@@ -30,6 +31,7 @@ RANGE = 64 << 20
 PIECE = 1 << 18
 BATCH = 8 << 20
 BORDER = re.compile(rb"\n\r?\n(?=\[)")
+PACKED = r"\.(gz|bz2)$"
 LOOK_BACK = 3  # bytes of the longest border
 #: Most tasks that ranges are dealt to; each then reads several.
 TASKS = 50_000
@@ -44,15 +46,14 @@ class Damage(Exception):
         self.at = at
 
 
-def plain_pieces(handle, start: int) -> Iterator[tuple[int, bytes]]:
-    handle.seek(start)
+def plain_pieces(handle) -> Iterator[tuple[int, bytes]]:
     while piece := handle.read(PIECE):
         yield 0, piece
 
 
-def _zlib_pieces(handle) -> Iterator[tuple[int, bytes]]:
+def _zlib_pieces(handle, at: int = 0) -> Iterator[tuple[int, bytes]]:
     """(start of the member, bytes) of each member of a gzip file; its checksum and length are verified by zlib."""
-    at, data = 0, handle.read(PIECE)
+    data = handle.read(PIECE)
     while data:
         member, inflate = at, zlib.decompressobj(31)
         while True:
@@ -83,9 +84,9 @@ def _zlib_pieces(handle) -> Iterator[tuple[int, bytes]]:
             raise Damage("gzip: other data after a member", at)
 
 
-def _bz2_pieces(handle) -> Iterator[tuple[int, bytes]]:
+def _bz2_pieces(handle, at: int = 0) -> Iterator[tuple[int, bytes]]:
     """(start of the stream, bytes) of each stream of a bzip2 file; each block's checksum is verified."""
-    at, data = 0, handle.read(PIECE)
+    data = handle.read(PIECE)
     while data:
         stream, inflate = at, bz2.BZ2Decompressor()
         while not inflate.eof:
@@ -104,73 +105,100 @@ def _bz2_pieces(handle) -> Iterator[tuple[int, bytes]]:
             raise Damage("bzip2: other data after a stream", at)
 
 
-def cut(pieces: Iterable[tuple[int, bytes]], start: int = 0, end: int | None = None) -> Iterator[tuple[int, int, bytes]]:
-    """(block, offset, record) of the records that begin in ``start`` … ``end``; pieces begin ``LOOK_BACK`` bytes earlier.
+def cut(
+    pieces: Iterable[tuple[int, bytes]], at: int = 0, before: bytes = b"", done: Callable = lambda block, offset: False
+) -> Iterator[tuple[int, int, bytes]]:
+    """(block, offset, record) of the records that begin in the pieces, until one for which ``done``.
 
-    ``block`` is the member or stream in which a record begins, and ``offset`` its place there. If the pieces end in
-    ``Damage``, the record that was open comes with it.
+    ``block`` is the member or stream in which a record begins, and ``offset`` its place there; ``at`` is that of the first
+    piece. ``before`` holds the bytes in front of it, at most ``LOOK_BACK``; without any a file begins. If the
+    pieces end in ``Damage``, the record that was open comes with it.
     """
-    buffer, base, searched, begins = bytearray(), max(0, start - LOOK_BACK), 0, 0 if start == 0 else None
-    starts, blocks = [0], [0]  # where blocks begin, in the buffer's numbering, and their names
+    # places in the text are numbered from the first byte of ``buffer`` that there ever was
+    buffer, base, searched, begins = bytearray(before), 0, 0, None if before else 0
+    starts, blocks = [], []  # where blocks begin, less the offset there, and their names
 
-    def place(at: int) -> tuple[int, int]:
-        i = bisect_right(starts, at) - 1
-        return blocks[i], at - starts[i]
+    def place(where: int) -> tuple[int, int]:
+        i = max(bisect_right(starts, where) - 1, 0)
+        return (blocks[i], where - starts[i]) if blocks else (0, at)
 
     def record(until: int) -> tuple[int, int, bytes]:
         return (*place(begins), bytes(buffer[begins - base : until - base]).rstrip(b"\r\n"))
 
     try:
         for block, piece in pieces:
-            if blocks[-1] != block:
-                starts.append(base + len(buffer))
+            if not blocks or blocks[-1] != block:
+                starts.append(base + len(buffer) - (0 if blocks else at))
                 blocks.append(block)
             buffer += piece
             while found := BORDER.search(buffer, searched):
-                at = base + found.end()
+                where = base + found.end()
                 searched = found.end()
                 if begins is not None:
-                    yield record(at)
-                if at < start:
+                    yield record(where)
+                    begins = None
+                if where < len(before):
                     continue
-                if end is not None and at >= end:
+                if done(*place(where)):
                     return
-                begins = at
+                begins = where
             searched = max(searched, len(buffer) - LOOK_BACK)
-            if begins is None and end is not None and base + searched >= end:
+            if begins is None and blocks and done(*place(base + searched)):
                 return
             drop = (begins - base) if begins is not None else searched
             if drop > PIECE:
                 del buffer[:drop]
                 base, searched = base + drop, searched - drop
-                past = bisect_right(starts, base) - 1
+                past = max(bisect_right(starts, base) - 1, 0)
                 del starts[:past], blocks[:past]
     except Damage as damage:
-        damage.open = record(base + len(buffer)) if begins is not None else (0, 0, b"")
+        damage.open = record(base + len(buffer)) if begins is not None else (*place(base + len(buffer)), b"")
         raise
     if begins is not None:
         yield record(base + len(buffer))
 
 
-def _range_rows(path: str, start: int, end: int) -> Iterator[tuple]:
-    """(block, offset, value, reason, damaged_at) of one range."""
+def _range_rows(path: str, start: int, end: int, before: bytes | None = None) -> Iterator[tuple]:
+    """(block, offset, value, reason, damaged_at) of one range; of a packed file from a member to another."""
     lowered = path.lower()
+    packed = lowered.endswith((".gz", ".bz2"))
     try:
         with _open(path) as handle:
-            if lowered.endswith(".gz"):
-                rows = cut(_zlib_pieces(handle))
-            elif lowered.endswith(".bz2"):
-                rows = cut(_bz2_pieces(handle))
+            if packed:
+                handle.seek(start)
+                pieces = (_zlib_pieces if lowered.endswith(".gz") else _bz2_pieces)(handle, start)
+                rows = cut(pieces, 0, before or b"", lambda block, offset: block >= end)
             else:
-                rows = cut(plain_pieces(handle, max(0, start - LOOK_BACK)), start, end)
+                handle.seek(max(0, start - LOOK_BACK))
+                before = handle.read(min(start, LOOK_BACK))
+                rows = cut(plain_pieces(handle), start, before, lambda block, offset: offset >= end)
             for block, offset, value in rows:
                 if value.strip():
                     yield block, offset, value, None, None
     except Damage as damage:
         block, offset, value = damage.open
-        yield block, offset, value, str(damage), damage.at
+        if not packed or block < end:  # another range's record otherwise, which tells of the damage as well
+            yield block, offset, value, str(damage), damage.at
     except Exception as problem:  # an unreadable file must not stop the others
-        yield 0, start, None, f"{type(problem).__name__}: {problem}", start
+        yield start if packed else 0, start, None, f"{type(problem).__name__}: {problem}", start
+
+
+def _members(path: str) -> Iterator[tuple[int, bytes, int]]:
+    """(start, last bytes in front, bytes of text) of each member or stream of a packed file, as far as it can be read."""
+    lowered, before, own, known = path.lower(), b"", b"", None
+    size = 0
+    try:
+        with _open(path) as handle:
+            for block, piece in (_zlib_pieces if lowered.endswith(".gz") else _bz2_pieces)(handle, 0):
+                if block != known:
+                    if known is not None:
+                        yield known, before, size
+                    known, before, size = block, own, 0
+                own, size = (own + piece)[-LOOK_BACK:], size + len(piece)
+    except Exception:  # the reader of the last member meets the damage again, and tells of it
+        pass
+    if known is not None:
+        yield known, before, size
 
 
 def _frames(batches: Iterable[pd.DataFrame], rows_of: Callable) -> Iterator[pd.DataFrame]:
@@ -183,7 +211,7 @@ def _frames(batches: Iterable[pd.DataFrame], rows_of: Callable) -> Iterator[pd.D
 
     for batch in batches:
         for r in batch.itertuples():
-            for row in rows_of(r.path, int(r.start), int(r.end)):
+            for row in rows_of(r.path, int(r.start), int(r.end), r.before):
                 held.append((r.path, r.file_name, r.modified, *row))
                 size += len(row[2] or b"")
                 if size >= BATCH:
@@ -193,41 +221,73 @@ def _frames(batches: Iterable[pd.DataFrame], rows_of: Callable) -> Iterator[pd.D
         yield frame()
 
 
-def read_ranges(listing: DataFrame, range_bytes: int = RANGE) -> DataFrame:
-    """Raw records and damage of the listed files, ``RAW`` columns."""
+def member_table(listing: DataFrame) -> DataFrame:
+    """``path, start, before, text_bytes``: where the members or streams of the listed packed files begin.
+
+    Each file is read through once, in one task; kept as a table, it lets later reads start in many places.
+    """
+    ship_package(listing.sparkSession)
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for path in batch["path"]:
+                members = _members(path)
+                while some := list(islice(members, 10_000)):
+                    yield pd.DataFrame([(path, *m) for m in some], columns=["path", "start", "before", "text_bytes"])
+
+    files = listing.where("bytes > 0").where(F.lower("path").rlike(PACKED)).select("path")
+    return files.repartition(max(1, min(files.count(), TASKS)), "path").mapInPandas(rows, "path string, start bigint, before binary, text_bytes bigint")
+
+
+def _packed_ranges(files: DataFrame, members: DataFrame | None, range_bytes: int) -> DataFrame:
+    """One range per packed file, or with a table of members one per so many bytes of text."""
+    whole = files.select("path", "file_name", "modified", F.lit(0).cast("bigint").alias("start"), F.col("bytes").alias("end"), F.lit(None).cast("binary").alias("before"))
+    if members is None:
+        return whole
+    # members of a file in runs; the numbers of one file's members are few against its text
+    upto = Window.partitionBy("path").orderBy("start")
+    numbered = members.withColumn("run", F.floor((F.sum("text_bytes").over(upto) - F.col("text_bytes")) / range_bytes))
+    runs = numbered.groupBy("path", "run").agg(F.min("start").alias("start"), F.min_by("before", "start").alias("before"))
+    runs = runs.withColumn("next", F.lead("start").over(upto))
+    known = runs.join(files, "path").select("path", "file_name", "modified", "start", F.coalesce("next", "bytes").alias("end"), "before")
+    return known.unionByName(whole.join(members.select("path").distinct(), "path", "left_anti"))
+
+
+def read_ranges(listing: DataFrame, range_bytes: int = RANGE, members: DataFrame | None = None) -> DataFrame:
+    """Raw records and damage of the listed files, ``RAW`` columns.
+
+    A packed file is one range, whose raw records are dealt out again; with its rows of ``member_table`` it is
+    read from several members side by side.
+    """
     spark = listing.sparkSession
     ship_package(spark)
-    packed = F.lower("path").rlike(r"\.(gz|bz2)$")
-    last = F.col("bytes") - 1
+    files = listing.where("bytes > 0").withColumns({"modified": F.unix_micros("modified"), "packed": F.lower("path").rlike(PACKED)})
     zero, step = F.lit(0).cast("bigint"), F.lit(range_bytes).cast("bigint")
-    starts = F.when(packed, F.array(zero)).otherwise(F.sequence(zero, last, step))
-    files = listing.where("bytes > 0").select(
-        "path", "file_name", F.unix_micros("modified").alias("modified"), "bytes", packed.alias("packed"), F.explode(starts).alias("start")
-    )
-    end = F.when(F.col("packed"), F.col("bytes")).otherwise(F.col("start") + range_bytes)
-    ranges = files.select("path", "file_name", "modified", "packed", "start", end.alias("end"))
-    tasks = max(1, min(ranges.count(), TASKS))
+    starts = F.explode(F.sequence(zero, F.col("bytes") - 1, step))
+    plain = files.where("NOT packed").select("path", "file_name", "modified", starts.alias("start"))
+    plain = plain.select("*", (F.col("start") + range_bytes).alias("end"), F.lit(None).cast("binary").alias("before"))
+    packed = _packed_ranges(files.where("packed"), members, range_bytes)
 
     def rows(batches):
         yield from _frames(batches, _range_rows)
 
     def read(some: DataFrame) -> DataFrame:
         # an explicit number: a listing is so small that it would be merged into one task
-        return some.repartition(tasks, "path", "start").mapInPandas(rows, RAW)
+        return some.repartition(max(1, min(some.count(), TASKS)), "path", "start").mapInPandas(rows, RAW)
 
     partitions = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    spread = read(ranges.where("packed")).repartition(partitions, "path", "block", "offset")
-    return read(ranges.where("NOT packed")).unionByName(spread)
+    spread = read(packed).repartition(partitions, "path", "block", "offset")
+    return read(plain).unionByName(spread)
 
 
-def records_of(listing: DataFrame, errors: str = "replace", range_bytes: int = RANGE) -> DataFrame:
+def records_of(listing: DataFrame, errors: str = "replace", range_bytes: int = RANGE, members: DataFrame | None = None) -> DataFrame:
     """``path, file_name, modified, record_id, text, damage, damaged_at`` of every record in the listed files.
 
     ``damage`` is null for a record that was read whole. A file that can't be read to its end gives one more row
     with the reason, the bytes of the file before the damage and the text of the unfinished
     record. Ids come from path and place, so they are the same for any size of the ranges.
     """
-    raw = read_ranges(listing, range_bytes)
+    raw = read_ranges(listing, range_bytes, members)
     text = F.ltrim(T.decode(F.col("value").cast("string"), errors), F.lit("\ufeff"))
     return raw.select(
         "path",

@@ -50,17 +50,17 @@ def test_small_pieces_and_members(tmp_path, monkeypatch):
     seen = set()
     for piece in (5, 64, 1 << 18):
         monkeypatch.setattr(G, "PIECE", piece)
-        rows = list(G._range_rows(f"file://{path}", 0, 0))
+        rows = list(G._range_rows(f"file://{path}", 0, 1 << 60))
         assert [r[2].decode() for r in rows] == want and all(r[3] is None for r in rows)
         seen.add(tuple(r[:2] for r in rows))
     assert len(seen) == 1  # places do not depend on how the file was read
     other = tmp_path / "a.pgn.bz2"
     other.write_bytes(b"".join(bz2.compress(p) for p in parts))
-    assert [r[2].decode() for r in G._range_rows(f"file://{other}", 0, 0)] == want
+    assert [r[2].decode() for r in G._range_rows(f"file://{other}", 0, 1 << 60)] == want
 
 
 def damage_of(path) -> tuple[list[str], tuple]:
-    rows = list(G._range_rows(f"file://{path}", 0, 0))
+    rows = list(G._range_rows(f"file://{path}", 0, 1 << 60))
     assert rows[-1][3] is not None and all(r[3] is None for r in rows[:-1])
     return [r[2].decode("utf-8", "replace") for r in rows[:-1]], rows[-1]
 
@@ -136,3 +136,31 @@ def test_crc_of_each_member_is_checked():
 
     with pytest.raises(G.Damage):
         list(G._zlib_pieces(io.BytesIO(good + bytes(bad))))
+
+
+@pytest.mark.parametrize("pack, name", [(gzip.compress, "a.pgn.gz"), (bz2.compress, "a.pgn.bz2")])
+def test_members_are_read_side_by_side(spark, tmp_path, pack, name):
+    some = games(300)
+    whole = corpus_of(some)
+    cuts = sorted(R.sample(range(1, len(whole)), 40))
+    # also cuts at and inside the borders of records
+    cuts += [whole.index(b"\n\n[", k) + d for k, d in zip(range(0, len(whole) // 2, 3000), (0, 1, 2, 3))]
+    cuts = sorted(set(cuts))
+    path = tmp_path / name
+    path.write_bytes(b"".join(pack(whole[a:b]) for a, b in zip([0, *cuts], [*cuts, len(whole)])))
+    table = list(G._members(f"file://{path}"))
+    assert len(table) == len(cuts) + 1 and sum(t[2] for t in table) == len(whole)
+    one = list(G._range_rows(f"file://{path}", 0, 1 << 60))
+    many = []
+    for (start, before, _), (end, _, _) in zip(table, [*table[1:], (1 << 60, b"", 0)]):
+        many += G._range_rows(f"file://{path}", start, end, before)
+    assert many == one and [r[2].decode() for r in one] == [g.rstrip("\n") for g in some]
+    listing = G.list_files(spark, str(tmp_path))
+    members = G.member_table(listing)
+    found = G.records_of(listing, range_bytes=2000, members=members)
+    want = G.records_of(listing).select("record_id", "text", "damage")
+    got = found.select("record_id", "text", "damage")
+    assert got.exceptAll(want).isEmpty() and want.exceptAll(got).isEmpty() and got.count() == 300
+    path.write_bytes(path.read_bytes()[:-30])  # the damage is told once
+    listing = G.list_files(spark, str(tmp_path))
+    assert G.records_of(listing, range_bytes=2000, members=G.member_table(listing)).where("damage IS NOT NULL").count() == 1
