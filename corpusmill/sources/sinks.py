@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping, Sequence
+from contextlib import suppress
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.groups import ranked
 from ..operators.index import hash_ranked
 from ..operators.integrity import assert_same
+from ..operators.placed import RepeatedKeys, placed_chunks
 from ..operators.sequence import first_per_group
 from ..session import path_exists
 
@@ -68,18 +70,17 @@ def write_chunks(
 ) -> None:
     """One zstd Parquet file per chunk under the group's folder, rows in shuffled order.
 
-    Ranges never divide a chunk, so cutting files at ``size`` rows cuts at chunk ends.
+    A partition holds whole chunks, so cutting files at ``size`` rows cuts at chunk ends. Shuffled rows are moved once;
+    unshuffled ones, and those whose keys repeat at a border, are numbered first and then moved by ranges.
     """
-    chunked = with_chunks(df, size, key, seed, by, shuffle)
-    order = [*by, "chunk_id"]
-    (
-        chunked.repartitionByRange(*order)
-        .sortWithinPartitions(*order, "row_index")
-        .write.partitionBy(*by)
-        .option("maxRecordsPerFile", size)
-        .option("compression", "zstd")
-        .parquet(path)
-    )
+    placed = None
+    if shuffle:
+        with suppress(RepeatedKeys):
+            placed = placed_chunks(df, size, key, seed, by)
+    if placed is None:
+        order = [*by, "chunk_id"]
+        placed = with_chunks(df, size, key, seed, by, shuffle).repartitionByRange(*order).sortWithinPartitions(*order, "row_index")
+    placed.write.partitionBy(*by).option("maxRecordsPerFile", size).option("compression", "zstd").parquet(path)
 
 
 def stage(df: DataFrame, path: str) -> DataFrame:
