@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.moves import KNIGHT_JUMPS, RAY_DIRECTIONS
-from ..session import materialize
+from ..session import bucketed, materialize
 
 # Step weights and the bias curve.
 KING_STEP = 1.0
@@ -20,26 +22,28 @@ BIAS_SHIFT = 3.0
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``source, node, dist`` for every node reachable over ``edges(src, dst, w)``, w ≥ 0.
 
-    Each round extends only the distances that improved in the round before and is
-    written to the shared folder; it ends when none improves.
+    A round extends only the distances that improved in the round before, and appends what it improves to a log in the
+    shared folder; nothing is written twice. It ends when none improves. Edges are
+    stored in buckets by their start, so no round moves them again.
     """
     # parallel edges: the lightest wins
-    light = materialize(edges.groupBy("src", "dst").agg(F.min(F.col("w").cast("double")).alias("w")), "edges")
-    start = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist"), F.lit(True).alias("fresh"))
-    known = materialize(start.distinct(), "paths")
-    while not known.where("fresh").isEmpty():
-        reached = (
-            known.where("fresh")
-            .join(light, F.col("node") == F.col("src"))
-            .groupBy("source", F.col("dst").alias("node"))
-            .agg(F.min(F.col("dist") + F.col("w")).alias("__d"))
-        )
-        merged = known.drop("fresh").join(reached, ["source", "node"], "full_outer")
-        better = F.col("__d").isNotNull() & (F.col("dist").isNull() | (F.col("__d") < F.col("dist")))
-        known = materialize(
-            merged.select("source", "node", F.least("dist", "__d").alias("dist"), better.alias("fresh")), "paths"
-        )
-    return known.drop("fresh")
+    with bucketed(edges.groupBy("src", "dst").agg(F.min(F.col("w").cast("double")).alias("w")), "src", "edges") as light:
+        start = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist")).distinct()
+        rounds = [materialize(start, "paths")]
+        while not rounds[-1].isEmpty():
+            reached = (
+                rounds[-1].join(light, F.col("node") == F.col("src"))
+                .groupBy("source", F.col("dst").alias("node"))
+                .agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+            )
+            known = least_distances(rounds).withColumnRenamed("dist", "__known")
+            better = reached.join(known, ["source", "node"], "left").where("__known IS NULL OR dist < __known")
+            rounds.append(materialize(better.drop("__known"), "paths"))
+        return least_distances(rounds)
+
+
+def least_distances(rounds: list[DataFrame]) -> DataFrame:
+    return reduce(DataFrame.unionByName, rounds).groupBy("source", "node").agg(F.min("dist").alias("dist"))
 
 
 def board_edges(spark: SparkSession) -> DataFrame:

@@ -4,12 +4,15 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import draw, seeded_hash
+from ..session import materialize
+from ..sources.chunks import list_chunks
+from ..sources.footers import read_footers
 from .groups import ranked
-from .index import hash_ranked, row_hash, running_totals, with_global_index
+from .index import hash_ranked, row_hash, running_totals, sorted_table, with_global_index
 
 
 def two_stage_sample(
@@ -48,6 +51,51 @@ def two_stage_sample(
     return rows.join(picks, hit).drop("__file", "__row", "__rn")
 
 
+def sample_files(spark: SparkSession, path: str, n: int, seed: int, mode: str = "file", columns: Sequence[str] | None = None) -> DataFrame:
+    """``n`` draws with replacement from the Parquet files below ``path``, by their rows' places; adds ``draw_id``.
+
+    ``file``: a uniform file, then a uniform row of it. ``uniform``: every row has the same weight. Files are in the order of
+    their paths. Row counts come from the footers, so of the data only the files that were drawn, ``n`` at most, are
+    read, and nothing of it is sorted or written.
+    """
+    counted = read_footers(list_chunks(spark, path)).where("rows > 0").select("path", "rows")
+    files = sorted_table(counted, ["path"])
+    before = Window.partitionBy("__file").orderBy("__pos").rowsBetween(Window.unboundedPreceding, -1)
+    offsets = files.groupBy("__file").agg(F.count(F.lit(1)).alias("n"), F.sum("rows").alias("r"))
+    ranges = Window.orderBy("__file").rowsBetween(Window.unboundedPreceding, -1)  # one row per range of the listing
+    earlier = [F.coalesce(F.sum(c).over(ranges), F.lit(0)).alias(f"before_{c}") for c in ("n", "r")]
+    placed = files.join(F.broadcast(offsets.select("__file", *earlier)), "__file").select(
+        "path", "rows", (F.col("before_n") + F.col("__pos")).alias("ordinal"),
+        (F.col("before_r") + F.coalesce(F.sum("rows").over(before), F.lit(0))).alias("first"),
+    )
+    placed = materialize(placed, "file_places")
+    n_files, total = placed.agg(F.count(F.lit(1)), F.sum("rows")).first()
+    if not total:
+        raise ValueError(f"no rows below {path}")
+
+    def hashed(mark: str) -> Column:
+        return F.md5(F.concat_ws("|", F.lit(str(seed)), F.col("draw_id").cast("string"), F.lit(mark)))
+
+    draws = spark.range(n).select(F.col("id").alias("draw_id"))
+    if mode == "uniform":
+        # files cut into even steps of the whole, so that a draw finds its file by equality
+        step = max(1, total // n_files)
+        steps = F.explode(F.sequence(F.floor(F.col("first") / step), F.floor((F.col("first") + F.col("rows") - 1) / step))).alias("step")
+        at = draws.withColumn("at", draw(hashed("r"), total)).withColumn("step", F.floor(F.col("at") / step))
+        found = at.join(placed.select("path", "rows", "first", steps), "step").where("at >= first AND at < first + rows")
+        picks = found.select("draw_id", "path", (F.col("at") - F.col("first")).alias("row"))
+    else:
+        picks = draws.withColumn("ordinal", draw(hashed("f"), n_files)).join(placed, "ordinal")
+        picks = picks.select("draw_id", "path", draw(hashed("r"), F.col("rows")).alias("row"))
+    picks = materialize(picks, "picks")
+    drawn = [r.path for r in picks.select("path").distinct().collect()]  # n at most
+    rows = spark.read.option("basePath", path).parquet(*drawn)
+    names = list(columns or rows.columns)
+    rows = rows.select(*names, F.col("_metadata.file_path").alias("__path"), F.col("_metadata.row_index").alias("__row"))
+    hit = picks.select("draw_id", F.col("path").alias("__path"), F.col("row").alias("__row"))
+    return rows.join(hit, ["__path", "__row"]).select("draw_id", *names)
+
+
 def cap_rows(df: DataFrame, file: str, key: Sequence[str], maximum: int, seed: int) -> DataFrame:
     """At most ``maximum`` rows in file order; the file that crosses the limit is sampled without replacement."""
     counts = df.groupBy(file).agg(F.count(F.lit(1)).alias("__rows"))

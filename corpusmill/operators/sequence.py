@@ -9,6 +9,9 @@ from pyspark.sql import functions as F
 
 from ..functions.instants import micros
 from .groups import HOT_ROWS, ranked, windowed
+from .index import row_hash
+
+FEWER = 16  # heats whose winners meet in the next one
 
 
 def sequence_targets(df: DataFrame, key: Sequence[str], order: Sequence[str], cap: int = 512, hot_rows: int = HOT_ROWS) -> DataFrame:
@@ -70,7 +73,24 @@ def every_nth(df: DataFrame, step: str, n: int) -> DataFrame:
     return df.where(F.pmod(F.col(step), F.lit(n)) == 0)
 
 
+#: Spark keeps each task's first rows before the exchange up to this number.
+TASK_LIMIT = 1000
+
+
 def first_per_group(df: DataFrame, keys: Sequence[str], order: Sequence[str], n: int = 6) -> DataFrame:
-    """The first ``n`` rows per key; each task keeps only its own first ``n`` before the exchange."""
-    w = Window.partitionBy(*keys).orderBy(*order)
-    return df.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).drop("__rn")
+    """The first ``n`` rows per key; a task never holds a large group, whatever ``n`` is.
+
+    Up to ``TASK_LIMIT`` each task keeps only its own first ``n`` before the exchange. Above it rows meet in heats:
+    each key's rows are dealt over as many heats as there are partitions, then over ever fewer, and the
+    first ``n`` of a heat go on. Rows that tie in ``order`` are told apart by a hash of the whole row.
+    """
+    names, tie = df.columns, [*order, "__tie"]
+    left = df.withColumn("__tie", row_hash(df))
+    heats = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions")) if n > TASK_LIMIT else 1
+    while True:
+        w = Window.partitionBy(*keys, *(["__heat"] if heats > 1 else [])).orderBy(*tie)
+        dealt = left.withColumn("__heat", F.pmod(F.xxhash64("__tie", F.lit(heats)), F.lit(heats))) if heats > 1 else left
+        left = dealt.withColumn("__rn", F.row_number().over(w)).where(F.col("__rn") <= n).select(*names, "__tie")
+        if heats == 1:
+            return left.select(*names)
+        heats = heats // FEWER if heats >= 2 * FEWER else 1

@@ -4,11 +4,12 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from ..functions.hashing import chosen_suffixes, content_suffix, seeded_hash
 from .index import attach
+from .sequence import first_per_group
 
 MAX_INLINE = 256
 
@@ -39,9 +40,8 @@ def holdout_files(
 
 
 def held_out(manifest: DataFrame, n: int, by: Sequence[str], seed: int, path: str) -> DataFrame:
-    # row_number <= n is a per-task top-n before the exchange, so a large group sends n rows per task
-    order = Window.partitionBy(*by).orderBy(seeded_hash(seed, path), path)
-    return manifest.withColumn("__rn", F.row_number().over(order)).where(F.col("__rn") <= n).drop("__rn")
+    hashed = manifest.withColumn("__h", seeded_hash(seed, path))
+    return first_per_group(hashed, by, ["__h", path], n).drop("__h")
 
 
 def holdout_shortfall(manifest: DataFrame, n: int, by: Sequence[str] = ("source",)) -> DataFrame:

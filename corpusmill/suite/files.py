@@ -7,6 +7,7 @@ import zlib
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..operators.sampling import sample_files
 from ..plans.shard import shard_corpus
 from ..session import scratch_path, ship_package
 from ..sources.archives import _open_output
@@ -182,3 +183,32 @@ def manifest_refresh(spark, folder):
     found = refresh_manifest(spark, path, first)
     bucket = F.regexp_extract("path", r"/bucket=(\d+)/", 1).cast("bigint").alias("bucket")
     return found.groupBy(bucket).agg(F.sum("rows").alias("rows"), F.count(F.lit(1)).cast("int").alias("files"))
+
+
+FILE_DRAWS = """
+WITH r AS (SELECT o_orderkey, o_orderkey % 8 AS b, row_number() OVER (PARTITION BY o_orderkey % 8 ORDER BY o_orderkey) - 1 AS row FROM orders),
+f AS (SELECT b, count(*) AS n, row_number() OVER (ORDER BY b) - 1 AS ordinal, sum(count(*)) OVER (ORDER BY b) - count(*) AS first FROM r GROUP BY b),
+d AS (SELECT i AS draw_id, ('0x' || substr(md5('9|' || i || '|f'), 1, 15))::BIGINT AS fh, ('0x' || substr(md5('9|' || i || '|r'), 1, 15))::BIGINT AS rh
+  FROM range(3000) r(i))
+"""
+
+
+def sampled(spark: SparkSession, folder: str, mode: str) -> DataFrame:
+    path = scratch_path(spark, "files")
+    orders = table(spark, folder, "orders").select("o_orderkey", "o_totalprice").withColumn("bucket", F.col("o_orderkey") % 8)
+    orders.repartition("bucket").sortWithinPartitions("bucket", "o_orderkey").write.partitionBy("bucket").parquet(path)
+    return sample_files(spark, path, 3000, 9, mode, ["o_orderkey", "bucket"]).withColumn("bucket", F.col("bucket").cast("bigint"))
+
+
+@query("sampled_files", FILE_DRAWS + """
+SELECT draw_id, o_orderkey, b AS bucket FROM d JOIN f ON ordinal = fh % (SELECT count(*) FROM f) JOIN r USING (b) WHERE r.row = rh % n""")
+def sampled_files(spark, folder):
+    """A file, then a row of it, by its place in the file."""
+    return sampled(spark, folder, "file")
+
+
+@query("sampled_rows", FILE_DRAWS + """
+SELECT draw_id, o_orderkey, b AS bucket FROM d JOIN (SELECT *, first + row AS at FROM f JOIN r USING (b)) ON at = rh % (SELECT count(*) FROM orders)""")
+def sampled_rows(spark, folder):
+    """Any row with the same weight, by its place among all files."""
+    return sampled(spark, folder, "uniform")
