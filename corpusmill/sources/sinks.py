@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from ..operators.groups import ranked
 from ..operators.index import hash_ranked
 from ..operators.integrity import assert_same
-from ..operators.placed import RepeatedKeys, placed_chunks
+from ..operators.placed import ManyGroups, RepeatedKeys, placed_chunks
 from ..operators.sequence import first_per_group
 from ..session import path_exists
 
@@ -71,11 +71,12 @@ def write_chunks(
     """One zstd Parquet file per chunk under the group's folder, rows in shuffled order.
 
     A partition holds whole chunks, so cutting files at ``size`` rows cuts at chunk ends. Shuffled rows are moved once;
-    unshuffled ones, and those whose keys repeat at a border, are numbered first and then moved by ranges.
+    unshuffled ones, and those whose keys repeat at a border or whose groups are very many, are numbered first and then
+    moved by ranges.
     """
     placed = None
     if shuffle:
-        with suppress(RepeatedKeys):
+        with suppress(RepeatedKeys, ManyGroups):
             placed = placed_chunks(df, size, key, seed, by)
     if placed is None:
         order = [*by, "chunk_id"]

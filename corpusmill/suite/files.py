@@ -11,8 +11,9 @@ from ..operators.sampling import sample_files
 from ..plans.shard import shard_corpus
 from ..session import scratch_path, ship_package
 from ..sources.archives import _open_output
-from ..sources.chunks import refresh_manifest, scan_chunks
+from ..sources.chunks import refresh_manifest, same_paths, scan_chunks
 from ..sources.ranges import read_records
+from ..sources.sinks import manifest_row, write_manifest
 from .records import SCAN_SQL, parsed_back, rendered
 from .registry import query, table
 
@@ -208,7 +209,40 @@ def sampled_files(spark, folder):
 
 
 @query("sampled_rows", FILE_DRAWS + """
-SELECT draw_id, o_orderkey, b AS bucket FROM d JOIN (SELECT *, first + row AS at FROM f JOIN r USING (b)) ON at = rh % (SELECT count(*) FROM orders)""")
+SELECT draw_id, o_orderkey, b AS bucket FROM d JOIN (SELECT *, first + row AS spot FROM f JOIN r USING (b)) ON spot = rh % (SELECT count(*) FROM orders)""")
 def sampled_rows(spark, folder):
     """Any row with the same weight, by its place among all files."""
     return sampled(spark, folder, "uniform")
+
+
+@query("manifest_file", """
+WITH o AS (SELECT CASE WHEN o_orderstatus = 'F' THEN 'test' ELSE 'train' END AS split,
+  CASE WHEN o_orderpriority < '3' THEN 'lichess' ELSE 'lc0' END AS source, o_orderkey // 64 AS c FROM orders)
+SELECT count(*) FILTER (source = 'lichess' AND split = 'train') AS total_lichess_train_positions,
+  count(*) FILTER (source = 'lc0' AND split = 'test') AS total_lc0_test_positions,
+  count(DISTINCT c) FILTER (source = 'lc0' AND split = 'train') AS lc0_train_chunks, CAST(64 AS BIGINT) AS chunk_size, true AS stamped
+FROM o""")
+def manifest_file(spark, folder):
+    """A manifest written as JSON and read back, with its time of writing."""
+    path = scratch_path(spark, "manifest")
+    split = F.when(F.col("o_orderstatus") == "F", "test").otherwise("train")
+    source = F.when(F.col("o_orderpriority") < "3", "lichess").otherwise("lc0")
+    orders = table(spark, folder, "orders")
+    chunked = orders.select(split.alias("split"), source.alias("source"), F.floor(F.col("o_orderkey") / 64).alias("chunk_id"))
+    write_manifest(manifest_row(chunked, params={"chunk_size": 64}), path)
+    row = spark.read.json(path)
+    return row.select(
+        "total_lichess_train_positions", "total_lc0_test_positions", "lc0_train_chunks", "chunk_size",
+        F.to_timestamp("preprocessing_date").between(F.current_timestamp() - F.expr("INTERVAL 1 HOUR"), F.current_timestamp()).alias("stamped"),
+    )
+
+
+@query("same_file_sets", """
+SELECT true AS of_itself, count(*) FILTER (p_size > 25) = 0 AS of_the_small, count(*) FILTER (p_partkey % 2 = 0) = count(*) AS of_the_even
+FROM part""")
+def same_file_sets(spark, folder):
+    """Whether two listings name the same files, whatever their times."""
+    parts = table(spark, folder, "part").select(F.col("p_partkey").cast("string").alias("path"), "p_size", "p_partkey")
+    found = [same_paths(parts, other) for other in (parts.withColumn("p_size", F.lit(0)), parts.where("p_size <= 25"), parts.where("p_partkey % 2 = 0"))]
+    names = ("of_itself", "of_the_small", "of_the_even")
+    return spark.range(1).select(*[F.lit(same).alias(name) for name, same in zip(names, found)])

@@ -9,8 +9,8 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import text as X
-from ..functions.conform import conform, with_defaults
-from ..operators.quality import quality_filter, with_result
+from ..functions.conform import TRAIN_SCHEMA, conform, with_defaults
+from ..operators.quality import quality_filter, with_moves, with_result
 from ..session import materialize, scratch_path, ship_package
 from ..sources.archives import scan_archives
 from ..sources.records import label_source, label_split, parse_records, scan_records, split_errors
@@ -297,3 +297,38 @@ def conform_schema(spark, folder):
     stored = conform(events, {"event_id": "int", "whole": "smallint", "user_id": "int"})
     filled = with_defaults(stored, {"is960": 0, "stm": 0}, {"is960": "is_960_game", "stm": "user_id"})
     return conform(filled, dict.fromkeys(["event_id", "whole", "user_id", "is960", "stm"], "bigint"))
+
+
+@query("records_with_moves", """
+SELECT doc_id, CAST(len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[a-h][a-z]$'))) AS BIGINT) AS moves FROM documents
+WHERE len(list_filter(string_split(text, ' '), lambda w: regexp_matches(w, '^[a-h][a-z]$'))) > 0
+""")
+def records_with_moves(spark, folder):
+    """Documents that hold words of the shape of a move; the others have none and are left out."""
+    docs = table(spark, folder, "documents")
+    moves = F.filter(F.split("text", " "), lambda w: w.rlike("^[a-h][a-z]$"))
+    return with_moves(docs.withColumn("moves", moves)).select("doc_id", F.size("moves").cast("bigint").alias("moves"))
+
+
+@query("training_schema", """
+SELECT l_orderkey, l_linenumber, CAST(trunc(l_quantity) AS BIGINT) AS policy_target, CAST(l_linenumber % 3 AS BIGINT) AS value_target,
+  CAST(l_linenumber AS BIGINT) AS ply_target, l_returnflag = 'R' AS side_to_move, l_shipmode AS source,
+  'array<smallint>,smallint,array<smallint>,tinyint,bigint,bigint,smallint,smallint,boolean,boolean,boolean,boolean,string' AS kinds
+FROM (SELECT *, l_linestatus AS l_shipmode FROM lineitem)
+""")
+def training_schema(spark, folder):
+    """Line items cast to what a trainer reads: wide class targets, short plies."""
+    items = table(spark, folder, "lineitem")
+    number, none = F.col("l_linenumber"), F.array(F.lit(1.0))
+    rows = items.select(
+        "l_orderkey", "l_linenumber", none.alias("bitboards"), F.col("l_quantity").alias("policy_target"), none.alias("legal_mask"),
+        F.lit(3.0).alias("material_raw"), F.lit("4").alias("material_category"), (number % 3).alias("value_target"), number.alias("ply_target"),
+        F.lit(9).alias("total_plys_in_game"), F.lit(0).alias("is_960_game"), (F.col("l_returnflag") == "R").alias("side_to_move"),
+        F.lit("true").alias("rep_count_ge1"), F.lit(False).alias("rep_count_ge2"), F.col("l_linestatus").alias("source"),
+    )
+    cast = conform(rows, TRAIN_SCHEMA, ["l_orderkey", "l_linenumber"])
+    kinds = ",".join(kind for name, kind in cast.dtypes if name in TRAIN_SCHEMA)
+    return cast.select(
+        "l_orderkey", "l_linenumber", F.col("policy_target").cast("bigint").alias("policy_target"), "value_target",
+        F.col("ply_target").cast("bigint").alias("ply_target"), "side_to_move", "source", F.lit(kinds).alias("kinds"),
+    )

@@ -98,6 +98,13 @@ def first_query(spark, folder):
     return first_per_group(table(spark, folder, "events"), ["user_id"], ["ts", "event_id"], 6).select("event_id", "user_id")
 
 
+@query("first_many_per_group", """
+SELECT event_id, event_type FROM events QUALIFY row_number() OVER (PARTITION BY event_type ORDER BY value, event_id) <= 1200""")
+def first_many_query(spark, folder):
+    """More rows per group than Spark keeps back before an exchange."""
+    return first_per_group(table(spark, folder, "events"), ["event_type"], ["value", "event_id"], 1200).select("event_id", "event_type")
+
+
 def _batches(size: int, pad: bool) -> str:
     pads = f"""
 UNION ALL
