@@ -8,6 +8,7 @@ from ..functions.hashing import chosen_suffixes
 from ..operators.sequence import rolling_mean
 from ..session import scratch_path
 from ..streaming.metric_log import log_metrics
+from ..streaming.reorder import OrderedRepetitions, late_throughput
 from ..streaming.repetition import log_repetitions, stream_repetitions
 from ..streaming.run import drained, stream_table
 from ..streaming.shards import stream_shards
@@ -62,6 +63,46 @@ def stream_repetition_log(spark, folder):
     return rows.select("event_id", "rep_count", (F.col("rep_count") >= 1).alias("rep_count_ge1"), (F.col("rep_count") >= 2).alias("rep_count_ge2"))
 
 
+def arriving_late(spark, folder, base, every, drain):
+    """The events week by week, a stream run for each; of every ``every`` one comes a week too late."""
+    events = spark.read.parquet(f"{folder}/events.parquet")
+    week = F.least(F.lit(3), F.floor(F.dayofmonth("ts") / 8) + (F.col("event_id") % every == 0).cast("int"))
+    for arriving in range(4):
+        events.where(week == arriving).write.mode("append").parquet(f"{base}/in")
+        drain(spark.readStream.schema(events.schema).parquet(f"{base}/in"))
+
+
+@query("stream_repetitions_reordered", REPETITION)
+def stream_repetitions_reordered(spark, folder):
+    """Rows that come a week late get the counts that they would have had in time."""
+    base = scratch_path(spark, "reorder")
+    ordered = OrderedRepetitions(["user_id"], ["event_type"], "ts", ["event_id"], 31 * 86_400, f"{base}/out", 60)
+    arriving_late(spark, folder, base, 20, lambda stream: ordered.drain(stream, f"{base}/checkpoint"))
+    ordered.finish(spark)
+    rows = spark.read.parquet(f"{base}/out/rows")
+    return rows.select("event_id", "rep_count", (F.col("rep_count") >= 1).alias("rep_count_ge1"), (F.col("rep_count") >= 2).alias("rep_count_ge2"))
+
+
+@query("stream_late_rows", """
+WITH e AS (SELECT *, least(3, CAST(floor(day(ts) / 8) AS INT) + CAST(event_id % 7 = 0 AS INT)) AS batch, time_bucket(INTERVAL '1 day', ts) AS s FROM events),
+m AS (SELECT batch, max(ts) AS latest FROM e GROUP BY batch),
+p AS (SELECT b.batch, max(a.latest) - INTERVAL '2 days' AS passed FROM m b LEFT JOIN m a ON a.batch < b.batch GROUP BY b.batch)
+SELECT epoch_us(s) AS window_start, event_type,
+  CAST(count(*) FILTER (NOT coalesce(s + INTERVAL '1 day' <= passed, false)) AS BIGINT) AS rows,
+  CAST(count(*) FILTER (coalesce(s + INTERVAL '1 day' <= passed, false)) AS BIGINT) AS late_rows,
+  s + INTERVAL '1 day' <= (SELECT max(ts) FROM events) - INTERVAL '2 days' AS closed
+FROM e JOIN p USING (batch) GROUP BY ALL""")
+def stream_late_rows(spark, folder):
+    """Daily counts of rows in time, and of those that came when their day had closed."""
+    base = scratch_path(spark, "late")
+    found = []
+    arriving_late(
+        spark, folder, base, 7,
+        lambda stream: found.append(late_throughput(stream, f"{base}/out", f"{base}/checkpoint", "ts", ["event_type"], "1 day", 2 * 86_400)),
+    )
+    return found[-1].withColumn("window_start", F.unix_micros("window_start"))
+
+
 @query("stream_metric_log", ROLLING)
 def stream_metric_log(spark, folder):
     base = scratch_path(spark, "metrics")
