@@ -183,6 +183,14 @@ def _range_rows(path: str, start: int, end: int, before: bytes | None = None) ->
         yield start if packed else 0, start, None, f"{type(problem).__name__}: {problem}", start
 
 
+def file_pieces(path: str) -> Iterator[bytes]:
+    """The bytes of a plain, gzip or bzip2 file, a piece at a time."""
+    lowered = path.lower()
+    with _open(path) as handle:
+        for _, piece in (_zlib_pieces if lowered.endswith(".gz") else _bz2_pieces if lowered.endswith(".bz2") else plain_pieces)(handle):
+            yield piece
+
+
 def _members(path: str) -> Iterator[tuple[int, bytes, int]]:
     """(start, last bytes in front, bytes of text) of each member or stream of a packed file, as far as it can be read."""
     lowered, before, own, known = path.lower(), b"", b"", None
