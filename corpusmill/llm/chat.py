@@ -38,7 +38,8 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 128) -> D
 
     Prefix sums of the turns' tokens choose the spans. A window repeats the leading system turn and
     up to ``history`` tokens of earlier turns (``n_repeated`` turns in all), then holds
-    its own whole turns, in ``budget`` tokens together unless a single turn is larger.
+    its own whole turns, in ``budget`` tokens together, the template's marks included, unless the system turn or a single
+    turn is larger. A large system turn leaves less room to earlier turns, half of what is left at most.
     ``loss_spans`` (start, length in characters) covers the texts of own assistant turns, so each of
     them is a target once. Rows are ordered by turn, then role and text. Null text and role count as
     empty, null conversation ids are one conversation, null turns come first, rows that repeat are
@@ -50,12 +51,12 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 128) -> D
         "conv_id", "turn", F.coalesce("role", F.lit("")).alias("role"), F.coalesce("text", F.lit("")).alias("text")
     ).withColumns(
         {
-            "tokens": count_tokens(F.col("text")),
             "head": F.concat(F.lit(OPEN), escape(F.col("role"), role=True), F.lit(MIDDLE)),
             "body": escape(F.col("text")),
         }
     )
     rows = written.withColumn("string", F.concat("head", "body", F.lit(CLOSE))).withColumn("pos", F.row_number().over(order))
+    rows = rows.withColumn("tokens", count_tokens(F.col("string")))
     rows = rows.withColumn("leading", (F.col("pos") == 1) & (F.col("role") == "system"))
     led = F.first(F.when(F.col("leading"), F.col("string")), ignorenulls=False)
     led_tokens = F.first(F.when(F.col("leading"), F.col("tokens")).otherwise(F.lit(0)))
@@ -63,11 +64,13 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 128) -> D
     rows = rows.withColumns(
         {
             "system": F.coalesce(led.over(upto), F.lit("")),
-            "room": F.greatest(F.lit(budget - history) - led_tokens.over(upto), F.lit(1)),
+            "free": F.greatest(F.lit(budget) - led_tokens.over(upto), F.lit(0)),
             "end": F.sum(own).over(upto),
             "chars": F.sum(F.length("string")).over(upto) - F.length("string"),
         }
     ).withColumn("start", F.col("end") - own)
+    past = F.least(F.lit(history), F.floor(F.col("free") / 2))
+    rows = rows.withColumns({"past": past, "room": F.greatest(F.col("free") - past, F.lit(1))})
     # whole turns within one block of tokens form a span, a turn across a border is one of its own
     block = F.floor(F.col("start") / F.col("room"))
     last = F.floor((F.col("end") - 1) / F.col("room"))
@@ -79,7 +82,8 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 128) -> D
     # a turn has one token at least, so this frame holds few rows; the system turn is at -1
     by_tokens = Window.partitionBy("conv_id").orderBy("at").rangeBetween(-history, -1)
     rows = rows.withColumn("at", F.when(F.col("leading"), F.lit(-(2**40))).otherwise(F.col("start")))
-    rows = rows.withColumn("before", F.collect_list(F.struct("pos", "string")).over(by_tokens))
+    near = F.collect_list(F.struct("pos", "string", "at")).over(by_tokens)
+    rows = rows.withColumn("before", F.filter(near, lambda t: t["at"] >= F.col("at") - F.col("past")))
     windows = rows.groupBy("conv_id", "window").agg(
         F.min_by(F.struct("system", "before", "chars"), F.when(~F.col("leading"), F.col("pos"))).alias("opens"),
         F.bool_or("leading").alias("with_system"),
@@ -93,7 +97,7 @@ def format_windows(turns: DataFrame, budget: int = 512, history: int = 128) -> D
             )
         ).alias("own"),
     )
-    past = F.transform(F.array_sort(F.coalesce(F.col("opens.before"), F.array().cast("array<struct<pos:int,string:string>>"))), lambda t: t["string"])
+    past = F.transform(F.array_sort(F.coalesce(F.col("opens.before"), F.array().cast("array<struct<pos:int,string:string,at:bigint>>"))), lambda t: t["string"])
     prefix = F.concat("system", F.array_join(past, ""))
     windows = windows.withColumns({"prefix": prefix, "n_past": F.size(past)})
     base = F.length("prefix") - F.coalesce(F.col("opens.chars"), F.lit(0))

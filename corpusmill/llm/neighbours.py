@@ -6,8 +6,10 @@ neighbour's neighbour is likely a neighbour. Rounds end when they find next to n
 Lists hold a few neighbours, but no link found is lost with them: every comparison also says which of its
 vectors its links connect. While a list is full of links (saturated), the search goes on for neighbours outside the group
 that the links connect. Groups are then compared block by block, and only counts leave a task. A sample of
-vectors is compared with all others to audit the recall; while it is too low, more hyperplanes are added,
-and if that does not help, all vectors are compared block by block.
+vectors is compared with all others to audit the recall, and fresh hyperplanes tell it as well: it is the share of the links
+they find that are known, which speaks where links are too few for a sample to meet one. While either is too
+low, the fresh links are added and more hyperplanes tried; if that does not help, all vectors are
+compared block by block.
 """
 
 from __future__ import annotations
@@ -28,7 +30,8 @@ BUCKET = 128  # vectors with the same signs that are aimed at
 CHUNK = 1024  # larger ones are compared block by block
 BLOCK = 256
 AUDITED = 1000
-AUDITS = 3
+AUDITS = 12
+FRESH = 10_000  # seeds of the searches that only audit
 #: Entries of lists, and connections (link): u and v are in one group by links that one comparison has found.
 EDGES = "u bigint, v bigint, sim double, link boolean"
 
@@ -222,9 +225,24 @@ def outside(graph: DataFrame, roots: DataFrame) -> DataFrame:
     return led.where(F.col("link") | ~F.coalesce(F.col("ru") == F.col("rv"), F.lit(False))).select("u", "v", "sim", "link")
 
 
-def audit(table: DataFrame, dtype: str, roots: DataFrame, threshold: float) -> float:
+def recaptured(fresh: DataFrame, roots: DataFrame) -> float | None:
+    """The share of the connections of a fresh search whose ends are in one known group; None if it has found none.
+
+    Like the audit a mean over groups, so that a large one weighs no more than a pair.
+    """
+    side = roots.select(F.col("id").alias("u"), F.col("root").alias("ru"))
+    other = roots.select(F.col("id").alias("v"), F.col("root").alias("rv"))
+    links = fresh.where("link").select("u", "v").distinct().join(side, "u", "left").join(other, "v", "left")
+    known = F.coalesce(F.col("ru") == F.col("rv"), F.lit(False)).cast("double")
+    each = links.groupBy(F.coalesce("ru", "u").alias("root")).agg(F.avg(known).alias("known"))
+    return each.agg(F.avg("known")).first()[0]
+
+
+def audit(table: DataFrame, dtype: str, roots: DataFrame, threshold: float) -> float | None:
     """The share of the links of a vector, found by comparing it with all, whose ends are in one group; each of them is counted.
 
+    None if none of the vectors has a link.
+
     It is the mean over AUDITED vectors within a group, and of these means over the groups, so that a
     large group weighs no more than a pair.
     """
@@ -252,8 +270,7 @@ def audit(table: DataFrame, dtype: str, roots: DataFrame, threshold: float) -> f
         F.coalesce(F.max("ra"), F.col("a")).alias("root"),
         (F.count(F.when(F.col("ra") == F.col("rb"), 1)) / F.count(F.lit(1))).alias("recall"),
     )
-    recall = each.groupBy("root").agg(F.avg("recall").alias("recall")).agg(F.avg("recall")).first()[0]
-    return 1.0 if recall is None else recall
+    return each.groupBy("root").agg(F.avg("recall").alias("recall")).agg(F.avg("recall")).first()[0]
 
 
 def compared(table: DataFrame, dtype: str, threshold: float) -> DataFrame:
@@ -302,7 +319,8 @@ def near_duplicates(
     that are null, empty, zero or hold a null or not finite component have none; vectors of different lengths
     are never linked. Rows without a key have no link and no component; repeated rows are copies of
     one another. Other columns are ignored, an empty table stays empty. ``least`` is the audited
-    recall below which more hyperplanes are added, and after AUDITS audits all vectors are compared.
+    recall below which more hyperplanes are added, and after AUDITS audits all vectors are compared. Without any link among
+    the vectors asked and those of a fresh search there is nothing to tell a recall from, and the search ends.
     """
     ship_package(df.sparkSession)
     raw, dtype = distinct_vectors(df.select(key, vector), key, vector)
@@ -316,9 +334,12 @@ def near_duplicates(
         roots = groups_of(graph)
         seed += 1
         if not saturated(graph, threshold):
-            if audit(table, dtype, roots, threshold) >= least:
+            fresh = materialize(first_graph(grouped, dtype, threshold, n, FRESH + seed), "fresh")
+            told = [recaptured(fresh, roots), audit(table, dtype, roots, threshold)]
+            if min((r for r in told if r is not None), default=1.0) >= least:
                 break
             audits += 1
+            graph = graph.unionByName(fresh)
             if audits == AUDITS:
                 roots = groups_of(compared(grouped, dtype, threshold))
                 break

@@ -47,6 +47,7 @@ PATTERNS = {
 #: Looked for in what the other kinds leave: digits over blanks and hyphens, of which a card may be a part.
 RUN = r"(?<![0-9])[0-9](?:[ \-]?[0-9]){12,}+"
 CARD_DIGITS = (13, 19)
+GROUPS = 256  # of a run of digits, gone through at once
 ANY = "|".join(PATTERNS.values())
 #: 146,097 days from 1800-01-01 repeat the calendar; they are the product of these radices.
 FIRST_DAY, DAYS = "1800-01-01", (189, 773)
@@ -174,9 +175,13 @@ def date_text(new: Column, form: str) -> Column:
     return F.date_format(F.date_add(F.lit(FIRST_DAY).cast("date"), (new[0] * DAYS[1] + new[1]).cast("int")), form)
 
 
+def luhn(digits: Column) -> Column:
+    """Whether a string of digits ends in its check digit."""
+    return let(places(digits, DIGITS), lambda d: check_digit(F.slice(d, F.lit(1), F.size(d) - 1)) == F.element_at(d, -1))
+
+
 def passes_luhn(text: Column) -> Column:
-    digits = places(numbers_in(text), DIGITS)
-    return let(digits, lambda d: check_digit(F.slice(d, F.lit(1), F.size(d) - 1)) == F.element_at(d, -1))
+    return luhn(numbers_in(text))
 
 
 def token(text: Column, found: bool) -> Column:
@@ -184,18 +189,25 @@ def token(text: Column, found: bool) -> Column:
 
 
 def cards_in(run: Column) -> Column:
-    """A run of digits in tokens: at each group the longest card number of whole groups that starts there."""
+    """A run of digits in tokens: at each group the longest card number of whole groups that starts there.
+
+    Groups are gone through in blocks, so that what is found so far is copied once per block, not per group.
+    """
 
     def cut(groups: Column) -> Column:
         n = F.size(groups)
 
         def card(i: Column, size: Column) -> Column:
-            return F.regexp_replace(F.array_join(F.slice(groups, i + 1, size), ""), r"[ \-]$", "")
+            return F.rtrim(F.array_join(F.slice(groups, i + 1, size), ""), F.lit(" -"))
+
+        def holds(c: Column) -> Column:
+            digits = F.replace(F.replace(c, F.lit(" "), F.lit("")), F.lit("-"), F.lit(""))
+            return let(digits, lambda d: F.length(d).between(*CARD_DIGITS) & luhn(d))
 
         def step(state: Column, i: Column) -> Column:
             # a group holds a digit at least
             sizes = F.sequence(F.least(n - i, F.lit(CARD_DIGITS[1])), F.lit(1), F.lit(-1))
-            right = F.filter(sizes, lambda k: let(card(i, k), lambda c: F.length(numbers_in(c)).between(*CARD_DIGITS) & passes_luhn(c)))
+            right = F.filter(sizes, lambda k: holds(card(i, k)))
             found = let(F.get(right, F.lit(0)), lambda k: F.when(k.isNotNull(), F.struct(
                 F.concat(state["out"], let(card(i, k), lambda c: F.array(
                     token(c, True), token(after(F.array_join(F.slice(groups, i + 1, k), ""), F.length(c)), False)
@@ -204,8 +216,13 @@ def cards_in(run: Column) -> Column:
             )).otherwise(F.struct(F.concat(state["out"], F.array(token(F.get(groups, i), False))).alias("out"), (i + 1).alias("next"))))
             return F.when(i < state["next"], state).otherwise(found)
 
-        start = F.struct(F.array().cast("array<struct<text:string,found:boolean>>").alias("out"), F.lit(0).alias("next"))
-        return F.aggregate(F.sequence(F.lit(0), n - 1), start, step, lambda s: s["out"])
+        def block(state: Column, first: Column) -> Column:
+            own = F.sequence(first, F.least(first + GROUPS, n) - 1)
+            inner = F.aggregate(own, F.struct(nothing().alias("out"), state["next"].alias("next")), step)
+            return let(inner, lambda x: F.struct(F.concat(state["outs"], F.array(x["out"])).alias("outs"), x["next"].alias("next")))
+
+        start = F.struct(F.array().cast("array<array<struct<text:string,found:boolean>>>").alias("outs"), F.lit(0).alias("next"))
+        return F.aggregate(F.sequence(F.lit(0), n - 1, F.lit(GROUPS)), start, block, lambda s: F.flatten(s["outs"]))
 
     return let(F.regexp_extract_all(run, F.lit(r"[0-9]+[ \-]?"), F.lit(0)), cut)
 
@@ -309,6 +326,11 @@ def written(text: Column, kind: Column, new: Column, classes: Column, key: str)
     )
 
 
+def network_of(kind: Column) -> Column:
+    """The permutation of a kind; a day has one pseudonym in both of its formats."""
+    return F.when(kind == "day", "date").otherwise(kind)
+
+
 def pseudonyms(found: Column, key: str) -> Column:
     """The tokens with the found values under pseudonyms, in steps, so that every part is computed once."""
     steps = F.transform(found, lambda v: F.struct(v["text"].alias("text"), F.when(v["found"], kind_of(v["text"])).alias("kind")))
@@ -319,7 +341,7 @@ def pseudonyms(found: Column, key: str) -> Column:
     ))
     steps = F.transform(steps, lambda s: F.struct(s.alias("s"), F.when(s["digits"].isNotNull(), radices_of(s["kind"], s["digits"], s["classes"])).alias("radices")))
     steps = F.transform(steps, lambda s: F.struct(
-        s["s"].alias("s"), F.when(s["s"]["digits"].isNotNull(), permuted(s["s"]["digits"], s["radices"], s["s"]["kind"], key)).alias("new")
+        s["s"].alias("s"), F.when(s["s"]["digits"].isNotNull(), permuted(s["s"]["digits"], s["radices"], network_of(s["s"]["kind"]), key)).alias("new")
     ))
     return F.transform(steps, lambda s: written(s["s"]["text"], s["s"]["kind"], s["new"], s["s"]["classes"], key))
 
@@ -330,15 +352,23 @@ def pseudonymise(df: DataFrame, key: str, text: str = "text", found: str | None
     Changed: e-mail local parts, phone numbers, IPv4 addresses, SSNs, dates from 1800 to 2199, IBANs and
     card numbers with right check digits, hexadecimal secrets of 32 to 64 digits. Local parts with letters or
     digits beyond ASCII, or over 64, become 32 hexadecimal digits. A card may be any whole groups of
-    a run of digits; an IBAN in groups of four has its country's length. Numbers that fail their check stay as they are. Null text stays null with 0 values, a text without digit is kept
-    untouched, repeated rows give repeated results, other columns are kept and an empty table stays empty.
+    a run of digits; an IBAN in groups of four has its country's length. Numbers that fail their check stay as they are.
+    Null text stays null with 0 values, a text without digit is kept untouched, repeated rows give repeated
+    results, other columns are kept, whatever their names, and an empty table stays empty.
     """
-    value = F.col(text)
-    work = df.withColumn("__found", F.when(value.rlike("[0-9@]") & (value.rlike(ANY) | value.rlike(RUN)), tokens(value)))
-    some = F.col("__found").isNotNull()
-    work = work.withColumn("__new", F.when(some, pseudonyms(F.col("__found"), key)))
-    work = work.withColumn(text, F.when(some, F.array_join("__new", "")).otherwise(value))
+    value, parts, new = F.col(text), free_name(df, "found"), free_name(df, "new")
+    work = df.withColumn(parts, F.when(value.rlike("[0-9@]") & (value.rlike(ANY) | value.rlike(RUN)), tokens(value)))
+    some = F.col(parts).isNotNull()
+    work = work.withColumn(new, F.when(some, pseudonyms(F.col(parts), key)))
+    work = work.withColumn(text, F.when(some, F.array_join(new, "")).otherwise(value))
     if found:
-        pairs = F.arrays_zip(F.col("__found.text").alias("a"), F.col("__new").alias("b"))
+        pairs = F.arrays_zip(F.col(f"{parts}.text").alias("a"), F.col(new).alias("b"))
         work = work.withColumn(found, F.when(some, F.size(F.filter(pairs, lambda z: z["a"] != z["b"]))).otherwise(0).cast("bigint"))
-    return work.drop("__found", "__new")
+    return work.drop(parts, new)
+
+
+def free_name(df: DataFrame, name: str) -> str:
+    """A column name that the table has not."""
+    while name in df.columns:
+        name += "_"
+    return name

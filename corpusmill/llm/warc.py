@@ -19,11 +19,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..session import scratch_path, ship_package
+from ..sources.ranges import file_pieces
 
 BREAK = b"\r\n\r\n"
 V1 = ("url", "ip", "date", "type", "length")
 V2 = ("url", "ip", "date", "type", "result", "checksum", "location", "offset", "file", "length")
-CLASH = ("arc", "warc", "source_id", "first_id")
+MOST_TASKS = 50_000
 READ = (
     "record_id string, source_id bigint, record_type string, target_uri string, warc_date string, "
     "payload_digest string, payload_bytes bigint, refers_to bigint, payload binary"
@@ -51,26 +52,57 @@ def parse_arc(record: bytes) -> tuple[dict[str, str], bytes]:
     return head, rest[:length]
 
 
+def arc_address(url: Column) -> Column:
+    """The URL as a header field: white space percent-encoded, ``-`` for none."""
+    address = F.regexp_replace(F.coalesce(url, F.lit("")), r"\s", "%20")
+    return F.when(address == "", F.lit("-")).otherwise(address)
+
+
 def arc_record(url: Column, html: Column, version: Column, date: str = "20240101000000") -> Column:
     """An ARC record of a page: header line, HTTP response, line break. Null counts as empty."""
     body = F.coalesce(html, F.lit(""))
+    address = arc_address(url)
     head = F.concat(
         F.lit("HTTP/1.1 200 OK\r\nContent-Type: text/html; charset=utf-8\r\nContent-Length: "),
         F.octet_length(body).cast("string"),
         F.lit("\r\n\r\n"),
     )
     length = (F.octet_length(head) + F.octet_length(body)).cast("string")
-    address = F.regexp_replace(F.coalesce(url, F.lit("")), r"\s", "%20")
-    address = F.when(address == "", F.lit("-")).otherwise(address)
     first = F.concat(address, F.lit(f" 0.0.0.0 {date} text/html "))
     middle = F.when(version == 2, F.lit("200 - - 0 pages.arc ")).otherwise(F.lit(""))
     return F.concat(first, middle, length, F.lit("\n"), head, body, F.lit("\n"))
 
 
+def separated(spark: SparkSession, path: str, sep: bytes) -> DataFrame:
+    """``value``: the bytes between separators, in order, every file whole within one task.
+
+    Spark's text source reads packed files so, and splits others, which it would cut inside of records; those are
+    read from end to end by a task each.
+    """
+    packed = spark.read.option("lineSep", sep.decode()).option("pathGlobFilter", "*.gz").text(path)
+    files = spark.read.format("binaryFile").load(path).select(F.col("_metadata.file_path").alias("path"), "length")
+    plain = files.where((F.col("length") > 0) & ~F.col("path").endswith(".gz")).select("path")
+
+    def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for name in batch["path"]:
+                rest = b""
+                for piece in file_pieces(name):
+                    *whole, rest = (rest + piece).split(sep)
+                    if whole:
+                        yield pd.DataFrame({"value": whole})
+                if rest:
+                    yield pd.DataFrame({"value": [rest]})
+
+    read = plain.repartition(max(1, min(plain.count(), MOST_TASKS)), "path").mapInPandas(rows, "value binary")
+    return packed.select(F.col("value").cast("binary").alias("value")).unionByName(read)
+
+
 def read_arc(spark: SparkSession, path: str) -> DataFrame:
     """Records of ARC files, one ``arc`` binary each, cut by their declared lengths.
 
-    A version block ``filedesc://`` is left out; blank lines between records are skipped.
+    A file of any size is read in order by one task. A version block ``filedesc://`` is left out; blank lines
+    between records are skipped.
     """
     ship_package(spark)
 
@@ -97,8 +129,7 @@ def read_arc(spark: SparkSession, path: str) -> DataFrame:
         if held:
             raise BadRecord("an ARC file ends within a record")
 
-    lines = spark.read.option("lineSep", "\n").text(path).select(F.col("value").cast("binary"))
-    return lines.mapInPandas(cut, "arc binary")
+    return separated(spark, path, b"\n").mapInPandas(cut, "arc binary")
 
 
 # --- WARC ----------------------------------------------------------------------------------
@@ -117,10 +148,11 @@ def record_id(source: int | None, url: str, date: str) -> str:
     return uuid.uuid5(uuid.NAMESPACE_URL, f"{source} {url} {date}").urn
 
 
-def to_warc(arc: bytes, source: int | None, first: int | None) -> bytes:
+def to_warc(arc: bytes, source: int | None, first: int | None, first_url: str | None = None) -> bytes:
     """The WARC record, without its closing line breaks, that says what the ARC record says.
 
-    It is a ``revisit`` of record ``first``, without the payload, if that is another one.
+    It is a ``revisit`` of record ``first``, without the payload, if that is another one; with the
+    address of that record it names it by its identifier, as the records of one crawl share their date.
     """
     head, block = parse_arc(arc)
     http, payload = payload_of(block)
@@ -146,22 +178,27 @@ def to_warc(arc: bytes, source: int | None, first: int | None) -> bytes:
     if revisit:
         lines.append("WARC-Profile: http://netpreserve.org/warc/1.0/revisit/identical-payload-digest")
         lines.append(f"X-Refers-To-Source-ID: {first}")
+        if first_url is not None:
+            lines.append(f"WARC-Refers-To: <{record_id(first, first_url, head['date'])}>")
+            lines.append(f"WARC-Refers-To-Target-URI: {first_url}")
     return "\r\n".join(lines).encode() + BREAK + block
 
 
-def convert(df: DataFrame, arc: str = "arc", source: str = "source_id", first: str = "first_id") -> DataFrame:
-    """One ``warc`` string for each ARC record; ``first`` is the record that a revisit names, or null."""
+def convert(df: DataFrame, arc: str = "arc", source: str = "source_id", first: str = "first_id", first_url: str | None = None) -> DataFrame:
+    """One ``warc`` string for each ARC record; ``first`` is the record that a revisit names, or null, and ``first_url`` its address."""
     ship_package(df.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             ids = ([None if pd.isna(x) else int(x) for x in batch[c]] for c in (source, first))
-            made = [to_warc(a.encode() if isinstance(a, str) else bytes(a), s, f).decode() for a, s, f in zip(batch[arc], *ids)]
+            records = zip(batch[arc], *ids, batch["__url"])
+            made = [to_warc(a.encode() if isinstance(a, str) else bytes(a), s, f, u).decode() for a, s, f, u in records]
             yield pd.DataFrame({"warc": pd.Series(made, dtype=object)})
 
     # identifiers travel as text: an integer column with nulls would turn into floats
     ids = [F.col(c).cast("string").alias(c) for c in (source, first)]
-    return df.select(arc, *ids).mapInPandas(rows, "warc string")
+    address = F.lit(None).cast("string") if first_url is None else F.col(first_url)
+    return df.select(arc, *ids, address.alias("__url")).mapInPandas(rows, "warc string")
 
 
 def write_warc(records: DataFrame, path: str) -> None:
@@ -242,15 +279,14 @@ def read_warc(spark: SparkSession, path: str, columns: str = READ) -> DataFrame:
             made[name] = pd.array([pd.NA if x is None else int(x) for x in made[name]], dtype="Int64")
         return made
 
-    lines = spark.read.option("lineSep", BREAK.decode()).text(path).select(F.col("value").cast("binary"))
-    return lines.mapInPandas(rows, columns)
+    return separated(spark, path, BREAK).mapInPandas(rows, columns)
 
 
 # --- pages ---------------------------------------------------------------------------------
 
 
 def first_copies(pages: DataFrame, least: int = 0) -> DataFrame:
-    """Add ``first_id``: the smallest page_id with the same payload of ``least`` bytes or more, else null.
+    """Add ``first_id`` and ``first_url``: the smallest page_id with the same payload of ``least`` bytes or more, else null.
 
     Payloads are told apart by SHA-256. Only digests that repeat are joined, so one payload that
     a third of all pages share leaves one row here and Spark splits its side of the join.
@@ -261,7 +297,7 @@ def first_copies(pages: DataFrame, least: int = 0) -> DataFrame:
     firsts = (
         marked.where("__key IS NOT NULL")
         .groupBy("__key")
-        .agg(F.min("page_id").alias("first_id"), F.count(F.lit(1)).alias("__n"))
+        .agg(F.min("page_id").alias("first_id"), F.min_by(arc_address(F.col("url")), "page_id").alias("first_url"), F.count(F.lit(1)).alias("__n"))
         .where("__n > 1")
         .drop("__n")
     )
@@ -279,6 +315,6 @@ def archive_pages(pages: DataFrame, least: int = 0, path: str | None = None) ->
     path = path or scratch_path(spark, "warc")
     copies = first_copies(pages.select("page_id", "url", "html"), least)
     version = F.when(F.col("page_id") % 2 == 1, 2).otherwise(1)
-    arcs = copies.select(arc_record(F.col("url"), F.col("html"), version).alias("arc"), F.col("page_id").alias("source_id"), "first_id")
-    write_warc(convert(arcs), path)
+    arcs = copies.select(arc_record(F.col("url"), F.col("html"), version).alias("arc"), F.col("page_id").alias("source_id"), "first_id", "first_url")
+    write_warc(convert(arcs, first_url="first_url"), path)
     return path
