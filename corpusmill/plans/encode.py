@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -10,9 +12,11 @@ from ..functions import moves as M
 from ..functions.conform import POSITION_SCHEMA, conform
 from ..functions.outcome import outcome_for_mover
 from ..functions.text import RESULTS, header, parse_headers, record_id
+from ..operators.groups import HOT_ROWS
 from ..operators.integrity import assert_same
 from ..operators.quality import keeps
 from ..operators.replay import replay_games
+from ..operators.sequence import prior_occurrences, sequence_targets
 from ..session import materialize, path_exists
 from ..sources.records import parse_records
 from ..sources.sinks import manifest_row, write_chunks, write_manifest
@@ -64,6 +68,20 @@ def failed_games(plies: DataFrame, carry=GAME_COLUMNS) -> DataFrame:
     return plies.where(F.col("error").isNotNull()).select(*carry, "error")
 
 
+def numbered_plies(moves: DataFrame, order: Sequence[str], game: Sequence[str] = ("game_id",), hot_rows: int = HOT_ROWS) -> DataFrame:
+    """A ply table from rows of positions, in the form that the replay gives, by windows only.
+
+    ``moves`` has a row per ply: fen, move_from, move_to, promotion, legal (packed moves), result, is_960 and more. Added are
+    ``ply, total_plys, rep_count`` and an empty ``error``; a position recurs if board, side, castling and
+    en passant do. Games of any length are split where they are hot.
+    """
+    game, order = list(game), list(order)
+    numbered = sequence_targets(moves, game, order, hot_rows=hot_rows).drop("ply_target")
+    stated = numbered.withColumn("__state", F.array_join(F.slice(F.split("fen", " "), 1, 4), " "))
+    counted = prior_occurrences(stated, game, ["__state"], order, hot_rows)
+    return counted.drop("__state", "rep_count_ge1", "rep_count_ge2").withColumn("error", F.lit(None).cast("string"))
+
+
 def encode_positions(plies: DataFrame, cap: int = 512) -> DataFrame:
     """The position table. Ply numbers and repetitions come from the replay, where a game
     is still one row, so no exchange is needed; all else is native over the position string.

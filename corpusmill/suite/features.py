@@ -13,7 +13,7 @@ from ..operators.evaluate import LOSSES, evaluate, row_losses
 from ..operators.graph import distance_bias, shortest_paths
 from ..operators.planes import augment, join_move_planes, plane_moves
 from ..operators.replay import replay_games
-from ..plans.encode import encode_positions, spread
+from ..plans.encode import encode_positions, numbered_plies, spread
 from .registry import query, table
 
 RESULT = "CASE o_orderstatus WHEN 'F' THEN '1-0' WHEN 'O' THEN '0-1' ELSE '1/2-1/2' END"
@@ -383,3 +383,45 @@ def encode_query(spark, folder):
         "side_to_move", "rep_count_ge1", "rep_count_ge2",
         F.array_contains("legal_mask", F.col("policy_target")).alias("target_is_legal"),
     )
+
+
+PLIES = 200  # documents that stand for one game
+
+
+@query("ply_positions", BOARDS + ", mv AS (SELECT doc_id, doc_id % 64 AS s, (doc_id * 5 + doc_id // 64) % 64 AS t, NULL AS promo FROM documents),\n"
+  + MOVES[MOVES.index("d AS (") :].replace("FROM m)", "FROM mv)") + f""",
+g AS (SELECT doc_id, lang, source || '-' || doc_id // {PLIES} AS game, md5(text) AS board FROM documents),
+n AS (SELECT *, row_number() OVER (PARTITION BY game ORDER BY doc_id) - 1 AS ply, count(*) OVER (PARTITION BY game) AS total,
+  row_number() OVER (PARTITION BY game, board, doc_id % 12 ORDER BY doc_id) - 1 AS seen FROM g),
+w AS (SELECT doc_id, count(*) AS pieces, sum([1, 3, 3, 5, 9, 0][plane % 6 + 1] * CASE WHEN plane < 6 THEN 1 ELSE -1 END) AS raw FROM p GROUP BY doc_id),
+f AS (SELECT doc_id, count(*) FILTER (bit >= 768) AS flags FROM bits GROUP BY doc_id)
+SELECT doc_id, game AS game_id, CAST(ply AS BIGINT) AS ply, CAST(total AS BIGINT) AS total_plys, CAST(least(total - ply - 1, 30) AS BIGINT) AS ply_target,
+  CAST(pieces AS BIGINT) AS pieces, CAST(flags AS BIGINT) AS flags, CAST(raw AS BIGINT) AS material_raw,
+  CAST(least(greatest(raw, -5), 5) + 5 AS BIGINT) AS material_category,
+  CAST(CASE WHEN lang = 'en' THEN 1 WHEN (lang = 'de') = (doc_id % 2 = 0) THEN 2 ELSE 0 END AS BIGINT) AS value_target,
+  doc_id % 2 = 0 AS side_to_move, seen >= 1 AS rep_count_ge1, seen >= 2 AS rep_count_ge2,
+  CAST(coalesce(under, base) * 64 + s AS BIGINT) AS policy_target, coalesce(under, base) IS NOT NULL AS target_is_legal
+FROM n JOIN w USING (doc_id) JOIN f USING (doc_id) JOIN x USING (doc_id)""")
+def ply_positions(spark, folder):
+    """Every document as a ply of its source's games: numbers and repetitions by windows, all features native."""
+    docs = table(spark, folder, "documents").select("doc_id", "lang", "source").join(boards(spark, folder), "doc_id")
+    src, dst = F.col("doc_id") % 64, (F.col("doc_id") * 5 + F.floor(F.col("doc_id") / 64)) % 64
+    plies = docs.select(
+        "doc_id", "fen", "source",
+        F.concat_ws("-", "source", F.floor(F.col("doc_id") / PLIES).cast("string")).alias("game_id"),
+        F.lit("train").alias("split"),
+        F.when(F.col("lang") == "de", "1-0").when(F.col("lang") == "en", "1/2-1/2").otherwise("0-1").alias("result"),
+        src.cast("int").alias("move_from"), dst.cast("int").alias("move_to"), F.lit(None).cast("string").alias("promotion"),
+        F.array((src + 64 * dst).cast("int"), F.lit(12 + 64 * 28)).alias("legal"), F.lit(False).alias("is_960"),
+    )
+    numbered = numbered_plies(plies, ["doc_id"]).withColumn("game_id", F.concat_ws("#", "game_id", "doc_id"))
+    wide = lambda c: F.col(c).cast("bigint").alias(c)
+    return encode_positions(numbered, 30).select(
+        F.substring_index("game_id", "#", -1).cast("bigint").alias("doc_id"), F.substring_index("game_id", "#", 1).alias("game_id"),
+        wide("ply"), F.col("total_plys_in_game").cast("bigint").alias("total_plys"), wide("ply_target"),
+        F.size(F.filter("bitboards", lambda b: b < 768)).cast("bigint").alias("pieces"),
+        F.size(F.filter("bitboards", lambda b: b >= 768)).cast("bigint").alias("flags"),
+        wide("material_raw"), wide("material_category"), wide("value_target"),
+        "side_to_move", "rep_count_ge1", "rep_count_ge2", wide("policy_target"),
+        F.coalesce(F.array_contains("legal_mask", F.col("policy_target")), F.lit(False)).alias("target_is_legal"),
+    )
