@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import math
+from collections.abc import Mapping
 from dataclasses import dataclass
 
 from pyspark.sql import Column
@@ -57,3 +58,21 @@ def schedule_phase(step, spec: Schedule) -> Column:
         .when(step >= spec.start_step + spec.duration_steps, "post")
         .otherwise("active")
     )
+
+
+def scheduled_weights(
+    step, static: Mapping[str, float], schedules: Mapping[str, Mapping[str, object]], steps: int, variant: str = "monotone"
+) -> dict[str, Column]:
+    """A weight per name of ``static`` at each step: scheduled where ``schedules`` has an entry, else as it is.
+
+    What an entry leaves open is filled in: both weights with the static one, the duration with all ``steps``. Entries
+    for other names are passed over.
+    """
+
+    def weight(name: str, value: float) -> Column:
+        if name not in schedules:
+            return F.lit(float(value))
+        whole = {"start_weight": value, "end_weight": value, "duration_steps": steps, "variant": variant, **schedules[name]}
+        return scheduled_weight(step, Schedule(**whole))
+
+    return {name: weight(name, value) for name, value in static.items()}

@@ -22,7 +22,8 @@ HOT_ROWS = 1_000_000
 def split_hot(df: DataFrame, keys: Sequence[str], hot_rows: int = HOT_ROWS) -> tuple[DataFrame | None, DataFrame]:
     """(rows of hot keys or None, all other rows), after one counting pass over the key columns.
 
-    Any number of keys may be hot; they are a written table, joined as Spark sees fit.
+    Any number of keys may be hot; they are a written table, joined as Spark sees fit. With hot keys ``df`` is read
+    twice more, so write it first when it is costly to compute.
     """
     counts = df.groupBy(*keys).agg(F.count(F.lit(1)).alias("__n")).where(F.col("__n") > hot_rows)
     hot_keys = materialize(counts.drop("__n"), "hot_keys")

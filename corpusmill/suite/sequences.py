@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..functions.schedule import Schedule, schedule_phase, scheduled_weight
+from ..functions.schedule import Schedule, schedule_phase, scheduled_weight, scheduled_weights
 from ..operators.batches import assign_batches
 from ..operators.evaluate import split_finite
 from ..operators.sequence import (
@@ -211,3 +211,24 @@ def schedule_reference(spark, folder):
 @query("schedule_monotone", _schedule_sql(False))
 def schedule_monotone(spark, folder):
     return _schedule(spark, folder, "monotone")
+
+
+@query("schedules_with_defaults", """
+SELECT event_id, 1.0::DOUBLE AS policy, 2.0::DOUBLE AS value,
+  round(CASE WHEN event_id <= 500 THEN 0.1 WHEN event_id >= 5500 THEN 0.4 ELSE 0.1 + 0.3 * (event_id - 500) / 5000.0 END, 6)::DOUBLE AS moves_left,
+  round(CASE WHEN event_id <= 0 THEN 1.0 WHEN event_id >= 2000 THEN 0.25 ELSE 1.0 - 0.75 * 0.5 * (1 + cos(pi() * (1 - event_id / 2000.0))) END, 6)::DOUBLE AS material
+FROM events""")
+def schedules_with_defaults(spark, folder):
+    """Four weights at each step: one static, one whose schedule leaves all open, and two that change."""
+    weights = scheduled_weights(
+        "event_id",
+        {"policy": 1.0, "value": 2.0, "moves_left": 0.1, "material": 0.25},
+        {
+            "value": {},
+            "moves_left": {"end_weight": 0.4, "start_step": 500},
+            "material": {"start_weight": 1.0, "duration_steps": 2000, "kind": "cosine"},
+            "unknown": {"end_weight": 9.0},
+        },
+        steps=5000,
+    )
+    return table(spark, folder, "events").select("event_id", *[F.round(w, 6).alias(n) for n, w in weights.items()])
