@@ -1,9 +1,11 @@
 """Operator 3: pairs of texts whose sets of five-word shingles are similar, by a MinHash LSH forest.
 
-Each tree of the forest sorts texts by a signature of minhashes, a trie of its prefixes. Two texts meet
-in a tree if a prefix of some depth is equal. The depth starts at the whole signature and is
-shortened until a pair at the threshold meets in at least one tree with the target
-probability; every pair that meets is then verified with its whole sets.
+Each tree of the forest gives a text a path of minhashes, of two bytes each. Sorted, the paths of all texts are a trie: texts
+with the first d minhashes alike share its node at depth d, and texts that share one in any tree meet and are verified with their
+whole sets. At first paths are taken at their full depth. The verified links say how similar linked texts are, and so what share of
+all links a depth lets meet: each link found stands for as many as its chance to be found is small. While
+that share is below the target, the paths are shortened to the deepest depth that reaches it, and the texts that
+share a node there are verified.
 
 Texts with the same words are one class and are compared once. Classes that meet are put into blocks of
 some 256, and a task compares two blocks, so a bucket with thousands of near copies is many small
@@ -17,7 +19,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..session import materialize, ship_package
@@ -33,11 +35,18 @@ def recall(threshold: float, depth: int, trees: int = TREES) -> float:
     return 1 - (1 - threshold**depth) ** trees
 
 
-def depth_for(threshold: float, target: float, trees: int = TREES, deepest: int = DEEPEST) -> int:
-    depth = deepest
-    while depth > 1 and recall(threshold, depth, trees) < target:
-        depth -= 1
-    return depth
+def shortened(found: np.ndarray, depth: int, threshold: float, target: float) -> int:
+    """The deepest depth, ``depth`` at most, whose share of all links reaches the target.
+
+    ``found`` holds, over the links verified at ``depth``, the sums of recall(d) / recall(depth) for d = 1 … DEEPEST, and of
+    1 / recall(depth). A link at the threshold is added, so few links do not end the search early.
+    """
+    chances = np.array([recall(threshold, d) for d in range(1, DEEPEST + 1)])
+    sums = found + np.append(chances, 1.0) / recall(threshold, depth)
+    for d in range(depth, 1, -1):
+        if sums[d - 1] >= target * sums[-1]:
+            return d
+    return 1
 
 
 def shingle_sets(raw: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,39 +69,43 @@ def shingle_sets(raw: list[bytes], size: int) -> tuple[np.ndarray, np.ndarray]:
     return found, whose
 
 
-def prefixes(found: np.ndarray, whose: np.ndarray, n: int, depth: int, trees: int) -> list[list[int] | None]:
-    """For each text the fingerprint of its prefix in every tree; None without shingles."""
-    out: list[list[int] | None] = [None] * n
+def paths(found: np.ndarray, whose: np.ndarray, n: int) -> list[bytes | None]:
+    """For each text its paths in all trees, one after the other; None without shingles."""
+    out: list[bytes | None] = [None] * n
     if not len(found):
         return out
     starts = np.flatnonzero(np.concatenate(([True], whose[1:] != whose[:-1])))
-    random = np.random.default_rng(8).integers(1, 2**63, (trees * depth, 2), dtype=np.uint64)
-    keys = np.zeros((trees, len(starts)), dtype=np.uint64)
+    random = np.random.default_rng(8).integers(1, 2**63, (TREES * DEEPEST, 2), dtype=np.uint64)
+    steps = np.zeros((len(starts), TREES * DEEPEST), dtype=">u2")
     for k, (mask, factor) in enumerate(random):
         least = np.minimum.reduceat((found ^ mask) * (factor | np.uint64(1)), starts)
-        keys[k // depth] = mixed(keys[k // depth] + least)
-    for tree in range(trees):  # the same prefix in two trees is no meeting
-        keys[tree] = mixed(keys[tree] + np.uint64(tree + 1))
-    for row, i in zip(keys.T.astype(np.int64).tolist(), whose[starts].tolist()):
-        out[i] = row
+        steps[:, k] = mixed(least) >> np.uint64(48)
+    for row, i in zip(steps, whose[starts].tolist()):
+        out[i] = row.tobytes()
     return out
 
 
-def signatures(docs: DataFrame, size: int, depth: int, trees: int) -> DataFrame:
-    """Per row: id, words (a digest of the word sequence), prefixes; written."""
+def nodes(path: Column, depth: int) -> Column:
+    """The trie node at this depth in every tree: a number of tree and prefix."""
+    step = 2 * DEEPEST
+    return F.transform(F.sequence(F.lit(0), F.lit(TREES - 1)), lambda t: F.xxhash64(t, F.substring(path, t * step + 1, F.lit(2 * depth))))
+
+
+def signatures(docs: DataFrame, size: int) -> DataFrame:
+    """Per row: id, words (a digest of the word sequence), path; written."""
     ship_package(docs.sparkSession)
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
             raw = [(t or "").encode() for t in batch["text"]]
-            keys: list[list[int] | None] = []
+            found_paths: list[bytes | None] = []
             for lo, hi in groups([len(t) for t in raw]):
                 found, whose = shingle_sets(raw[lo:hi], size)
-                keys += prefixes(found, whose, hi - lo, depth, trees)
+                found_paths += paths(found, whose, hi - lo)
             words = [hashlib.blake2b(b" ".join(t.split()), digest_size=16).digest() for t in raw]
-            yield pd.DataFrame({"id": batch["doc_id"], "words": words, "prefixes": keys})
+            yield pd.DataFrame({"id": batch["doc_id"], "words": words, "path": found_paths})
 
-    schema = "id bigint, words binary, prefixes array<bigint>"
+    schema = "id bigint, words binary, path binary"
     return materialize(docs.where("doc_id IS NOT NULL").select("doc_id", "text").mapInPandas(released(rows), schema), "signatures")
 
 
@@ -118,8 +131,11 @@ def blocked(classes: DataFrame) -> DataFrame:
     return homes.join(lists, "home").join(classes, "class_id")
 
 
-def verify(group: pd.DataFrame, threshold: float, one: bool) -> pd.DataFrame:
-    """Links between two blocks, or within one: per class their number and the least class it is linked to this way."""
+def verify(group: pd.DataFrame, threshold: float, one: bool, depth: int) -> pd.DataFrame:
+    """Links between two blocks, or within one: per class their number and the least class it is linked to this way.
+
+    A row without class holds the sums over the links that ``shortened`` asks for.
+    """
     ids = group["class_id"].to_numpy()
     keys = np.array(group["prefixes"].tolist(), dtype=np.int64)
     sets = [np.frombuffer(x, dtype="<u8") for x in group["shingles"]]
@@ -135,6 +151,9 @@ def verify(group: pd.DataFrame, threshold: float, one: bool) -> pd.DataFrame:
     common = overlaps(sets, a, b)
     union = sizes[a][:, None] + sizes[b][None] - common
     linked = common[i, j] >= threshold * union[i, j] - 1e-9
+    alike = common[i[linked], j[linked]] / union[i[linked], j[linked]]
+    chances = np.append([recall(alike, d) for d in range(1, DEEPEST + 1)], [np.ones(len(alike))], axis=0)
+    sums = (chances / chances[depth - 1]).sum(axis=1)
     i, j = a[i[linked]], b[j[linked]]
     count = np.bincount(i, minlength=len(ids)) + np.bincount(j, minlength=len(ids))
     root = np.arange(len(ids))
@@ -151,7 +170,9 @@ def verify(group: pd.DataFrame, threshold: float, one: bool) -> pd.DataFrame:
             break
         root = low
     some = np.flatnonzero(count)
-    return pd.DataFrame({"class_id": ids[some], "n_links": count[some], "root": ids[order[root[some]]]})
+    out = pd.DataFrame({"class_id": ids[some], "n_links": count[some], "root": ids[order[root[some]]], "sums": None}, dtype=object)
+    out.loc[len(out)] = [None, None, None, sums]
+    return out
 
 
 def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, width: int = 4096) -> np.ndarray:
@@ -172,21 +193,9 @@ def overlaps(sets: list[np.ndarray], a: np.ndarray, b: np.ndarray, width: int =
     return out.astype(np.int64)
 
 
-def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
-    """One row per document with an id: doc_id, class_id, n_links, component_id, kept.
-
-    Words are runs of other characters than ASCII white space. Documents with the same words are a class,
-    named by its smallest doc_id; ``n_links`` counts the other classes of a similarity of ``threshold`` or more,
-    ``component_id`` is the smallest doc_id reachable by links, ``kept`` is true where it is the own one.
-    Null and empty texts are one class without links, texts of fewer than ``size`` words are one shingle.
-    Rows without doc_id are left out, repeated rows are repeated, other columns are ignored,
-    an empty table gives an empty one.
-    """
-    depth = depth_for(threshold, target)
-    marked = signatures(docs, size, depth, TREES)
-    classes = marked.groupBy("words").agg(F.min("id").alias("class_id"), F.first("prefixes").alias("prefixes"))
-    classes = materialize(classes, "classes")
-    needed = blocked(classes.select("class_id", "prefixes").where("prefixes IS NOT NULL"))
+def compared(docs: DataFrame, classes: DataFrame, depth: int, size: int, threshold: float) -> DataFrame:
+    """What ``verify`` says of all blocks of classes that share a node at this depth."""
+    needed = blocked(classes.where("path IS NOT NULL").select("class_id", nodes(F.col("path"), depth).alias("prefixes")))
 
     def sets(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
@@ -203,10 +212,35 @@ def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, target: floa
     loaded = texts.mapInPandas(released(sets), types).select("class_id", "home", "prefixes", "shingles", F.inline("pairs"))
 
     def compare(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-        return verify(group.drop_duplicates("class_id"), threshold, key[0] == key[1])
+        return verify(group.drop_duplicates("class_id"), threshold, key[0] == key[1], depth)
+
+    schema = "class_id bigint, n_links bigint, root bigint, sums array<double>"
+    return loaded.groupBy("block", "other").applyInPandas(compare, schema)
+
+
+def similar(docs: DataFrame, size: int = 5, threshold: float = 0.8, target: float = 0.9999) -> DataFrame:
+    """One row per document with an id: doc_id, class_id, n_links, component_id, kept.
 
-    found = loaded.groupBy("block", "other").applyInPandas(compare, "class_id bigint, n_links bigint, root bigint")
-    found = materialize(found, "found")
+    Words are runs of other characters than ASCII white space. Documents with the same words are a class,
+    named by its smallest doc_id; ``n_links`` counts the other classes of a similarity of ``threshold`` or more,
+    ``component_id`` is the smallest doc_id reachable by links, ``kept`` is true where it is the own one.
+    Null and empty texts are one class without links, texts of fewer than ``size`` words are one shingle.
+    Rows without doc_id are left out, repeated rows are repeated, other columns are ignored,
+    an empty table gives an empty one.
+    """
+    marked = signatures(docs, size)
+    classes = marked.groupBy("words").agg(F.min("id").alias("class_id"), F.first("path").alias("path"))
+    classes = materialize(classes, "classes")
+    depth, found = DEEPEST, None
+    while True:
+        found = materialize(compared(docs, classes, depth, size, threshold), "found")
+        # one row to the driver
+        totals = found.where("class_id IS NULL").agg(*[F.coalesce(F.sum(F.col("sums")[k]), F.lit(0.0)) for k in range(DEEPEST + 1)]).first()
+        shorter = shortened(np.array(totals), depth, threshold, target)
+        if shorter == depth:
+            break
+        depth = shorter
+    found = found.where("class_id IS NOT NULL")
     counts = found.groupBy("class_id").agg(F.sum("n_links").alias("n_links"))
     roots = components(found.select(F.col("class_id").alias("a"), F.col("root").alias("b"))).withColumnRenamed("id", "class_id")
     named = classes.select("words", "class_id").join(counts, "class_id", "left").join(roots, "class_id", "left")

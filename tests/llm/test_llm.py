@@ -164,7 +164,7 @@ def test_links_and_groups(spark, docs, empty):
 
 
 def test_depth_is_shortened_to_the_recall():
-    depth = jaccard.depth_for(0.8, 0.9999)
+    depth = jaccard.shortened(np.zeros(jaccard.DEEPEST + 1), jaccard.DEEPEST, 0.8, 0.9999)
     assert jaccard.recall(0.8, depth) >= 0.9999 > jaccard.recall(0.8, depth + 1)
 
 
