@@ -132,19 +132,19 @@ def labelled_features(docs: DataFrame, labels: DataFrame, sample: int) -> pd.Dat
 
     def rows(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            for text, quality in zip(batch["text"], batch["quality"]):
+            for name, text, quality in zip(batch["doc_id"], batch["text"], batch["quality"]):
                 feature, value = [np.zeros(0, np.int32)], [np.zeros(0, np.float32)]
                 for codes, _ in grams(Joined([(text or "").encode()])):
                     names, count = np.unique(codes, return_counts=True)
                     feature.append(names.astype(np.int32))
                     value.append((count / max(1, count.sum())).astype(np.float32))
-                yield pd.DataFrame(
-                    {"quality": [int(quality)], "feature": [np.concatenate(feature).tobytes()], "value": [np.concatenate(value).tobytes()]}
-                )
+                found = {"feature": [np.concatenate(feature).tobytes()], "value": [np.concatenate(value).tobytes()]}
+                yield pd.DataFrame({"doc_id": [name], "quality": [int(quality)]} | found)
 
     # the sample bounds the broadcast
-    picked = docs.select("doc_id", "text").join(F.broadcast(chosen), "doc_id").select("text", "quality")
-    return picked.mapInPandas(rows, "quality int, feature binary, value binary").limit(2 * sample).toPandas()
+    picked = docs.select(F.col("doc_id").cast("bigint").alias("doc_id"), "text").join(F.broadcast(chosen), "doc_id")
+    # one row per chosen id, also where a table repeats it
+    return picked.mapInPandas(rows, "doc_id bigint, quality int, feature binary, value binary").dropDuplicates(["doc_id"]).drop("doc_id").toPandas()
 
 
 def fit(rows: pd.DataFrame, rounds: int = 150, held: float = 0.25) -> Model | None:
