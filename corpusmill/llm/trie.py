@@ -63,6 +63,8 @@ def paths(turns: DataFrame, lengths: DataFrame, segment: int) -> DataFrame:
         F.min("conv_id").alias("node"), F.count(F.lit(1)).alias("n_convs"), F.max("words").alias("n_words"),
         F.sum(F.col("length") - F.col("depth") + 1).alias("weight"),
     )
+    # written, so that Spark can split the rows of a common beginning in the join
+    nodes = materialize(nodes, "prefixes")
     found = materialize(rows.select("conv_id", *key).join(nodes, key).drop("k1", "k2"), "nodes")
     least = F.lit(root["least"]).cast(lengths.schema["conv_id"].dataType)
     top = lengths.select(
