@@ -54,8 +54,9 @@ def diagnosed(rows: DataFrame) -> DataFrame:
         (~F.right(trimmed, F.lit(1)).isin(".", "!", "?")).alias("cut"),
         F.sha2(F.concat(F.length("role").cast("string"), F.lit(":"), "role", "text").cast("binary"), 256).alias("same"),
     )
-    # the first row of each content, found with partial aggregation, however often one is repeated
-    firsts = narrow.groupBy("__key", "same").agg(F.min("pos").alias("first"))
+    # the first row of each content, found with partial aggregation, however often one is repeated; written, so that
+    # Spark can split the rows of a common one in the join
+    firsts = materialize(narrow.groupBy("__key", "same").agg(F.min("pos").alias("first")), "firsts")
     fault = F.when(F.col("blank"), "blank").when(F.col("pos") > F.col("first"), "duplicate").when(F.col("cut"), "truncated")
     return narrow.join(firsts, ["__key", "same"]).select("__key", "pos", "turn", "kind", fault.alias("fault"))
 
