@@ -170,3 +170,11 @@ def test_query(spark, folder):
 def test_damage_takes_nulls_for_a_space(spark):
     table = spark.createDataFrame([(None, None, None, None), (1, 7, None, None)], "conv_id long, turn long, role string, text string")
     assert all(r["role"] in (" ", "user") and r["text"] in (" ", "") for r in damaged(table).collect())
+
+
+def test_query_equals_sql(spark, folder):
+    import oracle
+
+    from corpusmill.llm.queries import ORACLES, QUERIES
+
+    assert oracle.compare(oracle.connect(folder), QUERIES["op11_repair"](spark, folder), ORACLES["op11_repair"]) == []
