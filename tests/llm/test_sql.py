@@ -8,6 +8,6 @@ import pytest
 from corpusmill.llm.queries import ORACLES, QUERIES
 
 
-@pytest.mark.parametrize("name", ["op3_jaccard_join", "op8_arc_to_warc", "op9_near_vectors"])
+@pytest.mark.parametrize("name", ["op2_repeats", "op3_jaccard_join", "op8_arc_to_warc", "op9_near_vectors"])
 def test_query_equals_sql(spark, folder, name):
     assert oracle.compare(oracle.connect(folder), QUERIES[name](spark, folder), ORACLES[name]) == []
