@@ -39,6 +39,28 @@ def test_counts_go_on_across_batches(spark, tmp_path):
     assert len(rows) == 36 and all(r.rep_count == r.ply // 3 for r in rows)
 
 
+def test_groups_share_calls_and_state_keys(spark, tmp_path):
+    # a call of Python per group took most of the time
+    schema = "game long, state string, weight double, at timestamp, ply int"
+    rows = [(g or None, s, w, f"2024-01-01 00:00:00.{u:06d}", p) for g in range(60) for s in ("a,b", "a", None) for w, u in ((0.0, 1), (-0.0, 1), (1.0, 2)) for p in range(2)]
+    typed = spark.createDataFrame(rows, "game long, state string, weight double, at string, ply int").withColumn("at", F.col("at").cast("timestamp"))
+    typed.coalesce(1).write.parquet(str(tmp_path / "in"))
+    before = spark.conf.get(PROVIDER)
+    spark.conf.set(PROVIDER, ROCKSDB)
+    try:
+        stream = spark.readStream.schema(schema).parquet(str(tmp_path / "in"))
+        counted = stream_repetitions(stream, ["game"], ["state", "weight", "at"], ["ply"], buckets=8)
+        drain(counted, str(tmp_path / "out"), str(tmp_path / "checkpoint"))
+        kept = spark.read.format("statestore").option("stateVarName", "seen").load(str(tmp_path / "checkpoint"))
+        assert kept.select("key").distinct().count() <= 8
+    finally:
+        spark.conf.set(PROVIDER, before)
+    out = spark.read.schema(f"{schema}, rep_count long").parquet(str(tmp_path / "out"))
+    # 0.0 and -0.0 are one group of four rows, 1.0 has two
+    got = {(r.game, r.state, r.light): sorted(r.counts) for r in out.groupBy("game", "state", (F.col("weight") < 0.5).alias("light")).agg(F.collect_list("rep_count").alias("counts")).collect()}
+    assert got == {(g or None, s, light): list(range(4 if light else 2)) for g in range(60) for s in ("a,b", "a", None) for light in (True, False)}
+
+
 def test_metric_batches_replace_themselves(spark, tmp_path):
     spark.range(10).write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema("id long").parquet(str(tmp_path / "in"))
