@@ -18,32 +18,49 @@ BIAS_RANGE = 0.35
 BIAS_SLOPE = 6.0
 BIAS_SHIFT = 3.0
 
+PACK = 32  # sources in a row of distances
+
 
 def shortest_paths(edges: DataFrame, sources: DataFrame) -> DataFrame:
     """``source, node, dist`` for every node reachable over ``edges(src, dst, w)``, w ≥ 0.
 
-    A round extends only the distances that improved in the round before, and appends what it improves to a log in the
-    shared folder; nothing is written twice. It ends when none improves. Edges are
-    stored in buckets by their start, so no round moves them again.
+    Up to ``PACK`` sources share a row per node, with a distance for each, so an edge is followed
+    once for all of them. A round extends only the distances that improved in the round before, and appends what
+    it improves to a log in the shared folder; nothing is written twice. It ends when none improves. Edges are
+    stored in buckets by their start, so no round moves them again. A missing weight makes a missing distance,
+    longer than any other.
     """
-    # parallel edges: the lightest wins
-    with bucketed(edges.groupBy("src", "dst").agg(F.min(F.col("w").cast("double")).alias("w")), "src", "edges") as light:
-        start = sources.select(F.col("node").alias("source"), "node", F.lit(0.0).alias("dist")).distinct()
-        rounds = [materialize(start, "paths")]
+    ids = sources.select(F.col("node").alias("source")).distinct().withColumn("id", F.monotonically_increasing_id())
+    # written, so that the ids stay
+    packed = materialize(ids.select("source", F.floor(F.col("id") / PACK).alias("pack"), (F.col("id") % PACK).alias("slot")), "sources")
+    slots = [f"d{k}" for k in range(min(PACK, packed.count()))]
+    if not slots:
+        return packed.join(edges, F.lit(False)).select("source", F.coalesce("source", "dst").alias("node"), F.lit(0.0).alias("dist"))
+    # parallel edges: the lightest wins; NaN, which Spark orders last, stands for null
+    weight = F.coalesce(F.min(F.col("w").cast("double")), F.lit(float("nan")))
+    with bucketed(edges.groupBy("src", "dst").agg(weight.alias("w")), "src", "edges") as light:
+        starts = [F.when(F.col("slot") == k, 0.0).alias(d) for k, d in enumerate(slots)]
+        rounds = [materialize(packed.select("pack", F.col("source").alias("node"), *starts), "paths")]
         while not rounds[-1].isEmpty():
             reached = (
                 rounds[-1].join(light, F.col("node") == F.col("src"))
-                .groupBy("source", F.col("dst").alias("node"))
-                .agg(F.min(F.col("dist") + F.col("w")).alias("dist"))
+                .groupBy("pack", F.col("dst").alias("node"))
+                .agg(*[F.min(F.col(d) + F.col("w")).alias(d) for d in slots])
             )
-            known = least_distances(rounds).withColumnRenamed("dist", "__known")
-            better = reached.join(known, ["source", "node"], "left").where("__known IS NULL OR dist < __known")
-            rounds.append(materialize(better.drop("__known"), "paths"))
-        return least_distances(rounds)
-
-
-def least_distances(rounds: list[DataFrame]) -> DataFrame:
-    return reduce(DataFrame.unionByName, rounds).groupBy("source", "node").agg(F.min("dist").alias("dist"))
+            known = least_distances(rounds, slots).withColumnsRenamed({d: f"__{d}" for d in slots})
+            better = reached.join(known, ["pack", "node"], "left").select(
+                "pack", "node", *[F.when(F.col(f"__{d}").isNull() | (F.col(d) < F.col(f"__{d}")), F.col(d)).alias(d) for d in slots]
+            )
+            rounds.append(materialize(better.where(F.coalesce(*slots).isNotNull()), "paths"))
+        names = F.transform(F.array_sort(F.collect_list(F.struct("slot", "source"))), lambda x: x["source"])
+        of_packs = packed.groupBy("pack").agg(names.alias("sources"))
+        found = least_distances(rounds, slots).join(of_packs, "pack")
+        pairs = found.select("node", F.inline(F.arrays_zip("sources", F.array(*slots).alias("dist")))).where("dist IS NOT NULL")
+        return pairs.select(F.col("sources").alias("source"), "node", F.when(~F.isnan("dist"), F.col("dist")).alias("dist"))
+
+
+def least_distances(rounds: list[DataFrame], slots: list[str]) -> DataFrame:
+    return reduce(DataFrame.unionByName, rounds).groupBy("pack", "node").agg(*[F.min(d).alias(d) for d in slots])
 
 
 def board_edges(spark: SparkSession) -> DataFrame:

@@ -8,10 +8,12 @@ import random
 import pytest
 from pyspark.sql import functions as F
 
+from corpusmill.operators import graph
 from corpusmill.operators.graph import shortest_paths
 from corpusmill.operators.sampling import sample_files
 from corpusmill.operators.sequence import first_per_group
 from corpusmill.operators.split import held_out
+from corpusmill.session import materialize
 
 R = random.Random(8)
 
@@ -71,3 +73,32 @@ def test_paths_equal_a_plain_search(spark):
     found = shortest_paths(table, spark.createDataFrame([(0,), (1,), (2,), (99,), (1,)], "node long")).collect()
     assert {(r.source, r.node): r.dist for r in found} == want and len(found) == len(want)
     assert spark.sql("SHOW TABLES").where("tableName LIKE 'corpusmill%'").isEmpty()
+
+
+def test_sources_share_the_rows_of_a_round(spark, monkeypatch):
+    written = []
+
+    def counted(df, name):
+        out = materialize(df, name)
+        written.append((name, out.count()))
+        return out
+
+    monkeypatch.setattr(graph, "materialize", counted)
+    # 40 sources on a ring with short cuts: one row per node for up to 32 of them, not one for each
+    ring = [(v, (v + 1) % 40, 1.0) for v in range(40)] + [(v, (v + 7) % 40, 1.5) for v in range(40)]
+    edges = spark.createDataFrame(ring, "src int, dst long, w double")
+    found = shortest_paths(edges, spark.range(40).select(F.col("id").cast("int").alias("node")).coalesce(1))
+    assert dict(found.dtypes) == {"source": "int", "node": "bigint", "dist": "double"}
+    want = {k: min(1.5 * a + (k - 7 * a) % 40 for a in range(8)) for k in range(40)}
+    assert {(r.source, r.node): r.dist for r in found.collect()} == {(s, (s + k) % 40): want[k] for s in range(40) for k in range(40)}
+    rows = [n for name, n in written if name == "paths"]
+    assert max(rows) <= 2 * 40
+
+
+def test_paths_without_weights_sources_or_nodes(spark):
+    edges = spark.createDataFrame([(1, 2, None), (2, 3, 1.0), (3, 2, None), (1, 4, 2.0), (4, None, 1.0), (2, 4, 1.0)], "src int, dst int, w double")
+    found = shortest_paths(edges, spark.createDataFrame([(1,), (None,)], "node int")).collect()
+    # a missing weight reaches its node and what follows, without a distance
+    want = {(1, 1, 0.0), (1, 2, None), (1, 3, None), (1, 4, 2.0), (1, None, 3.0), (None, None, 0.0)}
+    assert {tuple(r) for r in found} == want and len(found) == len(want)
+    assert shortest_paths(edges, spark.createDataFrame([], "node int")).isEmpty()
