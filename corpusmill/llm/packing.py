@@ -12,10 +12,12 @@ import json
 import unicodedata
 from collections.abc import Iterator
 from functools import cached_property
+from itertools import groupby
 from typing import NamedTuple
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import regex
 import tiktoken
 from pyspark.sql import DataFrame, Window
@@ -31,32 +33,39 @@ PIECES = (
 )
 
 
-END = b"\xff"  # in no UTF-8 text; here it stands for the end of a word
+END = "\0"  # stands for the end of a word; texts that hold it go to tokenizers
+WORDS = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
+BLANK, LETTER, NUMBER, OTHER = range(4)
+APOSTROPHE = ord("'")
 
 
 class Encoder:
     """Token ids of texts for a lower-casing byte-level BPE with word ends, as its JSON file defines it.
 
-    Such a tokenizer drops white space and never joins what it parts, so the parts of a text are
-    encoded one by one and remembered. New parts go through tiktoken with the file's vocabulary as
-    ranks: its ids are in the order of its merges. It gives the ids that ``tokenizers`` gives, several
-    times as fast; files of another make, and parts that hold a special token, are left to ``tokenizers``.
+    The texts of a call are cut into words at once, over the array of their code points, and every distinct
+    word is encoded once, all of them by one call of tiktoken with the file's vocabulary as ranks: its
+    ids are in the order of its merges. It gives the ids that ``tokenizers`` gives, many times as
+    fast; files of another make, and parts that hold a special token or ``END``, are left to ``tokenizers``.
     """
 
-    LIMIT = 250_000  # parts that a worker remembers
-
     def __init__(self, spec: str):
         self.spec = spec
-        self.known: dict[str, bytes] = {}
         parsed = json.loads(spec)
         model = parsed["model"]
         self.special = [t["content"] for t in parsed["added_tokens"]]
         steps = [n["type"] for n in (parsed["normalizer"] or {}).get("normalizers", [])]
         splits = (parsed["pre_tokenizer"] or {}).get("pretokenizers", [{}])
-        self.fast = steps == ["NFC", "Replace", "Lowercase"] and splits[0].get("type") == "Split" and model["end_of_word_suffix"] == "</w>"
+        self.fast = (
+            steps == ["NFC", "Replace", "Lowercase"]
+            and splits[0].get("type") == "Split"
+            and splits[0]["pattern"].get("Regex") == WORDS
+            and model["end_of_word_suffix"] == "</w>"
+        )
         if self.fast:
-            self.pattern = regex.compile(splits[0]["pattern"]["Regex"])
-            self.ranks = tiktoken.Encoding("words", pat_str=r"\S+", mergeable_ranks=ranks_of(model["vocab"], set(self.special)), special_tokens={})
+            ranks = ranks_of(model["vocab"], set(self.special))
+            self.ranks = tiktoken.Encoding("words", pat_str=r"[^\x00]+\x00", mergeable_ranks=ranks, special_tokens={})
+            self.ends = np.zeros(max(ranks.values()) + 1, dtype=bool)
+            self.ends[[i for token, i in ranks.items() if len(token) > 1 and token.endswith(END.encode())]] = True
 
     @cached_property
     def tokenizer(self):
@@ -64,25 +73,95 @@ class Encoder:
 
         return Tokenizer.from_str(self.spec)
 
-    def encoded(self, part: str) -> bytes:
-        if not self.fast or any(s in part for s in self.special):
-            ids = self.tokenizer.encode(part, add_special_tokens=False).ids
-        else:
-            # each letter is lowered by itself, so a last sigma is no exception
-            plain = part.lower() if part.isascii() else unicodedata.normalize("NFC", part).replace("Σ", "σ").lower()
-            ids = [i for word in self.pattern.findall(plain) for i in self.ranks._encode_single_piece(word.encode() + END)]
-        return np.array(ids, dtype="<u4").tobytes()
+    def exact(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, dtype="<u4")
+
+    def odd(self, text: str) -> bool:
+        return not self.fast or END in text or any(s in text for s in self.special)
+
+    def mixed(self, text: str) -> np.ndarray:
+        """The ids of a text some of whose parts are odd."""
+        runs = [(odd, " ".join(parts)) for odd, parts in groupby(split_plain(text), self.odd)]
+        plain = iter(self.plain([run for odd, run in runs if not odd]))
+        return np.concatenate([self.exact(run) if odd else next(plain) for odd, run in runs])
+
+    def plain(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of texts that hold nothing odd."""
+        # each letter is lowered by itself, so a last sigma is no exception
+        lowered = [t.lower() if t.isascii() else unicodedata.normalize("NFC", t).replace("Σ", "σ").lower() for t in texts]
+        words, until = words_of(lowered)
+        if not len(words):
+            return [np.zeros(0, dtype="<u4") for _ in texts]
+        found = words.dictionary_encode()
+        ids, first = self.spelled(found.dictionary)
+        which = found.indices.to_numpy()
+        count = np.diff(first)[which]
+        total = np.concatenate(([0], np.cumsum(count)))
+        flat = ids[np.repeat(first[which] - total[:-1], count) + np.arange(total[-1])]
+        return np.split(flat, total[until[:-1]])
+
+    def spelled(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+        """The ids of all words in a row, and the place of the first of each word and behind the last."""
+        ids = np.array(self.ranks.encode_ordinary(END.join([*words.to_numpy(zero_copy_only=False), ""])), dtype="<u4")
+        return ids, np.concatenate(([0], np.flatnonzero(self.ends[ids]) + 1))
+
+    def many(self, texts: list[str]) -> list[np.ndarray]:
+        """The ids of each text."""
+        if not self.fast:
+            return [self.exact(t) for t in texts]
+        odd = [self.odd(t) for t in texts]
+        found = self.plain(["" if o else t for t, o in zip(texts, odd)])
+        return [self.mixed(t) if o else x for t, o, x in zip(texts, odd, found)]
 
     def __call__(self, text: str) -> np.ndarray:
-        known, out = self.known, []
-        for part in split_plain(text):
-            ids = known.get(part)
-            if ids is None:
-                ids = self.encoded(part)
-                if len(known) < self.LIMIT and len(part) <= 64:
-                    known[part] = ids
-            out.append(ids)
-        return np.frombuffer(b"".join(out), dtype="<u4")
+        return self.many([text])[0]
+
+
+_kinds: list[np.ndarray] = []
+
+
+def kinds() -> np.ndarray:
+    """The kind of every code point, as the patterns of ``regex`` tell them."""
+    if not _kinds:
+        found = np.full(0x110000, OTHER, dtype=np.uint8)
+        points = [c for c in range(0x110000) if not 0xD800 <= c < 0xE000]
+        at, every = np.array(points), "".join(map(chr, points))
+        for kind, pattern in ((BLANK, r"\s+"), (LETTER, r"\p{L}+"), (NUMBER, r"\p{N}+")):
+            for run in regex.finditer(pattern, every):
+                found[at[run.start() : run.end()]] = kind
+        _kinds.append(found)
+    return _kinds[0]
+
+
+def words_of(texts: list[str]) -> tuple[pa.Array, np.ndarray]:
+    """What ``WORDS`` matches in the lower-case texts, in order, and the number of words up to the end of each text."""
+    whole = "\n".join([*texts, ""])
+    data = whole.encode()
+    codes = np.frombuffer(data if whole.isascii() else whole.encode("utf-32-le"), dtype=np.uint8 if whole.isascii() else "<u4")
+    kind = kinds()[codes]
+    begins = np.ones(len(codes), dtype=bool)
+    np.not_equal(kind[1:], kind[:-1], out=begins[1:])
+    begins |= kind == NUMBER
+    # a lone apostrophe takes one of s, t, m, d or re, ve, ll from the letters behind it; the last code is a line break
+    lone = np.flatnonzero(codes == APOSTROPHE)
+    lone = lone[begins[lone] & (kind[lone + 1] == LETTER)]
+    one, two = codes[lone + 1], codes[np.minimum(lone + 2, len(codes) - 1)]
+    short = np.isin(one, [ord(c) for c in "stmd"])
+    pair = np.logical_or.reduce([(one == ord(a)) & (two == ord(b)) for a, b in ("re", "ve", "ll")])
+    begins[lone[short | pair] + 1] = False
+    for taken, n in ((short, 2), (pair, 3)):
+        begins[lone[taken] + n] = True
+    starts = np.flatnonzero(begins)
+    chosen = kind[starts] != BLANK
+    places = np.append(starts, len(codes))
+    if len(data) > len(codes):
+        width = np.ones(len(codes), dtype=np.uint8)
+        for bound in (0x80, 0x800, 0x10000):
+            width += codes >= bound
+        places = np.concatenate(([0], np.cumsum(width, dtype=np.int64)))[places]
+    runs = pa.LargeStringArray.from_buffers(len(starts), pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return runs.filter(pa.array(chosen)), np.searchsorted(starts[chosen], ends)
 
 
 def ranks_of(vocab: dict[str, int], special: set[str]) -> dict[bytes, int]:
@@ -94,7 +173,7 @@ def ranks_of(vocab: dict[str, int], special: set[str]) -> dict[bytes, int]:
     for token, rank in vocab.items():
         if token not in special:
             core = token.removesuffix("</w>")
-            ranks[bytes(byte_of[c] for c in core) + (END if core != token else b"")] = rank
+            ranks[bytes(byte_of[c] for c in core) + (END.encode() if core != token else b"")] = rank
     return ranks
 
 
@@ -102,7 +181,7 @@ _ready: dict[str, Encoder] = {}
 
 
 def encoder_of(spec: str) -> Encoder:
-    """One for each worker process, so that parts are remembered from task to task."""
+    """One for each worker process, so that the file is read once."""
     if spec not in _ready:
         _ready.clear()
         _ready[spec] = Encoder(spec)
@@ -123,9 +202,9 @@ def encoded(docs: DataFrame, spec: str, last_id: int, size: int) -> DataFrame:
         encoder = encoder_of(shared.value)
         for batch in batches:
             lengths = batch["text"].str.len().fillna(0).astype(int).tolist()
-            for lo, hi in groups(lengths):
+            for lo, hi in groups(lengths, 1 << 20):
                 some = batch.iloc[lo:hi]
-                ids = [np.append(encoder(t or ""), np.uint32(last_id)).astype("<u4") for t in some["text"]]
+                ids = [np.append(x, np.uint32(last_id)).astype("<u4") for x in encoder.many([t or "" for t in some["text"]])]
                 cuts = [range(0, len(x), size) for x in ids]
                 count = [len(c) for c in cuts]
                 yield pd.DataFrame(

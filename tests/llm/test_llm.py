@@ -104,6 +104,25 @@ def test_encoder_equals_tokenizers():
         assert encoder(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
 
 
+def test_encoder_spells_all_new_words_of_a_call_at_once(monkeypatch):
+    import tiktoken
+    from tokenizers import Tokenizer
+
+    calls, draw = [], random.Random(5)
+    for name in ("_encode_single_piece", "encode_ordinary"):
+        was = getattr(tiktoken.Encoding, name)
+        monkeypatch.setattr(tiktoken.Encoding, name, lambda self, text, was=was: calls.append(1) or was(self, text))
+    spec = tokenizer_spec()
+    encoder, tokenizer = packing.Encoder(spec), Tokenizer.from_str(spec)
+    marks = list("abcTHEésß漢😀.,'0189#\x1c\x0b\x85\u2028½ǅ \n\ŕΣİſ") + ["'s", "'RE", "'ve", "'ll", "'d", "the"]
+    texts = ["", "'", "it's'", *["".join(draw.choice(marks) for _ in range(draw.randint(0, 60))) for _ in range(400)]]
+    for text in (" ".join(texts), "x\0y z", "a <|endoftext|>b"):
+        calls.clear()
+        assert encoder(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+        assert len(calls) <= 2
+    assert [x.tolist() for x in encoder.many(texts)] == [tokenizer.encode(t, add_special_tokens=False).ids for t in texts]
+
+
 def test_plan_uses_demand_exactly_with_little_waste():
     sizes, demand = np.array([1, 7, 60, 130, 500, 900, 1500]), np.array([900, 300, 40, 200, 77, 120, 60])
     plan = lp.whole_plan(sizes, demand, 2048)
